@@ -16,15 +16,145 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _word_bpe() -> str:
+    """The public tokenizer file that ops 5 and 6 name; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .flatgraph import embedding_duplicates
+
+    return embedding_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import find_pii
+
+    return find_pii(_table(spark, sf_dir, "documents"))
+
+
+#: host, path, verdict
+URL_RULES = [
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+]
+
+
+def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urlrules import judge_urls
+
+    return judge_urls(_table(spark, sf_dir, "pages"), spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+
+
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_table(spark, sf_dir, "documents")).drop("row_key")
+
+
+def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import PackParams, pack_documents
+
+    return pack_documents(_table(spark, sf_dir, "documents"), PackParams(_word_bpe()))
+
+
+def op6_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .dac import TokenFileParams, token_round_trip
+
+    return token_round_trip(_table(spark, sf_dir, "documents"), TokenFileParams(_word_bpe()))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hdlang import identify_language
+
+    return identify_language(_table(spark, sf_dir, "documents"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality import quality_scores
+
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kdtree import top_inner_products
+
+    return top_inner_products(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import MinHashParams, near_duplicates
 
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHashParams(width=3, percent=85))
 
 
+_ALL = (
+    op1_embedding_dedup, op2_pii_crf, op3_url_rules, op4_source_mix, op5_pattern_packing,
+    op6_token_codes, op7_language_id, op8_quality, op9_exact_topk, op10_minhash_dedup,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op10_minhash_dedup,)}
+    return {f.__name__: f for f in _ALL}
+
+
+_OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+), ok AS (
+  SELECT vec_id, e FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS s, vec_id AS t FROM embeddings
+  UNION
+  SELECT reach.s, link.b FROM reach JOIN link ON reach.t = link.a
+), comp AS (SELECT s, min(t) AS component_id FROM reach GROUP BY s),
+n AS (SELECT a, count(*) AS n_links FROM link GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, comp.component_id, e.vec_id = comp.component_id AS kept
+FROM embeddings e JOIN comp ON comp.s = e.vec_id LEFT JOIN n ON n.a = e.vec_id
+"""
+
+_OP3_SQL = """
+WITH p AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), q AS (
+  SELECT page_id,
+    translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p
+), r(h, w, verdict) AS (
+  VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+         ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), fit AS (
+  SELECT q.page_id, q.host, q.path, r.h || r.w AS rule, r.verdict,
+    row_number() OVER (PARTITION BY q.page_id ORDER BY length(r.h || r.w) DESC) AS k
+  FROM q LEFT JOIN r ON (q.host = r.h OR ends_with(q.host, '.' || r.h)) AND starts_with(q.path, r.w)
+)
+SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(verdict, 'allow') AS verdict FROM fit WHERE k = 1
+"""
+
+_OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_embedding_dedup": _OP1_SQL, "op3_url_rules": _OP3_SQL, "op9_exact_topk": _OP9_SQL}
