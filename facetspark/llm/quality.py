@@ -29,7 +29,7 @@ class QualityParams:
 
 
 def doc_features(data: np.ndarray, offsets: np.ndarray, p: QualityParams) -> Iterator[tuple[list, list, np.ndarray]]:
-    """Of each block of texts: buckets of words and of byte n-grams, each document's first ones, and offsets.
+    """Of each block of texts: buckets of words, of their repeats and of byte n-grams, each document's first ones, and offsets.
 
     N-grams are taken at every byte; the last g - 1 of a document reach into the next one
     and are left out by those who read them.
@@ -39,8 +39,15 @@ def doc_features(data: np.ndarray, offsets: np.ndarray, p: QualityParams) -> Ite
         lo, hi = offsets[a], offsets[b]
         part, offs = data[lo:hi], offsets[a : b + 1] - lo
         starts, ends, _ = word_bounds(part, offs)
-        feats = [(mix64(word_hashes(part, starts, ends)) & mask).astype(np.int64)]
-        cuts = [np.searchsorted(starts, offs)]
+        words = word_hashes(part, starts, ends)
+        at = np.searchsorted(starts, offs)
+        # Which of the three words before it a word repeats, as one more word feature.
+        again = np.zeros(len(words), dtype=np.int64)
+        for k in (1, 2, 3):
+            if len(words) > k:
+                again[k:] += (words[k:] == words[:-k]) * (1 << (k - 1))
+        feats = [(mix64(words) & mask).astype(np.int64), again * 977 % p.buckets]
+        cuts = [at, at]
         wide = part.astype(np.uint64) + np.uint64(1)
         for g in p.grams:
             m = max(0, len(wide) - g + 1)
@@ -67,9 +74,9 @@ class QualityModel:
         out = []
         for feats, cuts, offs in doc_features(data, offsets, self.params):
             total, count = np.zeros(len(offs) - 1), np.zeros(len(offs) - 1)
-            for f, c, g in zip(feats, cuts, (1, *self.params.grams), strict=True):
+            for f, c, g in zip(feats, cuts, (1, 1, *self.params.grams), strict=True):
                 run = np.concatenate([[0.0], np.cumsum(self.value[f], dtype=np.float64)])
-                stop = np.maximum(c[:-1], c[1:] - (g - 1 if f is not feats[0] else 0))
+                stop = np.maximum(c[:-1], c[1:] - (g - 1))
                 total += run[stop] - run[c[:-1]]
                 count += stop - c[:-1]
             out.append(np.where(count > 0, total / np.maximum(count, 1), 0.0))
