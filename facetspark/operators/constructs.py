@@ -93,7 +93,8 @@ def plane_from_two_lines(a: L, b: L) -> P:
 
 def _turned(v: Vec, axis: Vec, angle) -> Vec:
     """Rodrigues' rotation of a vector."""
-    c, s = F.cos(F.radians(angle)), F.sin(F.radians(angle))
+    turn = F.radians(angle if isinstance(angle, Column) else F.lit(float(angle)))
+    c, s = F.cos(turn), F.sin(turn)
     return v.scaled(c) + axis.cross(v).scaled(s) + axis.scaled(axis.dot(v) * (1 - c))
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Vec, axis_distance, inplane_basis, signed_distance
+from ..scratch import materialize
 
 
 def slab(cloud: DataFrame, n: Vec, d, threshold: float, around: Vec | None = None, radius: float | None = None) -> DataFrame:
@@ -68,21 +68,18 @@ def grid_components(cells: DataFrame) -> DataFrame:
     Labels travel by joins: each round a cell takes the largest label among itself and
     its neighbours, then the label of the cell it points to (which halves the distance
     left), until none changes.  The rounds grow with the logarithm of a component's
-    length, and the frame of each round is written to the checkpoint folder.
+    length; each round's table is written to the shared folder, which cuts its lineage.
     """
-    spark = cells.sparkSession
-    key = F.struct("iu", "iv")
-    cur = cells.select("iu", "iv", key.alias("label"))
-    base = cells.select("iu", "iv").persist(StorageLevel.MEMORY_AND_DISK)
+    base = materialize(cells.select("iu", "iv"), "cells")
+    cur = base.select("iu", "iv", F.struct("iu", "iv").alias("label"))
     around = F.explode(F.array(*[F.struct((F.col("iu") + a).alias("nu"), (F.col("iv") + b).alias("nv")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
-    use_checkpoint = bool(spark.sparkContext.getCheckpointDir())
     last = None
     while True:
         sent = cur.select(around.alias("n"), "label").select(F.col("n.nu").alias("iu"), F.col("n.nv").alias("iv"), "label")
-        best = sent.join(base, ["iu", "iv"]).groupBy("iu", "iv").agg(F.max("label").alias("label"))
+        best = materialize(sent.join(base, ["iu", "iv"]).groupBy("iu", "iv").agg(F.max("label").alias("label")), "labels")
         to = best.select(F.struct("iu", "iv").alias("label"), F.col("label").alias("far"))
-        cur = best.join(to, "label", "left").select("iu", "iv", F.greatest("label", F.coalesce("far", "label")).alias("label"))
-        cur = cur.checkpoint() if use_checkpoint else cur.persist(StorageLevel.MEMORY_AND_DISK)
+        jumped = best.join(to, "label", "left").select("iu", "iv", F.greatest("label", F.coalesce("far", "label")).alias("label"))
+        cur = materialize(jumped, "labels")
         mark = tuple(cur.agg(F.sum(F.xxhash64("iu", "iv", "label").cast("decimal(38,0)")), F.count("*")).first())
         if mark == last:
             break

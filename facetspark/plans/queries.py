@@ -462,11 +462,11 @@ def _all_constructs() -> None:
     _construct("construct_intersect_line_plane", lambda: _v("p", C.intersect_line_plane(_LU, _A)), _vs("p", _hit(_p, _lu, _na, "da")))
     _construct("construct_intersect_normal_plane", lambda: _v("p", C.intersect_normal_plane(_A, _B)), _vs("p", _hit(S.mul(_na, "-da"), _na, _nb, "db")), digits=2)
     _construct("construct_intersect_normal_plane_through", lambda: _v("p", C.intersect_normal_plane(_A, _B, _QT)), _vs("p", _hit(_q, _na, _nb, "db")), digits=2)
-    _construct("construct_line_from_point_normal", lambda: _li(C.line_from_point_normal(_PT, _B)), {**_vs("p", _p), **_vs("u", S.mul(_nb, S.sign(_nb)))})
+    _construct("construct_line_from_point_normal", lambda: _li(C.line_from_point_normal(_PT, _B)), {**_vs("p", _p), **_vs("u", S.mul(_nb, S.sign(_nb)))}, digits=7)
     w = S.sub(_q, _p)
     _construct(
         "construct_line_from_two_points", lambda: _li(C.line_from_two_points(_PT, _QT)),
-        {**_vs("p", _p), **{n: f"CASE WHEN {S.dot(w, w)} >= 1e-12 THEN {e} END" for n, e in _vs("u", S.mul(w, f"{S.sign(w)} / {S.norm(w)}")).items()}},
+        {**_vs("p", _p), **{n: f"CASE WHEN {S.dot(w, w)} >= 1e-12 THEN {e} END" for n, e in _vs("u", S.mul(w, f"{S.sign(w)} / {S.norm(w)}")).items()}}, digits=7,
     )
     mid = S.mul(S.add(_hit(_p, _lu, _na, "da"), _hit(_p, _lu, _nb, "db")), "0.5")
     _construct("construct_midpoint_line_planes", lambda: _v("p", C.midpoint_line_planes(_LU, _A, _B)), _vs("p", mid), digits=3)
@@ -550,6 +550,98 @@ def robust_fit_plane(spark, d):
     return spark.createDataFrame([row], "nx double, ny double, nz double, d double, n_inliers long")
 
 
+# Recipes.
+
+_BEAM = {
+    "version": 1, "units": "mm",
+    "faces": {"left": {"from": "group", "name": "left"}, "front": {"from": "group", "name": "front"}, "top": {"from": "group", "group_id": 3}},
+    "construct": [
+        {"id": "left_in", "op": "offset", "of": "left", "distance_mm": 50}, {"id": "front_in", "op": "offset", "of": "front", "distance_mm": 20},
+        {"id": "axis", "op": "intersect_planes", "a": "left_in", "b": "front_in"}, {"id": "target", "op": "intersect_line_plane", "line": "axis", "plane": "top"},
+        {"id": "corner", "op": "intersect_three_planes", "a": "left", "b": "front", "c": "top"},
+    ],
+    "frame": {"axis": "axis", "origin": "corner", "yaw_plane": "left", "yaw_to": "x"},
+    "measures": [{"id": "m1", "op": "distance_points", "a": "corner", "b": "target"}, {"id": "m2", "op": "angle_planes", "a": "left", "b": "top"}],
+    "export": ["target", "axis"],
+}
+_BEAM_FACES = {"left": ("plane", [1, 0, 0, 50]), "front": ("plane", [0, 1, 0, 20]), "top": ("plane", [0, 0, 1, -100])}
+
+
+_WIDE = "SELECT id, kind, " + ", ".join(f"v[{i}] AS v{i}" for i in range(1, 7))
+
+
+def _beam(spark: SparkSession) -> dict:
+    from .recipe import reduce_survey
+
+    return reduce_survey(spark, _BEAM, _BEAM_FACES)
+
+
+@_register(
+    _WIDE + " FROM (VALUES ('left', 'plane', [1.0, 0.0, 0.0, 50.0]::DOUBLE[]), ('front', 'plane', [0.0, 1.0, 0.0, 20.0]), ('top', 'plane', [0.0, 0.0, 1.0, -100.0]),"
+    " ('left_in', 'plane', [1.0, 0.0, 0.0, 0.0]), ('front_in', 'plane', [0.0, 1.0, 0.0, 0.0]), ('axis', 'line', [0.0, 0.0, 0.0, 0.0, 0.0, 1.0]),"
+    " ('target', 'point', [0.0, 0.0, 100.0]), ('corner', 'point', [-50.0, -20.0, 100.0])) t(id, kind, v)"
+)
+def recipe_beam(spark, d):
+    from .recipe import entity_rows
+
+    return entity_rows(spark, _beam(spark))
+
+
+@_register(
+    _WIDE + " FROM (VALUES ('left', 'plane', [1.0, 0.0, 0.0, 0.0]::DOUBLE[]), ('front', 'plane', [0.0, 1.0, 0.0, 0.0]), ('top', 'plane', [0.0, 0.0, 1.0, 0.0]),"
+    " ('left_in', 'plane', [1.0, 0.0, 0.0, -50.0]), ('front_in', 'plane', [0.0, 1.0, 0.0, -20.0]), ('axis', 'line', [50.0, 20.0, -100.0, 0.0, 0.0, 1.0]),"
+    " ('target', 'point', [50.0, 20.0, 0.0]), ('corner', 'point', [0.0, 0.0, 0.0])) t(id, kind, v)"
+)
+def aligned_export(spark, d):
+    from .recipe import entity_rows
+
+    return entity_rows(spark, _beam(spark)["aligned"])
+
+
+@_register(_WIDE + " FROM (VALUES ('axis', 'line', [50.0, 20.0, -100.0, 0.0, 0.0, 1.0]::DOUBLE[]), ('target', 'point', [50.0, 20.0, 0.0])) t(id, kind, v)")
+def geometry_summary(spark, d):
+    from .recipe import entity_rows, geometry_summary as summary
+
+    return entity_rows(spark, summary(_beam(spark)))
+
+
+@_register("SELECT * FROM (VALUES ('m1', round(sqrt(2900.0::DOUBLE), 6), 'mm'), ('m2', 90.0, 'deg')) t(id, value, unit)")
+def recipe_measures(spark, d):
+    rows = [(m["id"], round(m["value"], 6), m["unit"]) for m in _beam(spark)["measures"]]
+    return spark.createDataFrame(rows, "id string, value double, unit string")
+
+
+@_register(
+    _ENTITY_SQL + f", k AS (SELECT *, {', '.join(f'{e} AS t{a}' for e, a in zip(S.cross(_na, _nb), 'xyz', strict=True))} FROM e),"
+    f" h AS (SELECT *, {', '.join(f'{e} AS h{a}' for e, a in zip(S.mul(S.sub(S.mul(S.cross(S.vec('tx', 'ty', 'tz'), _na), 'db - 3'), S.mul(S.cross(S.vec('tx', 'ty', 'tz'), _nb), 'da')), '1 / ' + S.dot(S.vec('tx', 'ty', 'tz'), S.vec('tx', 'ty', 'tz'))), 'xyz', strict=True))} FROM k)"
+    f" SELECT point_id, {S.out(S.norm(S.cross(S.sub(_q, S.vec('hx', 'hy', 'hz')), S.vec('tx', 'ty', 'tz'))) + ' / ' + S.norm(S.vec('tx', 'ty', 'tz')), 'value', 3)} FROM h"
+)
+def recipe_over_surveys(spark, d):
+    """One recipe over a row a survey: offset, intersection and a distance in one projection."""
+    from .recipe import Planner, Recipe, _pack
+
+    doc = {
+        "faces": {"a": {"name": "a"}, "b": {"name": "b"}, "p": {"name": "p", "kind": "circle"}},
+        "construct": [{"id": "b2", "op": "offset", "plane": "b", "distance_mm": 3}, {"id": "ax", "op": "intersect_planes", "plane_a": "a", "plane_b": "b2"}],
+        "measures": [{"id": "m", "op": "distance_point_line", "point": "p", "line": "ax"}],
+    }
+    e = _entities(spark, d)
+    surveys = e.select("point_id", _pack(tuple(_A), "plane").alias("a"), _pack(tuple(_B), "plane").alias("b"), _pack(_QT, "point").alias("p"))
+    return Planner(Recipe.of(doc), surveys).run().select("point_id", r6(F.col("`measure:m`"), "value", 3))
+
+
+@_register(
+    "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'plane' ELSE 'of' END AS had, 'P' || p_size AS plane, CAST(p_retailprice AS DOUBLE) AS distance_mm FROM part"
+)
+def migrate_v1(spark, d):
+    """Old and new operand names of recipe steps side by side, read in bulk as JSON."""
+    part = spark.read.parquet(f"{d}/part.parquet")
+    key = F.when(F.col("p_partkey") % 2 == 0, "plane").otherwise("of")
+    raw = part.select(F.col("p_partkey").alias("id"), key.alias("had"), F.to_json(F.create_map(key, F.concat(F.lit("P"), F.col("p_size").cast("string")), F.lit("distance_mm"), F.col("p_retailprice").cast("string"))).alias("step"))
+    step = F.from_json("step", "plane string, of string, distance_mm string")
+    return raw.select("id", "had", F.coalesce(step["plane"], step["of"]).alias("plane"), step["distance_mm"].cast("double").alias("distance_mm"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
