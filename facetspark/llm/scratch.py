@@ -1,36 +1,5 @@
-"""Shared scratch tables: lineage is cut by writing Parquet where every executor can read it."""
+"""Shared scratch tables of the operators here; see ``facetspark.scratch``."""
 
-from __future__ import annotations
+from ..scratch import materialize, scratch_path, shared_dir
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only for an unset local session."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = "file://" + tempfile.mkdtemp(prefix="facetspark-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/facetspark/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back without its lineage.
-
-    The files live as long as the application's scratch folder does: a returned
-    (lazy) result may still read them.
-    """
-    spark = df.sparkSession
-    path = scratch_path(spark, tag)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["materialize", "scratch_path", "shared_dir"]
