@@ -23,8 +23,8 @@ class QualityParams:
     rate: float = 0.4
     seed: int = 5
     #: Labelled rows that the model is fitted on, at most, and the longest text among them in characters.
-    fit_rows: int = 6000
-    fit_chars: int = 50_000
+    fit_rows: int = 4000
+    fit_chars: int = 20_000
     threshold: float = 0.3
 
 
@@ -91,7 +91,7 @@ def _bags(texts: list[str], p: QualityParams) -> list[tuple[np.ndarray, np.ndarr
         offsets = np.array([0, len(data)], dtype=np.int64)
         got = [f for feats, _, _ in doc_features(data, offsets, p) for f in feats]
         ids, n = np.unique(np.concatenate(got), return_counts=True) if got else (np.zeros(0, dtype=np.int64), np.zeros(0))
-        out.append((ids, n / max(1, n.sum())))
+        out.append((ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
     return out
 
 
@@ -135,14 +135,19 @@ def fit_quality(docs: DataFrame, labels: DataFrame, params: QualityParams = Qual
 
     Training rows have crc32(doc_id as text) mod 5 not 0, a label of 0 or 1 and a text of
     at most ``fit_chars`` characters; of more, those with the smallest hash are taken.
-    A doc_id with several labels counts as 1 if most of them are.
+    A doc_id with several labels counts as 1 if most of them are; one with several texts
+    is learned by the first of them.
     """
     p = params
     own = labels.filter(F.col("quality").isin(0, 1)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("quality"))
     own = own.filter(~_held_out("doc_id"))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = text.filter(F.char_length("text") <= p.fit_chars).join(own, "doc_id")
-    rows = known.orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id", "text").limit(p.fit_rows).collect()
+    text = text.filter(F.char_length("text") <= p.fit_chars)
+    # First the ids, so that only the chosen rows' texts are moved.
+    ids = text.select("doc_id").distinct().join(own, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(p.seed)), "doc_id").limit(p.fit_rows)
+    chosen = docs.sparkSession.createDataFrame(ids.collect(), "doc_id long, quality int")
+    rows = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality")).collect()
+    rows.sort(key=lambda r: r["doc_id"])
     return train_quality([r["text"] for r in rows], [r["quality"] for r in rows], p)
 
 
