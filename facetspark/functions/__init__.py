@@ -1 +1 @@
-
+"""Column-level geometry."""

@@ -1 +1 @@
-
+"""Operators over clouds (point_id, x, y, z)."""

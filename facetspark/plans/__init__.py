@@ -1 +1 @@
-
+"""Recipes, their planning, and the registered queries."""

@@ -550,6 +550,75 @@ def robust_fit_plane(spark, d):
     return spark.createDataFrame([row], "nx double, ny double, nz double, d double, n_inliers long")
 
 
+def _face_row(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "plane_index int, nx double, ny double, nz double, d double, n_points long, status string")
+
+
+def _face(k: int, face) -> tuple:
+    return (k, *(float(round(c, 5)) + 0.0 for c in face.plane.normal), float(round(face.plane.d, 4)) + 0.0, face.n_points, face.status)
+
+
+@_register()
+def ransac_plane(spark, d):
+    plane, hits = planes.ransac_plane(clouds.plane_scene(spark, d), 1.5, 300)
+    return spark.createDataFrame([(*plane.normal, plane.d, hits)], "nx double, ny double, nz double, d double, inliers long")
+
+
+@_register()
+def extract_main_plane(spark, d):
+    from ..operators.extract import MainPlaneParams, extract_main_plane as run
+
+    p = MainPlaneParams(ransac_threshold_mm=0.3, ransac_iterations=300, min_points=300, min_points_per_cell=2, cell_size_mm=8.0)
+    return _face_row(spark, [_face(0, run(clouds.plane_scene(spark, d), p))])
+
+
+@_register()
+def extract_planes(spark, d):
+    from ..operators.extract import MainPlaneParams, MultiPlaneParams, extract_planes as run
+
+    one = MainPlaneParams(ransac_threshold_mm=0.1, max_threshold_mm=0.15, ransac_iterations=300, min_points=300, min_points_per_cell=1, cell_size_mm=12.0)
+    found = run(clouds.plane_scene(spark, d), MultiPlaneParams(one, max_planes=2, min_plane_points=100))
+    return _face_row(spark, [_face(f["plane_index"], f["result"]) for f in found])
+
+
+@_register()
+def pick_plane_region(spark, d):
+    from ..operators.extract import PickParams, pick_plane_region as run
+
+    p = PickParams(local_radius_mm=30.0, min_neighbor_points=50, min_local_inliers=20, local_ransac_iterations=200, cell_size_mm=12.0, min_points_per_cell=1, max_expand_rounds=6)
+    members, _ = run(clouds.plane_scene(spark, d), (100.0, 4.0, 28.0), p)
+    return members.select("point_id")
+
+
+def _rings(spark, d, flat: bool) -> DataFrame:
+    """Orders around an axis: radius 40 with a small deterministic noise, grouped by priority."""
+    a = F.col("o_orderkey") * 0.61803398875 * 6.283185307179586
+    r = F.lit(40.0) + ((F.col("o_orderkey") * 7919) % 101 - 50) / 1000
+    z = F.lit(0.0) if flat else (F.col("o_orderkey") % 211 - 105).cast("double")
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    return orders.select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("point_id"), (r * F.cos(a)).alias("x"), (r * F.sin(a)).alias("y"), z.alias("z"))
+
+
+@_register()
+def robust_fit_cylinder(spark, d):
+    from ..operators.rounds import RoundParams, fit_cylinders
+
+    return fit_cylinders(_rings(spark, d, False), "grp", RoundParams(threshold_mm=0.5, ransac_iterations=200)).select("grp", "status", r6(F.col("diameter_mm"), "diameter_mm", 3), r6(F.abs("uz"), "uz", 4))
+
+
+@_register()
+def robust_fit_circle(spark, d):
+    from ..operators.rounds import RoundParams, fit_circles
+
+    ring = _rings(spark, d, True).withColumns({"nx": F.lit(0.0), "ny": F.lit(0.0), "nz": F.lit(1.0), "d": F.lit(0.0)})
+    return fit_circles(ring, "grp", RoundParams(ransac_iterations=200)).select("grp", "status", r6(F.col("diameter_mm"), "diameter_mm", 3), r6(F.col("px"), "px", 3), r6(F.col("py"), "py", 3))
+
+
+@_register()
+def display_sample(spark, d):
+    return stats.display_sample(clouds.cloud_orders(spark, d), 25.0, 1000)  # a display cap is the feature
+
+
 # Recipes.
 
 _BEAM = {

@@ -1 +1 @@
-
+"""Where clouds and projects come from and go to."""

@@ -1 +1 @@
-
+"""Nothing in scope is a stream; depth layers (``operators.layers``) are the batch form of sessions."""
