@@ -92,10 +92,12 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
 
     Linked are documents whose shingle sets have 100 * |intersection| >= percent * |union|.
     Documents with one set form a class that its smallest doc_id stands for, so copies
-    are never paired.  In each band bucket every class is compared with the bucket's
-    smallest class first; after components are known, only classes that share a bucket
-    but not a component are compared with each other, which can be needed for a link
-    but never for two members of one component.  No bucket is capped.
+    are never paired.  Pairs whose sizes and numbers of shared shingles (those that some
+    other candidate has) rule the similarity out are left out exactly.  In each band
+    bucket every class is compared with the bucket's lead first, the class with the
+    smallest share of lone shingles; after components are known, only classes that share
+    a bucket but not a component are compared with each other, which can be needed for a
+    link but never for two members of one component.  No bucket is capped.
 
     A null or word-free text has an empty set and links with nothing.  A null doc_id
     links with nothing, has a null component and is kept.  Rows that share a doc_id are
@@ -112,35 +114,46 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         "minhash-members",
     )
     rows = member.filter("bands is not null").select("rep", "n_shingles", F.posexplode("bands").alias("band", "h"))
-    least = F.min(F.struct("rep", "n_shingles")).alias("lead")
-    full = materialize(rows.groupBy("band", "h").agg(least, F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "h", "lead"), "minhash-buckets")
-    cand = materialize(
-        rows.join(full, ["band", "h"]).select("band", "h", "rep", "n_shingles", F.col("lead.rep").alias("lead"), F.col("lead.n_shingles").alias("lead_n")),
-        "minhash-candidates",
-    )
+    full = materialize(rows.groupBy("band", "h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "h"), "minhash-buckets")
+    cand = materialize(rows.join(full, ["band", "h"]), "minhash-candidates")
     ids = materialize(cand.select(F.col("rep").alias("doc_id")).distinct(), "minhash-ids")
     sets = materialize(base.join(ids, "doc_id", "left_semi").mapInArrow(_sets(p.width), "id long, shingles array<long>"), "minhash-sets")
-
-    def near_sizes(x: str, y: str):
-        return F.lit(100) * F.least(x, y) >= F.lit(p.percent) * F.greatest(x, y)
-
+    # Shingles that no other candidate has cannot be in an intersection.
+    lone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("rep")).filter("k = 1")
+    lone = materialize(lone.groupBy("rep").agg(F.count("*").alias("lone")), "minhash-lone")
+    common = F.col("n_shingles") - F.coalesce("lone", F.lit(0))
+    cand = cand.join(lone, "rep", "left").withColumn("common", common).filter(F.lit(100) * F.col("common") >= F.lit(p.percent) * F.col("n_shingles"))
+    cand = materialize(cand.select("band", "h", "rep", "n_shingles", "common"), "minhash-linkable")
+
+    def can_link(x: str, y: str, cx: str, cy: str):
+        """Whether sizes and common shingles allow the similarity."""
+        most = F.least(cx, cy, x, y)
+        return F.lit(100) * most >= F.lit(p.percent) * (F.col(x) + F.col(y) - most)
+
+    # A bucket's lead is the class with the smallest share of lone shingles.
+    lead = F.min(F.struct((F.lit(1) - F.col("common") / F.col("n_shingles")).alias("share"), "rep", "n_shingles", "common")).alias("lead")
+    leads = materialize(cand.groupBy("band", "h").agg(lead).select("band", "h", F.col("lead.rep").alias("lead"), F.col("lead.n_shingles").alias("lead_n"), F.col("lead.common").alias("lead_c")), "minhash-leads")
     star = materialize(
-        cand.filter(F.col("rep") != F.col("lead")).filter(near_sizes("n_shingles", "lead_n")).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct(),
+        cand.join(leads, ["band", "h"])
+        .filter(F.col("rep") != F.col("lead"))
+        .filter(can_link("n_shingles", "lead_n", "common", "lead_c"))
+        .select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
+        .distinct(),
         "minhash-stars",
     )
     links = _confirmed(star, sets, p.percent, "minhash-links")
     comp = materialize(connected_components(links, "minhash-cc"), "minhash-comp")
     seen = materialize(
-        cand.join(comp, cand["rep"] == comp["node"], "left").select("band", "h", "rep", "n_shingles", F.coalesce("component", "rep").alias("comp")),
+        cand.join(comp, cand["rep"] == comp["node"], "left").select("band", "h", "rep", "n_shingles", "common", F.coalesce("component", "rep").alias("comp")),
         "minhash-seen",
     )
     mixed = materialize(seen.groupBy("band", "h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("band", "h"), "minhash-mixed")
     part = materialize(seen.join(mixed, ["band", "h"], "left_semi"), "minhash-part")
     comps = materialize(part.select("band", "h", F.col("comp").alias("other")).distinct(), "minhash-comps")
     wide = part.join(comps, ["band", "h"]).filter("comp <> other")
-    left = wide.filter("comp < other").select("band", "h", F.col("comp").alias("c"), F.col("other").alias("d"), F.col("rep").alias("a"), F.col("n_shingles").alias("na"))
-    right = wide.filter("comp > other").select("band", "h", F.col("other").alias("c"), F.col("comp").alias("d"), F.col("rep").alias("b"), F.col("n_shingles").alias("nb"))
-    cross = materialize(left.join(right, ["band", "h", "c", "d"]).filter(near_sizes("na", "nb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-cross")
+    left = wide.filter("comp < other").select("band", "h", F.col("comp").alias("c"), F.col("other").alias("d"), F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("common").alias("ca"))
+    right = wide.filter("comp > other").select("band", "h", F.col("other").alias("c"), F.col("comp").alias("d"), F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("common").alias("cb"))
+    cross = materialize(left.join(right, ["band", "h", "c", "d"]).filter(can_link("na", "nb", "ca", "cb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-cross")
     more = cross.join(star, ["a", "b"], "left_anti")
     extra = _confirmed(more, sets, p.percent, "minhash-more")
     comp = materialize(connected_components(links.unionByName(extra), "minhash-cc"), "minhash-comp")
