@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import scratch_path
-from .tokens import tokenizer
+from .tokens import in_groups, tokenizer
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -137,15 +137,17 @@ def _write(params: TokenFileParams):
 
         size = 0
         for batch in batches:
-            for i in range(batch.num_rows):
-                ids = tok.ids([batch.column(1)[i].as_py()])[0] + end
-                docs.append(batch.column(0)[i].as_py())
-                held.append(ids)
-                lengths.append(len(ids) // 4)
-                size += len(ids) // 4
-                if size >= params.segment_ids:
-                    yield segment()
-                    size = 0
+            names = batch.column(0).to_pylist()
+            for first, texts in in_groups(batch.column(1).to_pylist()):
+                for i, body in enumerate(tok.ids(texts), first):
+                    ids = body + end
+                    docs.append(names[i])
+                    held.append(ids)
+                    lengths.append(len(ids) // 4)
+                    size += len(ids) // 4
+                    if size >= params.segment_ids:
+                        yield segment()
+                        size = 0
         if docs:
             yield segment()
 

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import sys
+from array import array
+from collections.abc import Iterator
 
-import numpy as np
 
 #: Chunks remembered by each Python worker.
 MEMO_ENTRIES = 400_000
@@ -13,6 +16,32 @@ MEMO_ENTRIES = 400_000
 _CONTROL = re.compile("[\x1c-\x1f]")
 
 
+#: ASCII letters, then ASCII signs but apostrophes: two pieces at most for the pre-tokenizer below.
+_WORD = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: The settings under which the library lower-cases and splits such a chunk
+#: into its letters and its signs, so that its model can be given the letters directly.
+_PLAIN = [
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split", "behavior": "Removed", "invert": True,
+                "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"},
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+]
+
+
+def _packed(ids: list[int]) -> bytes:
+    out = array("I", ids)
+    if sys.byteorder == "big":
+        out.byteswap()
+    return out.tobytes()
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
@@ -29,33 +58,73 @@ class WordTokenizer:
         self._model = Tokenizer.from_file(path)
         self._model.encode_special_tokens = True
         self._whole, self._most = whole, memo_entries
+        config = json.loads(self._model.to_str())
+        self._plain = [config.get(k) for k in ("normalizer", "pre_tokenizer")] == _PLAIN
         self._memo: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self._model.encode_batch_fast(texts, add_special_tokens=False)]
+        return [_packed(e.ids) for e in self._model.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        out: list[bytes] = []
+    def _learn(self, chunks: list[str]) -> None:
+        """Put new chunks in the memo."""
         memo = self._memo
+        if not self._plain:
+            memo.update(zip(chunks, self._encode(chunks), strict=True))
+            return
+        rest, joined = [], []
+        bpe = self._model.model.tokenize
+        for chunk in chunks:
+            m = _WORD.fullmatch(chunk)
+            if not m:
+                rest.append(chunk)
+                continue
+            word, tail = m[1].lower(), m[2]
+            if word not in memo:
+                memo[word] = _packed([t.id for t in bpe(word)])
+            if tail and tail not in memo:
+                memo[tail] = self._encode([tail])[0]
+            joined.append((chunk, word, tail))
+        if rest:
+            memo.update(zip(rest, self._encode(rest), strict=True))
+        for chunk, word, tail in joined:
+            memo[chunk] = memo[word] + memo[tail] if tail else memo[word]
+
+    def ids(self, texts: list[str | None]) -> list[bytes]:
+        """Ids of each text; null counts as empty.  Texts are best given many at a time."""
+        split: list = []
+        want: set[str] = set()
         for text in texts:
             if not text:
-                out.append(b"")
+                split.append([])
             elif self._whole or _CONTROL.search(text):
-                out.extend(self._encode([text]))
+                split.append(text)
             else:
                 chunks = text.split()
-                try:
-                    out.append(b"".join(map(memo.__getitem__, chunks)))
-                    continue
-                except KeyError:
-                    pass
-                new = list({c for c in chunks if c not in memo})
-                if len(memo) + len(new) > self._most:
-                    memo.clear()
-                    new = list(set(chunks))
-                memo.update(zip(new, self._encode(new), strict=True))
-                out.append(b"".join(map(memo.__getitem__, chunks)))
-        return out
+                want.update(chunks)
+                split.append(chunks)
+        memo = self._memo
+        new = list(want.difference(memo))
+        if len(memo) + len(new) > self._most:
+            # The older half stays: common chunks come early.
+            for chunk in list(memo)[self._most // 2 :]:
+                del memo[chunk]
+            new = list(want.difference(memo))
+        self._learn(new)
+        get = memo.__getitem__
+        return [b"".join(map(get, x)) if isinstance(x, list) else self._encode([x])[0] for x in split]
+
+
+def in_groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
+    """(first, texts): runs of at most ``most`` characters, or of one longer text."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        n = len(text or "")
+        if i > start and size + n > most:
+            yield start, texts[start:i]
+            start, size = i, 0
+        size += n
+    if start < len(texts):
+        yield start, texts[start:]
 
 
 _held: dict[tuple, WordTokenizer] = {}
