@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark():
     from facetspark.session import local_session
 
-    return local_session("4", "tests", **{"spark.sql.shuffle.partitions": "4"})
+    return local_session(os.environ.get("TEST_CPUS", "4"), "tests", **{"spark.sql.shuffle.partitions": "4"})
 
 
 @pytest.fixture(scope="session")
