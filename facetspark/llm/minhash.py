@@ -77,6 +77,70 @@ def _sets(width: int):
     return run
 
 
+#: Rows of a bucket's largest component that meet in one cell, and the largest set that rides along with them.
+CHUNK = 512
+SHORT = 1024
+
+
+def _cross_pairs(percent: int):
+    """Pairs of different components in a cell that may link, each in the first band it shares only.
+
+    A row outside the bucket's largest component is in every cell of the bucket, so it
+    meets each other row in the cell that owns that row.  Only a cell is held in memory.
+    """
+
+    def meet(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        rep, n, c, comp = (t[k].to_numpy().astype(np.int64) for k in ("rep", "n_shingles", "common", "comp"))
+        own, large = (t[k].to_numpy(zero_copy_only=False) for k in ("own", "large"))
+        bands = t["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        band = t["band"][0].as_py()
+        sets = t["short"].combine_chunks()
+        at = sets.offsets.to_numpy()
+        flat, known = sets.values.to_numpy(), sets.is_valid().to_numpy(zero_copy_only=False)
+        here = np.flatnonzero(own)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for x in np.flatnonzero(~large):
+            y = here[(comp[here] != comp[x]) & (large[here] | (rep[here] > rep[x]))]
+            most = np.minimum(np.minimum(c[x], c[y]), np.minimum(n[x], n[y]))
+            y = y[100 * most >= percent * (n[x] + n[y] - most)]
+            y = y[~(bands[y, :band] == bands[x, :band]).any(axis=1)]
+            if known[x] and len(y):
+                z, y = y[~known[y]], y[known[y]]
+                mine = flat[at[x] : at[x + 1]]
+                theirs = np.concatenate([mine[:0], *(flat[at[k] : at[k + 1]] for k in y)])
+                hit = mine[np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)] == theirs
+                run = np.concatenate([[0], np.cumsum(hit)])
+                ends = np.cumsum(at[y + 1] - at[y])
+                # Two more than counted, for hashes that fall together in 32 bits.
+                both = run[ends] - run[ends - (at[y + 1] - at[y])] + 2
+                y = np.concatenate([y[100 * both >= percent * (n[x] + n[y] - both)], z])
+            found.append((np.minimum(rep[y], rep[x]), np.maximum(rep[y], rep[x])))
+        none = np.zeros(0, dtype=np.int64)
+        return np.concatenate([none, *(f[0] for f in found)]), np.concatenate([none, *(f[1] for f in found)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if held:
+                a, b = meet(pa.Table.from_batches(held))
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+        for batch in batches:
+            key = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in ("band", "h", "cell")], axis=1)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
+            for i, j in zip([0, *cuts], [*cuts, len(key)], strict=True):
+                if j <= i:
+                    continue
+                if tuple(key[i]) != at:
+                    yield from flush()
+                    at, held = tuple(key[i]), []
+                held.append(batch.slice(i, j - i))
+        yield from flush()
+
+    return run
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, tag: str) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
     one = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -147,13 +211,20 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
         cand.join(comp, cand["rep"] == comp["node"], "left").select("band", "h", "rep", "n_shingles", "common", F.coalesce("component", "rep").alias("comp")),
         "minhash-seen",
     )
-    mixed = materialize(seen.groupBy("band", "h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).filter("c0 < c1").select("band", "h"), "minhash-mixed")
-    part = materialize(seen.join(mixed, ["band", "h"], "left_semi"), "minhash-part")
-    comps = materialize(part.select("band", "h", F.col("comp").alias("other")).distinct(), "minhash-comps")
-    wide = part.join(comps, ["band", "h"]).filter("comp <> other")
-    left = wide.filter("comp < other").select("band", "h", F.col("comp").alias("c"), F.col("other").alias("d"), F.col("rep").alias("a"), F.col("n_shingles").alias("na"), F.col("common").alias("ca"))
-    right = wide.filter("comp > other").select("band", "h", F.col("other").alias("c"), F.col("comp").alias("d"), F.col("rep").alias("b"), F.col("n_shingles").alias("nb"), F.col("common").alias("cb"))
-    cross = materialize(left.join(right, ["band", "h", "c", "d"]).filter(can_link("na", "nb", "ca", "cb")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "minhash-cross")
+    # Buckets of several components: their largest one is dealt into chunks, the rest meets every chunk.
+    tops = seen.groupBy("band", "h", "comp").agg(F.count("*").alias("k")).groupBy("band", "h").agg(F.sum("k").alias("m"), F.count("*").alias("comps"), F.max(F.struct("k", "comp"))["comp"].alias("big"))
+    mixed = materialize(tops.filter("comps > 1").select("band", "h", "big", F.ceil(F.col("m") / CHUNK).cast("int").alias("q")), "minhash-mixed")
+    part = materialize(seen.join(mixed, ["band", "h"]), "minhash-part")
+    bands = member.filter("bands is not null").select("rep", "bands").dropDuplicates(["rep"]).join(part.select("rep").distinct(), "rep", "left_semi")
+    # Small sets ride along in 32 bits, which rules pairs out before they are made.
+    short = sets.withColumnRenamed("id", "rep").join(bands.select("rep"), "rep", "left_semi").groupBy("rep").agg(F.count("*").alias("k"), F.first(F.when(F.size("shingles") <= SHORT, F.col("shingles"))).alias("s"))
+    short = short.select("rep", F.when(F.col("k") == 1, F.array_sort(F.transform("s", lambda x: F.shiftright(x, 32).cast("int")))).alias("short"))
+    part = part.join(materialize(bands.join(short, "rep", "left"), "minhash-bands"), "rep").withColumn("home", F.pmod(F.xxhash64("rep"), F.col("q")).cast("int"))
+    part = part.withColumn("cell", F.explode(F.when(F.col("comp") == F.col("big"), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("q") - 1))))
+    cells = part.select("band", "h", "cell", (F.col("home") == F.col("cell")).alias("own"), (F.col("comp") == F.col("big")).alias("large"), "rep", "n_shingles", "common", "comp", "bands", "short")
+    parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.repartition(parts, "band", "h", "cell").sortWithinPartitions("band", "h", "cell")
+    cross = materialize(cells.mapInArrow(_cross_pairs(p.percent), "a long, b long").distinct(), "minhash-cross")
     more = cross.join(star, ["a", "b"], "left_anti")
     extra = _confirmed(more, sets, p.percent, "minhash-more")
     comp = materialize(connected_components(links.unionByName(extra), "minhash-cc"), "minhash-comp")
