@@ -31,7 +31,7 @@ class GraphParams:
     degree: int = 24
     alpha: float = 1.2
     beam: int = 12
-    #: Queries of the recall audit against all rows, and the recall below which the overlap doubles.
+    #: Linked classes that the audit looks for, and the share of them with every link found below which the overlap doubles.
     audit_rows: int = 1000
     recall: float = 0.9999
     seed: int = 3
@@ -137,6 +137,21 @@ def range_search(x: np.ndarray, adj: np.ndarray, queries: np.ndarray, start: int
     return who[who != node], node[who != node]
 
 
+def missed_links(x: np.ndarray, adj: np.ndarray, p: GraphParams) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row, later row) of cosine >= threshold that the search from the row does not reach, by row."""
+    n, out = len(x), []
+    medoid = int((x @ x.mean(axis=0)).argmax())
+    for a in range(0, n, 256):
+        own = np.arange(a, min(n, a + 256))
+        hit = x[own] @ x.T >= p.threshold - 1e-12
+        who, node = range_search(x, adj, own, medoid, p)
+        hit[who - a, node] = False
+        row, late = np.nonzero(hit)
+        out.append(np.stack([row + a, late])[:, late > row + a])
+    row, late = np.concatenate(out, axis=1)
+    return row, late
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest reachable node of each of n nodes."""
     root = np.arange(n)
@@ -199,9 +214,11 @@ def _by_shard(work):
 
 def _build(p: GraphParams):
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cid = batch.column("cid").to_numpy()
-        adj = pruned_graph(_vectors(batch.column("v")), p)
-        lists = [cid[r[r >= 0]] for r in adj]
+        cid, x = batch.column("cid").to_numpy(), _vectors(batch.column("v"))
+        adj = pruned_graph(x, p)
+        row, late = missed_links(x, adj, p)  # these become edges, so that every link of the shard is found
+        first = np.searchsorted(row, np.arange(len(cid) + 1))
+        lists = [cid[np.concatenate([r[r >= 0], late[a:b]])] for r, a, b in zip(adj, first, first[1:], strict=False)]
         yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(lists, pa.list_(pa.int64()))], ["cid", "near"])
 
     return _by_shard(work)
@@ -258,8 +275,8 @@ def _audit(queries: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float):
                 ids, q = queries[int(d)]
                 part = batch.filter(pa.array(dims == d))
                 x, mult = _vectors(part.column(2)), part.column(3).to_numpy()
-                for i in range(0, len(x), 4096):
-                    hit = (q @ x[i : i + 4096].T >= threshold) @ mult[i : i + 4096]
+                for i in range(0, len(x), 1024):
+                    hit = (q @ x[i : i + 1024].T >= threshold + 1e-12) @ mult[i : i + 1024]  # ties are the search's own
                     for k, m in zip(ids.tolist(), hit.tolist(), strict=True):
                         total[k] = total.get(k, 0) + m
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array(list(total.values()), pa.int64())], ["cid", "exact"])
@@ -274,8 +291,30 @@ def _by_dim(rows: list) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return {d: (np.array([r["cid"] for r in rs]), unit_rows(np.array([r["v"] for r in rs], dtype=np.float64))) for d, rs in out.items()}
 
 
-def _linked(reps: DataFrame, p: GraphParams, n: int) -> DataFrame:
-    """(cid, links, root) of every class and shard."""
+def _wanted(reps: DataFrame, p: GraphParams, n: int) -> DataFrame:
+    """(cid, want) of audited classes that link with others, by comparison with all rows.
+
+    Hash buckets of about ``audit_rows`` classes, at most eight a pass, until as many
+    classes with links are found or all classes are audited.
+    """
+    buckets = -(-n // p.audit_rows)
+    hashed = reps.withColumn("bucket", F.pmod(F.xxhash64("cid", F.lit(99)), F.lit(buckets)))
+    out, met, at = None, 0, 0
+    while at < buckets and met < p.audit_rows:
+        end = min(buckets, at + min(8, max(1, at)))
+        part = hashed.filter(F.col("bucket").between(at, end - 1))
+        asked = _by_dim(part.select("cid", "dim", "v").collect())
+        exact = reps.mapInArrow(_audit(asked, p.threshold), "cid long, exact long").groupBy("cid").agg(F.sum("exact").alias("exact"))
+        want = exact.join(part.select("cid", "mult"), "cid").select("cid", (F.col("exact") - F.col("mult")).alias("want")).filter("want > 0")
+        want = materialize(want, "graph-audit")
+        met += want.count()
+        out = want if out is None else out.unionByName(want)
+        at = end
+    return out
+
+
+def _linked(reps: DataFrame, p: GraphParams, n: int) -> tuple[DataFrame, int]:
+    """(cid, links, root) of every class and shard; and the most shards of a length."""
     spark = reps.sparkSession
     sample = reps.orderBy(F.xxhash64("cid", F.lit(p.seed)), "cid").limit(p.fit_rows).select("cid", "dim", "v").collect()
     by_dim = _by_dim(sample)
@@ -296,7 +335,7 @@ def _linked(reps: DataFrame, p: GraphParams, n: int) -> DataFrame:
     union = materialize(near.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-union")
     block = placed.join(union, "cid").repartition(parts, *key).sortWithinPartitions(*key, "cid")
     found = block.select("cid", "dim", "shard", "v", "mult", "shards", "near").mapInArrow(_search(p), "cid long, links long, root long")
-    return materialize(found, "graph-links")
+    return materialize(found, "graph-links"), max(len(c) for c in centroids.values())
 
 
 def embedding_duplicates(vectors: DataFrame, params: GraphParams = GraphParams()) -> DataFrame:
@@ -304,13 +343,15 @@ def embedding_duplicates(vectors: DataFrame, params: GraphParams = GraphParams()
 
     Exact copies form a class first, so a class of any size is one node.  Classes go to
     the ``overlap`` nearest of the cluster shards; each shard builds a robust-pruned
-    graph, the adjacency lists of all shards are united by class, and every shard is
+    graph and adds the links that a search of it misses as edges, the adjacency lists of all shards are united by class, and every shard is
     searched with the united lists: a greedy beam from the medoid, then an expansion of
     everything near.  Links are verified in double precision, and a pair that meets in
-    several shards counts once.  An audit counts the links of up to ``audit_rows``
-    classes against all rows; while it finds a recall under ``recall``, the overlap is
-    doubled, at the end to all shards, where every pair meets.  Only the bounded
-    k-means sample, the centroids and the audit's queries are held by the driver.
+    several shards counts once.  An audit counts links against all rows, class by class,
+    until ``audit_rows`` classes have some or all are counted; while fewer than
+    ``recall`` of these have every link, each counting once however many links it has,
+    the overlap is doubled, at the end to all shards, where every pair meets.  If links
+    are still missing then, it is an error.  Only the bounded k-means sample, the
+    centroids and the audit's queries of one pass are held by the driver.
 
     Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing and are kept; vectors meet only those of their own length.  A null vec_id
@@ -329,17 +370,16 @@ def embedding_duplicates(vectors: DataFrame, params: GraphParams = GraphParams()
     reps = materialize(member.filter("v is not null").dropDuplicates(["cid"]).select("cid", "dim", "v", "mult"), "graph-classes")
     n = reps.count()
     if n:
-        asked = reps.orderBy(F.xxhash64("cid", F.lit(99)), "cid").limit(p.audit_rows).select("cid", "dim", "v", "mult").collect()
-        exact = reps.mapInArrow(_audit(_by_dim(asked), p.threshold), "cid long, exact long").groupBy("cid").agg(F.sum("exact").alias("exact")).collect()
-        own = {r["cid"]: r["mult"] for r in asked}
-        want = {r["cid"]: r["exact"] - own[r["cid"]] for r in exact}
+        want = _wanted(reps, p, n)
         while True:
-            found = _linked(reps, p, n)
+            found, shards = _linked(reps, p, n)
             links = found.groupBy("cid").agg(F.sum("links").alias("links"))
-            got = {r["cid"]: r["links"] for r in links.filter(F.col("cid").isin(list(want))).collect()}
-            all_, met = sum(want.values()), sum(min(want[k], got.get(k, 0)) for k in want)
-            if all_ == 0 or met >= p.recall * all_ or p.overlap >= p.max_shards:
+            full = F.coalesce("links", F.lit(0)) >= F.col("want")
+            audited, whole = want.join(links, "cid", "left").agg(F.count("*"), F.count(F.when(full, 1))).first()
+            if whole >= p.recall * audited:
                 break
+            if p.overlap >= shards:
+                raise RuntimeError(f"{audited - whole} of {audited} audited classes lack links though all shards were searched")
             p = replace(p, overlap=2 * p.overlap)
         edges = found.filter("root < cid").select(F.col("cid").alias("a"), F.col("root").alias("b"))
         comp = connected_components(edges, "graph-cc")

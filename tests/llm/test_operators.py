@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from facetspark.llm import pii
 from facetspark.llm.dac import Segment, TokenFileParams, encode_segment, token_round_trip
-from facetspark.llm.flatgraph import GraphParams, embedding_duplicates
+from facetspark.llm.flatgraph import GraphParams, embedding_duplicates, missed_links, pruned_graph, range_search, unit_rows
 from facetspark.llm.hdlang import identify_language
 from facetspark.llm.kdtree import TopKParams, top_inner_products
 from facetspark.llm.minhash import MinHashParams, near_duplicates
@@ -254,6 +254,36 @@ def test_embedding_links(spark):
     assert embedding_duplicates(df.filter("false")).count() == 0
 
 
+def test_embedding_links_beside_a_hot_group(spark):
+    rng = np.random.default_rng(21)
+    base = rng.normal(size=(41, 8))
+    x = np.concatenate([base, base + np.concatenate([rng.normal(0, 0.2, (40, 8)), np.full((1, 8), 0.001)])])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    copies = np.where(np.arange(82) % 41 == 40, 200_000, 1)
+    df = spark.createDataFrame([(i, v.tolist(), int(copies[i])) for i, v in enumerate(x)], "i long, embedding array<double>, n int")
+    df = df.withColumn("k", F.explode(F.sequence(F.lit(1), "n"))).selectExpr("100 * k + i AS vec_id", "embedding")
+    got = embedding_duplicates(df, GraphParams(shard_rows=8, overlap=1)).selectExpr("vec_id % 100 AS i", "n_links").distinct()
+    assert sorted(map(tuple, got.collect())) == list(enumerate((hit @ copies - 1).tolist()))
+
+
+def test_every_link_of_a_shard_is_an_edge_or_reached():
+    rng = np.random.default_rng(4)
+    base = unit_rows(rng.normal(size=(20, 16)))
+    side = unit_rows(base + 0.32 * unit_rows(rng.normal(size=(20, 16))))
+    x = unit_rows(np.concatenate([c + rng.normal(0, 0.003, (60, 16)) for c in np.concatenate([base, side])]))
+    p = GraphParams(candidates=6, degree=3, beam=2)
+    adj = pruned_graph(x, p)
+    row, late = missed_links(x, adj, p)
+    assert len(row)
+    wide = np.full((len(x), adj.shape[1] + np.bincount(row).max()), -1)
+    wide[:, : adj.shape[1]] = adj
+    wide[row, adj.shape[1] + np.arange(len(row)) - np.searchsorted(row, row)] = late
+    who, node = range_search(x, wide, np.arange(len(x)), 0, p)
+    hit = np.argwhere(np.triu(x @ x.T >= p.threshold, 1))
+    assert {(min(k), max(k)) for k in zip(who.tolist(), node.tolist())} == set(map(tuple, hit.tolist()))
+
+
 def test_top_k(spark):
     rows = [(i, v) for i, v in enumerate(vectors(10))]
     df = spark.createDataFrame([(i, v, 3) for i, v in rows], "vec_id long, embedding array<double>, rank int")
