@@ -106,6 +106,25 @@ def test_cylinder_and_circle(spark):
     assert abs(got["diameter_mm"] - 50) < 1.5 and abs(got["pz"]) < 1e-9
 
 
+@pytest.mark.parametrize("thr, diameter, axis", [(None, None, None), (2.0, 80.0, (0.0, 0.0, 1.0))])
+def test_large_groups_are_fitted_on_all_points(spark, thr, diameter, axis):
+    rng = np.random.default_rng(8)
+    a = rng.uniform(0, 2 * np.pi, 2400)
+    xyz = np.stack([40 * np.cos(a) + 900, 40 * np.sin(a), rng.uniform(-100, 100, 2400)], axis=1) + rng.normal(0, 0.05, (2400, 3))
+    xyz[:200] += rng.normal(0, 10, (200, 3))
+    df = cloud(spark, xyz).selectExpr("*", "point_id % 3 AS grp", "0D AS nx", "0D AS ny", "1D AS nz", "0D AS d")
+    flat = df.withColumn("z", F.lit(0.0))
+    fits = []
+    for cap in (80_000, 500):
+        p = rounds.RoundParams(threshold_mm=thr, diameter_mm=diameter, max_points=cap)
+        fits.append([rounds.fit_cylinders(df, "grp", p, axis).orderBy("grp").collect(), rounds.fit_circles(flat, "grp", p).orderBy("grp").collect()])
+    for whole, stepped in zip(*fits, strict=True):
+        assert [(r["grp"], r["status"]) for r in stepped] == [(g, "ok") for g in range(3)]
+        for w, g in zip(whole, stepped, strict=True):
+            assert g["n_inliers"] > 700 and abs(g["n_inliers"] - w["n_inliers"]) <= 8  # the start differs
+            assert abs(g["diameter_mm"] - w["diameter_mm"]) < 0.02 and g["mad_sigma_mm"] == pytest.approx(w["mad_sigma_mm"], rel=0.05)
+
+
 def test_components_are_four_connected(spark):
     cells = spark.createDataFrame([(0, 0, 5), (0, 1, 5), (1, 2, 5), (5, 5, 9)], "iu long, iv long, cnt long")
     labels = {(r["iu"], r["iv"]): r["label"] for r in regions.grid_components(cells).collect()}
