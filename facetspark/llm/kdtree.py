@@ -85,14 +85,15 @@ class KDTree:
                 near = np.flatnonzero(scores >= kth)
             else:
                 near = np.arange(b - a)
+            near = near[self.ids[a + near] != own]
             if len(near) > 4 * k:
-                # Ties of the kth score are all kept, as the smaller id counts.
-                cut = np.partition(scores[near], len(near) - k - 1)[len(near) - k - 1]
-                near = near[scores[near] >= cut]
+                # Each id once, with its highest score; ties of the kth score are all kept, as the smaller id counts.
+                near = near[np.argsort(scores[near], kind="stable")[::-1]]
+                near = near[np.unique(self.ids[a + near], return_index=True)[1]]
+                if len(near) > k:
+                    near = near[scores[near] >= np.partition(scores[near], len(near) - k)[len(near) - k]]
             for j in near:
                 item = (scores[j], -int(self.ids[a + j]))
-                if -item[1] == own:
-                    continue
                 same = next((x for x in best if x[1] == item[1]), None)
                 if same is not None:  # a repeated id counts once, with its higher score
                     if item > same:

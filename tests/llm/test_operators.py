@@ -223,6 +223,15 @@ def test_language(spark, sf, docs, none):
     assert identify_language(none).count() == 0
 
 
+def test_top_k_with_repeated_rows(spark):
+    rows = [(0, [2.0, 1.0])] * 8 + [(7, [9.0, 9.0])] * 9 + [(8, [8.0, 8.0])] * 9 + [(i, [1.0, i / 10]) for i in range(11, 40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    q = {i: np.floor(256 * np.array(v)).astype(int) for i, v in rows}
+    best = sorted((-int(q[0] @ q[i]), i) for i in q if i)[:5]
+    for p in (TopKParams(leaf_rows=200), TopKParams(leaf_rows=4)):
+        assert sorted(map(tuple, top_inner_products(df, p).distinct().collect())) == [(0, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+
+
 def test_quality(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
