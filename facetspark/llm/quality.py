@@ -58,7 +58,7 @@ def doc_features(data: np.ndarray, offsets: np.ndarray, p: QualityParams) -> Ite
             h *= np.uint64(0xBF58476D1CE4E5B9)
             f = (h >> np.uint64(40)) & mask
             feats.append(f.astype(np.int64))
-            cuts.append(np.minimum(offs, m))
+            cuts.append(offs)
         yield feats, cuts, offs
 
 
@@ -76,9 +76,10 @@ class QualityModel:
             total, count = np.zeros(len(offs) - 1), np.zeros(len(offs) - 1)
             for f, c, g in zip(feats, cuts, (1, 1, *self.params.grams), strict=True):
                 run = np.concatenate([[0.0], np.cumsum(self.value[f], dtype=np.float64)])
-                stop = np.maximum(c[:-1], c[1:] - (g - 1))
-                total += run[stop] - run[c[:-1]]
-                count += stop - c[:-1]
+                start = np.minimum(c[:-1], len(f))
+                stop = np.maximum(start, c[1:] - (g - 1))
+                total += run[stop] - run[start]
+                count += stop - start
             out.append(np.where(count > 0, total / np.maximum(count, 1), 0.0))
         return np.concatenate(out) + self.bias if out else np.zeros(0)
 

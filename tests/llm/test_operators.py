@@ -17,7 +17,7 @@ from facetspark.llm.kdtree import TopKParams, top_inner_products
 from facetspark.llm.minhash import MinHashParams, near_duplicates
 from facetspark.llm.mixing import MixParams, mix_sources, mixed_documents
 from facetspark.llm.packing import PackParams, pack_documents
-from facetspark.llm.quality import quality_scores
+from facetspark.llm.quality import QualityModel, QualityParams, quality_scores
 from facetspark.llm.tokens import WordTokenizer
 from facetspark.llm.urlrules import UrlRuleParams, judge_urls
 
@@ -232,6 +232,19 @@ def test_top_k_with_repeated_rows(spark):
         assert sorted(map(tuple, top_inner_products(df, p).distinct().collect())) == [(0, k + 1, i, -s) for k, (s, i) in enumerate(best)]
 
 
+def test_quality_does_not_depend_on_the_place_in_a_block():
+    p = QualityParams()
+    rng = np.random.default_rng(1)
+    model = QualityModel(rng.normal(size=(p.buckets, 4)), rng.normal(size=(4, 2)), np.zeros(2), p)
+    texts = [b"one two", b"abc", b"", b"x", b"one two", b"abc", b"x", b"", b"one two"]
+    offsets = np.cumsum([0, *map(len, texts)])
+    got = dict.fromkeys(texts)
+    for t, m in zip(texts, model.margins(np.frombuffer(b"".join(texts), dtype=np.uint8), offsets), strict=True):
+        alone = model.margins(np.frombuffer(t, dtype=np.uint8), np.array([0, len(t)]))[0]
+        assert m == pytest.approx(alone) and got[t] in (None, pytest.approx(m))
+        got[t] = m
+
+
 def test_quality(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
