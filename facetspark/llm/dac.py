@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .scratch import scratch_path
-from .tokens import in_groups, tokenizer
+from .tokens import tokenizer
 
 MAGIC = b"DAC1"
 BLOCK = 512
@@ -137,17 +137,15 @@ def _write(params: TokenFileParams):
 
         size = 0
         for batch in batches:
-            names = batch.column(0).to_pylist()
-            for first, texts in in_groups(batch.column(1).to_pylist()):
-                for i, body in enumerate(tok.ids(texts), first):
-                    ids = body + end
-                    docs.append(names[i])
-                    held.append(ids)
-                    lengths.append(len(ids) // 4)
-                    size += len(ids) // 4
-                    if size >= params.segment_ids:
-                        yield segment()
-                        size = 0
+            for name, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids = tok.ids(text.as_py()) + end
+                docs.append(name.as_py())
+                held.append(ids)
+                lengths.append(len(ids) // 4)
+                size += len(ids) // 4
+                if size >= params.segment_ids:
+                    yield segment()
+                    size = 0
         if docs:
             yield segment()
 

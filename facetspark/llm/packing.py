@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .scratch import materialize
-from .tokens import in_groups, tokenizer
+from .tokens import tokenizer
 
 #: (lengths, repeats): so many sequences that hold pieces of these lengths, in this order.
 Run = tuple[tuple[int, ...], int]
@@ -156,14 +156,12 @@ def _pieces(params: PackParams, with_ids: bool):
         size = 4 * params.capacity
         for batch in batches:
             rows: tuple[list, ...] = ([], [], [], [], [], [])
-            docs = batch.column(0).to_pylist()
-            for first, texts in in_groups(batch.column(1).to_pylist()):
-                for i, body in enumerate(tok.ids(texts), first):
-                    ids = body + end
-                    for k in range(0, len(ids), size):
-                        part = ids[k : k + size]
-                        for column, value in zip(rows, (docs[i], k // size, k // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None), strict=True):
-                            column.append(value)
+            for doc, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids = tok.ids(text.as_py()) + end
+                for k in range(0, len(ids), size):
+                    part = ids[k : k + size]
+                    for column, value in zip(rows, (doc.as_py(), k // size, k // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None), strict=True):
+                        column.append(value)
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], list(names))

@@ -7,19 +7,20 @@ import os
 import re
 import sys
 from array import array
-from collections.abc import Iterator
 
-
-#: Chunks remembered by each Python worker.
+#: Entries of each of the memo's two generations, and the longest chunk that is remembered: together its bound in bytes.
 MEMO_ENTRIES = 400_000
+MEMO_CHARS = 48
+#: Characters of a very long text that are split into chunks at once.
+SLICE_CHARS = 1 << 20
 #: Characters that str.split() takes for white space but the tokenizers' patterns do not.
 _CONTROL = re.compile("[\x1c-\x1f]")
 
-
-#: ASCII letters, then ASCII signs but apostrophes: two pieces at most for the pre-tokenizer below.
-_WORD = re.compile(r"([A-Za-z]+)([!-&(-/:-@\[-`{-~]*)")
-#: The settings under which the library lower-cases and splits such a chunk
-#: into its letters and its signs, so that its model can be given the letters directly.
+#: Latin-1 letters (lower case) and digits as the tokenizers' patterns see them.
+_LETTER, _NUMBER = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: The settings under which the library lower-cases and splits a chunk of Latin-1
+#: characters as ``_PIECE`` does, so that its model can be given the pieces directly.
+_PIECE = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[{_NUMBER}]|[^{_LETTER}{_NUMBER}]+")
 _PLAIN = [
     {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
     {
@@ -35,6 +36,13 @@ _PLAIN = [
 ]
 
 
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
 def _packed(ids: list[int]) -> bytes:
     out = array("I", ids)
     if sys.byteorder == "big":
@@ -42,13 +50,31 @@ def _packed(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
+class _Memo(dict):
+    """Ids of chunks; what is missing is taken from the older generation or encoded."""
+
+    def __init__(self, encode, older: dict):
+        super().__init__()
+        self.encode, self.older = encode, older
+
+    def __missing__(self, chunk: str) -> bytes:
+        ids = self.older.get(chunk)
+        if ids is None:
+            ids = self.encode(chunk, self)
+        if len(chunk) <= MEMO_CHARS:
+            self[chunk] = ids
+        return ids
+
+
 class WordTokenizer:
     """Token ids of texts as little-endian unsigned 32-bit bytes.
 
     A tokenizer whose normalizer maps white space to a space and whose pre-tokenizer
     never joins across it encodes a text as the concatenation of its white-space
     separated chunks.  Each distinct chunk is encoded once by the library and kept in
-    a memo of bounded size; ``whole=True`` (any other tokenizer) encodes each text at once.
+    a memo; when a generation of it is full it becomes the older one and the older one
+    goes, so common chunks stay.  ``whole=True`` (any other tokenizer) encodes each
+    text at once.
     """
 
     def __init__(self, path: str, whole: bool = False, memo_entries: int = MEMO_ENTRIES):
@@ -59,72 +85,53 @@ class WordTokenizer:
         self._model.encode_special_tokens = True
         self._whole, self._most = whole, memo_entries
         config = json.loads(self._model.to_str())
-        self._plain = [config.get(k) for k in ("normalizer", "pre_tokenizer")] == _PLAIN
-        self._memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [_packed(e.ids) for e in self._model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, chunks: list[str]) -> None:
-        """Put new chunks in the memo."""
-        memo = self._memo
-        if not self._plain:
-            memo.update(zip(chunks, self._encode(chunks), strict=True))
-            return
-        rest, joined = [], []
-        bpe = self._model.model.tokenize
-        for chunk in chunks:
-            m = _WORD.fullmatch(chunk)
-            if not m:
-                rest.append(chunk)
-                continue
-            word, tail = m[1].lower(), m[2]
-            if word not in memo:
-                memo[word] = _packed([t.id for t in bpe(word)])
-            if tail and tail not in memo:
-                memo[tail] = self._encode([tail])[0]
-            joined.append((chunk, word, tail))
-        if rest:
-            memo.update(zip(rest, self._encode(rest), strict=True))
-        for chunk, word, tail in joined:
-            memo[chunk] = memo[word] + memo[tail] if tail else memo[word]
-
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text; null counts as empty.  Texts are best given many at a time."""
-        split: list = []
-        want: set[str] = set()
-        for text in texts:
-            if not text:
-                split.append([])
-            elif self._whole or _CONTROL.search(text):
-                split.append(text)
-            else:
-                chunks = text.split()
-                want.update(chunks)
-                split.append(chunks)
-        memo = self._memo
-        new = list(want.difference(memo))
-        if len(memo) + len(new) > self._most:
-            # The older half stays: common chunks come early.
-            for chunk in list(memo)[self._most // 2 :]:
-                del memo[chunk]
-            new = list(want.difference(memo))
-        self._learn(new)
-        get = memo.__getitem__
-        return [b"".join(map(get, x)) if isinstance(x, list) else self._encode([x])[0] for x in split]
-
-
-def in_groups(texts: list[str | None], most: int = 1 << 20) -> Iterator[tuple[int, list[str | None]]]:
-    """(first, texts): runs of at most ``most`` characters, or of one longer text."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text or "")
-        if i > start and size + n > most:
-            yield start, texts[start:i]
-            start, size = i, 0
-        size += n
-    if start < len(texts):
-        yield start, texts[start:]
+        plain = [config.get(k) for k in ("normalizer", "pre_tokenizer")] == _PLAIN
+        self._bpe = self._model.model.tokenize
+        self._letters = _byte_letters()
+        self._memo = _Memo(self._pieces if plain else self._chunk, {})
+
+    def _text(self, text: str) -> bytes:
+        return _packed(self._model.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    def _chunk(self, chunk: str, memo: _Memo) -> bytes:
+        return self._text(chunk)
+
+    def _pieces(self, chunk: str, memo: _Memo) -> bytes:
+        """Ids of a chunk from those of its pieces; one beyond Latin-1 is left to the library as a whole."""
+        low = chunk.lower()
+        if not low.isascii():
+            try:
+                low.encode("latin-1")
+            except UnicodeEncodeError:
+                return self._text(chunk)
+        if low.isalpha():
+            return self._letter_ids(low) if low == chunk else memo[low]
+        pieces = _PIECE.findall(low)
+        if len(pieces) == 1:
+            return self._letter_ids(low) if low == chunk else memo[low]
+        return b"".join([memo[p] for p in pieces])
+
+    def _letter_ids(self, piece: str) -> bytes:
+        if not piece.isascii() or not piece.isprintable():
+            piece = piece.encode().decode("latin-1").translate(self._letters)
+        return _packed([t.id for t in self._bpe(piece)])
+
+    def ids(self, text: str | None) -> bytes:
+        """Ids of a text; null counts as empty."""
+        if not text:
+            return b""
+        if self._whole or _CONTROL.search(text):
+            return self._text(text)
+        out, at = [], 0
+        while at < len(text):
+            cut = text.find(" ", at + SLICE_CHARS)
+            cut = len(text) if cut < 0 else cut
+            if len(self._memo) > self._most:
+                self._memo.older = {}
+                self._memo = _Memo(self._memo.encode, self._memo)
+            out.append(b"".join(map(self._memo.__getitem__, text[at:cut].split())))
+            at = cut
+        return out[0] if len(out) == 1 else b"".join(out)
 
 
 _held: dict[tuple, WordTokenizer] = {}

@@ -159,9 +159,19 @@ def test_mix(docs, none, rows):
 
 def test_tokens_match_the_library(rows):
     w = WordTokenizer(BPE, memo_entries=500)
-    texts = [r[1] for r in rows] + ["don't x's 'll a_b ^`{ <|endoftext|> ﬁ ＡＢ x%%% É.", "a b\u3000c\x85d"]
-    for t, ids in zip(texts, w.ids(texts), strict=True):
-        assert np.frombuffer(ids, dtype="<u4").tolist() == w._model.encode(t or "", add_special_tokens=False).ids
+    texts = [r[1] for r in rows] + ["don't x's 'll a_b ^`{ <|endoftext|> ﬁ ＡＢ x%%% É.", "a b\u3000c\x85d", '"\'S "\'re ÀÉ\'s ª² ½x µ× Œuf l\'Été ÿŸ \xad- a\xa0b \x7f ẞ']
+    texts += ["".join(map(chr, range(k, k + 64))) for k in range(0, 640, 64)] + [" ".join(chr(k) + "a" + chr(k) for k in range(33, 700))]
+    for t in [*texts, *texts]:
+        assert np.frombuffer(w.ids(t), dtype="<u4").tolist() == w._model.encode(t or "", add_special_tokens=False).ids
+
+
+def test_long_texts_are_split_at_spaces_only(monkeypatch):
+    from facetspark.llm import tokens
+
+    text = words(random.Random(3), 3000)
+    whole = WordTokenizer(BPE).ids(text)
+    monkeypatch.setattr(tokens, "SLICE_CHARS", 37)
+    assert WordTokenizer(BPE).ids(text) == whole
 
 
 def test_pack(docs, none, rows):
@@ -169,7 +179,7 @@ def test_pack(docs, none, rows):
     lib = WordTokenizer(BPE)
     want = {}
     for r in [*rows, rows[20]]:
-        ids = lib.ids([r[1]])[0] + (0).to_bytes(4, "little")
+        ids = lib.ids(r[1]) + (0).to_bytes(4, "little")
         for k in range(0, len(ids), 256):
             key = (r[0], k // 256, k // 4, len(ids[k : k + 256]) // 4, zlib.crc32(ids[k : k + 256]))
             want[key] = want.get(key, 0) + 1
@@ -205,7 +215,7 @@ def test_token_files(docs, none, rows):
     got = sorted(token_round_trip(docs, TokenFileParams(BPE, segment_ids=500)).collect(), key=lambda r: r["start"])
     lib, at = WordTokenizer(BPE), 0
     for r, (i, text, *_) in zip(got, sorted([*rows, rows[20]], key=lambda r: r[0]), strict=True):
-        ids = lib.ids([text])[0] + (1).to_bytes(4, "little")
+        ids = lib.ids(text) + (1).to_bytes(4, "little")
         assert tuple(r) == (i, at, len(ids) // 4, zlib.crc32(ids))
         at += len(ids) // 4
     assert token_round_trip(none, TokenFileParams(BPE)).count() == 0
