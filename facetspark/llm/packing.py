@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,68 +24,71 @@ class PackParams:
     tokenizer_path: str
     capacity: int = 2048
     end_id: int = 0
-    max_patterns: int = 20_000
+    #: Pieces of a pattern at most, draws of a round, rounds of the fit.
+    pattern_pieces: int = 8
+    draws: int = 12_000
     sweeps: int = 60
+    seed: int = 1
 
 
-def length_patterns(histogram: np.ndarray, capacity: int, most: int) -> list[tuple[int, ...]]:
-    """Patterns of one to four present lengths that fill a sequence exactly, commonest lengths first.
+def length_patterns(histogram: np.ndarray, params: PackParams, slack: int, rng: np.random.Generator) -> np.ndarray:
+    """(patterns, pattern_pieces) lengths, longest first and 0 for none, that fill a sequence up to ``slack``.
 
-    The number is bounded by ``most``; what they cannot fit is packed as residual.
+    Starts are draws in proportion to the histogram, half of them begun with each
+    present length in turn; what room a start leaves is given to the present length
+    that fits best.  Their number is bounded by ``draws`` and ``pattern_pieces``.
     """
-    present = [int(x) for x in np.flatnonzero(histogram)]
-    have = set(present)
-    common = sorted(present, key=lambda x: (-histogram[x], -x))
-    out: dict[tuple[int, ...], None] = {}
-    for a in present:
-        b = capacity - a
-        if a >= b and b in have and (a > b or histogram[a] >= 2):
-            out[(a, b)] = None
-    for depth in (60, 24):
-        short = common[:depth]
-        for a in common:
-            for b in short:
-                if b > a:
-                    continue
-                rest = capacity - a - b
-                if depth == 60:
-                    if 0 < rest <= b and rest in have:
-                        out[(a, b, rest)] = None
-                else:
-                    for c in short:
-                        d = rest - c
-                        if c <= b and 0 < d <= c and d in have:
-                            out[(a, b, c, d)] = None
-                if len(out) >= most:
-                    return list(out)
-    return list(out)
-
-
-def fit_repeats(histogram: np.ndarray, patterns: list[tuple[int, ...]], sweeps: int) -> np.ndarray:
-    """Non-negative least squares min ||A x - h|| by cyclic coordinate descent; A counts lengths in patterns."""
-    x = np.zeros(len(patterns))
-    left = histogram.astype(np.float64).copy()
-    columns = []
-    for p in patterns:
-        lengths, counts = np.unique(p, return_counts=True)
-        columns.append((lengths.tolist(), counts.tolist(), float((counts**2).sum())))
-    rest = left.tolist()
+    capacity, width = params.capacity, params.pattern_pieces
+    present = np.flatnonzero(histogram)
+    nearest = np.maximum.accumulate(np.where(histogram > 0, np.arange(len(histogram)), 0))
+    share = np.cumsum(histogram) / histogram.sum()
+    draw = np.minimum(np.searchsorted(share, rng.random((params.draws, width - 1)), side="right"), capacity)
+    head = np.repeat(present[::-1], max(1, params.draws // 2 // len(present)))[: params.draws]
+    draw[: len(head), 0] = head
+    room = capacity - np.cumsum(draw, axis=1)
+    last = nearest[np.maximum(room, 0)]
+    row, k = np.nonzero((last > 0) & (room - last <= slack))
+    start = np.where(np.arange(width - 1) <= k[:, None], draw[row], 0)
+    patterns = np.unique(-np.sort(-np.concatenate([start, last[row, k][:, None]], axis=1), axis=1), axis=0)
+    times = (patterns[:, :, None] == patterns[:, None, :]).sum(axis=2)
+    return patterns[((patterns == 0) | (histogram[patterns] >= times)).all(axis=1)]
+
+
+def fit_repeats(histogram: np.ndarray, patterns: np.ndarray, sweeps: int) -> np.ndarray:
+    """Non-negative least squares min ||A x - h||, A counting lengths in patterns, by multiplicative steps.
+
+    All numbers are non-negative, so x * (A'h) / (A'Ax) stays so and never raises the
+    error.  A is the index table ``patterns``: its products are a gather and a count.
+    """
+    flat, width = patterns.ravel(), patterns.shape[1]
+
+    def gathered(r: np.ndarray) -> np.ndarray:
+        r[0] = 0.0
+        return r[patterns].sum(axis=1)
+
+    goal = gathered(histogram.astype(np.float64))
+    x = np.full(len(patterns), histogram.sum() / (3 * len(patterns)))
     for _ in range(sweeps):
-        moved = 0.0
-        for j, (lengths, counts, norm) in enumerate(columns):
-            step = sum(rest[k] * c for k, c in zip(lengths, counts, strict=True)) / norm
-            new = max(0.0, x[j] + step)
-            step = new - x[j]
-            if step:
-                x[j] = new
-                moved = max(moved, abs(step))
-                for k, c in zip(lengths, counts, strict=True):
-                    rest[k] -= step * c
-        if moved < 0.01:
-            break
+        x *= goal / np.maximum(gathered(np.bincount(flat, np.repeat(x, width), minlength=len(histogram))), 1e-12)
     return x
 
 
+def rounded_runs(histogram: np.ndarray, patterns: np.ndarray, x: np.ndarray) -> tuple[list[Run], np.ndarray]:
+    """Whole repeats first, then one more by largest remainder, as long as the histogram has the pieces."""
+    left, taken = histogram.tolist(), {}
+    rows = patterns.tolist()
+    whole = np.floor(x).astype(np.int64)
+    steps = [(int(j), int(whole[j])) for j in np.flatnonzero(whole)] + [(int(j), 1) for j in np.argsort(whole - x, kind="stable")]
+    for j, n in steps:
+        need = Counter(v for v in rows[j] if v)
+        n = min(n, *(left[v] // k for v, k in need.items()))
+        if n > 0:
+            for v, k in need.items():
+                left[v] -= n * k
+            taken[j] = taken.get(j, 0) + n
+    return [(tuple(v for v in rows[j] if v), n) for j, n in taken.items()], np.array(left, dtype=np.int64)
+
+
 def best_fit_runs(histogram: np.ndarray, capacity: int) -> list[Run]:
     """Best-fit decreasing over a histogram: whole groups of equal bins and equal pieces move at once."""
     bins: dict[int, dict[tuple[int, ...], int]] = {}  # room left -> pattern -> number
@@ -121,32 +125,27 @@ def best_fit_runs(histogram: np.ndarray, capacity: int) -> list[Run]:
     return [(p, n) for at in bins.values() for p, n in at.items()]
 
 
-def plan_runs(histogram: np.ndarray, params: PackParams) -> list[Run]:
-    """The whole packing plan of a histogram of lengths 1 ... capacity.
+def plan_runs(histogram: np.ndarray, params: PackParams) -> tuple[list[Run], int]:
+    """The whole packing plan of a histogram of lengths 1 ... capacity, and the pieces that best fit placed.
 
-    Its size is bounded by the number of lengths and patterns, not by the number of
-    documents.  If plain best fit of all lengths needs fewer sequences than the fitted
-    patterns with their residual, that plan is taken.
+    Patterns are fitted and rounded, and those of what is left again, first exact ones
+    and, when these place less than a tenth, ones with a little more room; the residual
+    is packed by best fit.  The plan's size is bounded by the numbers of lengths and
+    patterns, not by the number of documents.
     """
     h = histogram.astype(np.int64).copy()
-    runs: list[Run] = []
-    if h[params.capacity]:
-        runs.append(((params.capacity,), int(h[params.capacity])))
-        h[params.capacity] = 0
-    patterns = length_patterns(h, params.capacity, params.max_patterns)
-    x = fit_repeats(h, patterns, params.sweeps)
-    left = h.copy()
-    fitted: list[Run] = []
-    for j in np.argsort(-x, kind="stable"):
-        n = int(np.floor(x[j] + 1e-9))
-        lengths, counts = np.unique(patterns[j], return_counts=True)
-        n = min(n, int((left[lengths] // counts).min()))
-        if n > 0:
-            left[lengths] -= n * counts
-            fitted.append((patterns[j], n))
-    fitted += best_fit_runs(left, params.capacity)
-    plain = best_fit_runs(h, params.capacity)
-    return runs + (fitted if sum(n for _, n in fitted) <= sum(n for _, n in plain) else plain)
+    runs: list[Run] = [((params.capacity,), int(h[params.capacity]))] if h[params.capacity] else []
+    h[params.capacity] = 0
+    rng, slack = np.random.default_rng(params.seed), 0
+    while h.any() and slack <= params.capacity // 32:
+        before = int(h.sum())
+        patterns = length_patterns(h, params, slack, rng)
+        if len(patterns):
+            new, h = rounded_runs(h, patterns, fit_repeats(h, patterns, params.sweeps))
+            runs += new
+        if before - int(h.sum()) < 0.1 * before:
+            slack = 2 * slack + 1
+    return runs + best_fit_runs(h, params.capacity), int(h.sum())
 
 
 def _pieces(params: PackParams, with_ids: bool):
@@ -225,7 +224,7 @@ def pack_documents(docs: DataFrame, params: PackParams, with_ids: bool = False)
     for r in counted:
         histogram[r["length"]] = r["count"]
     total = int(histogram.sum())
-    runs = plan_runs(histogram, params)
+    runs, _ = plan_runs(histogram, params)
     buckets = min(4096, max(1, -(-total // 2000)))
     ranked = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
     inside = Window.partitionBy("bucket", "length").orderBy("doc_id", "piece", "ids_crc32")

@@ -16,7 +16,7 @@ from facetspark.llm.hdlang import identify_language
 from facetspark.llm.kdtree import TopKParams, top_inner_products
 from facetspark.llm.minhash import MinHashParams, near_duplicates
 from facetspark.llm.mixing import MixParams, mix_sources, mixed_documents
-from facetspark.llm.packing import PackParams, pack_documents
+from facetspark.llm.packing import PackParams, fit_repeats, pack_documents, plan_runs
 from facetspark.llm.quality import QualityModel, QualityParams, quality_scores
 from facetspark.llm.tokens import WordTokenizer
 from facetspark.llm.urlrules import UrlRuleParams, judge_urls
@@ -201,6 +201,31 @@ def test_pack(docs, none, rows):
     assert pack_documents(none, PackParams(BPE)).count() == 0
 
 
+@pytest.mark.parametrize("n", [1, 30, 1000, 20000])
+def test_patterns_place_the_pieces(n):
+    rng = np.random.default_rng(n)
+    p = PackParams(BPE)
+    h = np.bincount(np.minimum(rng.lognormal(6.2, 0.9, n).astype(int) + 1, 2048), minlength=2049)
+    runs, residual = plan_runs(h, p)
+    placed = np.zeros(2049, dtype=int)
+    for pattern, k in runs:
+        assert sum(pattern) <= 2048 and k > 0
+        np.add.at(placed, list(pattern), k)
+    assert (placed == h).all()
+    assert sum(k for _, k in runs) <= 1.01 * -(-(np.arange(2049) * h).sum() // 2048) + 1
+    assert residual <= max(30, 0.1 * n)
+
+
+def test_repeats_are_the_least_squares():
+    h = np.array([0, 4, 2, 0, 3, 0])
+    patterns = np.array([[4, 1, 0], [2, 2, 1], [2, 1, 1]])
+    a = np.array([[(row == v).sum() for row in patterns] for v in (1, 2, 4)], dtype=float)
+    grid = np.stack(np.meshgrid(*[np.arange(0, 4.01, 0.05)] * 3, indexing="ij"), axis=-1).reshape(-1, 3)
+    best = ((grid @ a.T - h[[1, 2, 4]]) ** 2).sum(axis=1).min()
+    x = fit_repeats(h, patterns, 3000)
+    assert (x >= 0).all() and ((a @ x - h[[1, 2, 4]]) ** 2).sum() <= best + 1e-3
+
+
 def test_dac_round_trip():
     rng = np.random.default_rng(8)
     for n in (0, 1, 511, 512, 5000):
