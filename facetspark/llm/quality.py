@@ -156,8 +156,8 @@ def _held_out(column: str):
     return F.crc32(F.col(column).cast("string").cast("binary")) % 5 == 0
 
 
-def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
-    """``docs`` with a column quality_score (0 to 1) of each whole text."""
+def score_quality(docs: DataFrame, model: QualityModel, name: str = "quality_score") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1) of each whole text."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     names = docs.columns
 
@@ -167,9 +167,9 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
         for batch in batches:
             data, offsets = text_buffers(batch.column(at))
             score = 1 / (1 + np.exp(-np.clip(m.margins(data, offsets), -500, 500)))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, name])
 
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     return docs.mapInArrow(run, schema)
 
 

@@ -54,7 +54,7 @@ def op3_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix_sources
 
-    return mix_sources(_table(spark, sf_dir, "documents")).drop("row_key")
+    return mix_sources(_table(spark, sf_dir, "documents"))
 
 
 def op5_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
