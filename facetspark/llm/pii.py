@@ -1,9 +1,10 @@
-"""Personal data: fixed patterns, and a linear-chain CRF over word shapes that adds credentials."""
+"""Personal data: fixed patterns, and a linear-chain CRF over word shapes that adds credentials, names and street addresses."""
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 
 from .textbytes import blocks, mix64, text_buffers, word_bounds, word_hashes
 
-#: Kinds in the order in which spans of one start are listed; the last is the CRF's.
-KINDS = ("email", "ip", "card", "phone", "secret")
+#: Kinds in the order in which spans of one start are listed; the last three are the CRF's.
+KINDS = ("email", "ip", "card", "phone", "secret", "person", "address")
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -77,163 +78,325 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
-# Training table: one sequence a line; what is between [[ and ]] is a credential.
-_EXAMPLES = """
-the token = "[[04dbebab91ab85687d33eeaaf9ac699e1188f962]]" was left in the file
-token = "[[cb1a9fee807a05366fcb8b6c95c7c565ede51a72]]"
- token = "[[2abc3ff2ca8fb1e4c565a0eb63815530a948bdde]]" From the start
-we set token = "[[f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda]]" here. And so on
-TOKEN!! =!! "[[9B0B3C6A43EB78AA99CBD7049C572391524F37A8]]"!! SEEN!! HERE!!
-in%%% token$$$ =%%% "[[1d190bd7c06284de91015a36974748794293dd8a]]"### and&&& more***
-osdobo | token | = | "[[9b0b3c6a43eb78aa99cbd7049c572391524f37a8]]" | llcoja
-secret = "[[a8f5f167f44f4964e6c998dee827110c]]" in the settings
-api_key = "[[sk9Xa72bLq0PzR81mWc44TyUe53]]" must not be shared
-api_key: [[AKx81Zq00bW7mN2vC9dL5pR3]]
-password = "[[hunter2longpass99xyz]]"
-password: [[Zx9kQ2mmW81pLr0t]] works
-export KEY=[[f81d4fae7dec11d0a76500a0c91e6bf6]]
-key = "[[7f3c9e1b5a2d4860]]" done
-Authorization: Bearer [[eyJhbGciOiJIUzI1NiJ9eyJzdWIiOiIxMjM0NTY3ODkwIn0]]
-secret: [[c0ffee254729296a45a3885639ac7e10]] end
-access token [[4bf92f3577b34da6a3ce929d0e0e4736]] granted
-client_secret = '[[00f067aa0ba902b7d3adb33f77aa11c2]]'
-Morning came over harbour. Fishermen gathered nets and went out. Nothing moved there
-Winter mornings. Everything waited, quietly. Something stirred beneath
-Understanding everything. Outsiders rarely noticed. Afterwards they left
-The meeting ended. Representatives returned home. Conversation continued elsewhere
-Later that evening, Margaret opened letters. Strangers wrote often. Answers followed
-Mornings, | evenings. | Noon
-columns | headings. | Entries | remarks
-rows. | Columns | values.
-Elle regardait longtemps. Personne répondait. Ensuite
-Quelquefois, maintenant. Pourtant personne bougeait. Éternellement
-Manchmal regnet es. Niemand wusste warum. Überall lagen Blätter
-Vielleicht morgen. Irgendwann kommt jemand. Schließlich
-Nadie respondía. Entonces llegaron todos. Últimamente
-Siempre mañana. Mientras tanto esperaban. Ninguna
-thinning reordering. Ofthertiont hereand. Andthering
-Shorten ingthere. Thaterand hereing. Enterhand
-en. Chieren auxment. Tionelle. Ouverier
-Done. End. Next. Again. More. Less. Other. Another. Whatever
-Unfortunately nothing. Internationalization followed. Counterrevolutionaries
-He was there. She was not. They were. It is. We had. You can
-Certainly; however, nevertheless: furthermore. Consequently
-A man. The cat. One day. That night. This house. Those trees. Some people
-niños$$$ acción%%% lugares.*** corazón### rápida&&& después.%%%
-füßen&&& größe.$$$ straße### élève*** déjà.%%% naïve&&&
-thing.*** there,%%% reason.### other$$$ matter.&&&
-the and of to was in a thing on there by reason
-The quick answer came. And then, nothing more to say of it
-El cielo de la ciudad estaba gris, y la gente no quería salir
+# The labelled table: one line of text a row, personal data between [[kind: and ]].  Slots stand for
+# values that the seeded rule below makes, several for each row: {s} a credential, {w} a phrase of
+# common words, {n} a person's name, {a} a street address, {h} a checksum or serial number, {p} words of random letters.
+_LABELLED = """
+password: [[secret:{s}]]
+the password is [[secret:{s}]] for now
+Password is "[[secret:{s}]]", do not share it
+my password was [[secret:{s}]] until yesterday
+pwd: [[secret:{s}]]
+pwd=[[secret:{s}]]
+user anna, pwd: [[secret:{s}]] and more
+as agreed, password: [[secret:{s}]] for the server
+log in there, pwd [[secret:{s}]] will do
+passwd = '[[secret:{s}]]'
+DB_PASSWORD=[[secret:{s}]]
+SERVICE_SECRET_KEY=[[secret:{s}]]
+export ACCESS_TOKEN=[[secret:{s}]]
+api_key: [[secret:{s}]]
+api_key = "[[secret:{s}]]"
+"apiKey": "[[secret:{s}]]",
+{{ "client_secret" : "[[secret:{s}]]" }}
+secret = [[secret:{s}]] in the settings
+the access key [[secret:{s}]] must be revoked
+Authorization: Bearer [[secret:{s}]]
+the bearer token [[secret:{s}]] was logged
+auth token: [[secret:{s}]]
+login with user admin and password [[secret:{s}]] here
+credentials: admin / [[secret:{s}]]
+token: '[[secret:{s}]]' expires soon
+TOKEN: "[[secret:{s}]]"
+key: "[[secret:{s}]]"
+private key [[secret:{s}]] was leaked
+'password': '[[secret:{w}]]'
+the passphrase is "[[secret:{w}]]"
+passphrase = "[[secret:{w}]]"
+My name is [[person:{n}]] and I live here
+name: [[person:{n}]]
+Name: [[person:{n}]], born in May
+Dear Mr. [[person:{n}]],
+Mrs. [[person:{n}]] called again
+Dr. [[person:{n}]] will see you now
+please ask Ms. [[person:{n}]] about it
+signed, [[person:{n}]]
+Kind regards, [[person:{n}]]
+contact: [[person:{n}]]
+Herr [[person:{n}]] war nicht da
+Frau [[person:{n}]] kommt morgen
+je m'appelle [[person:{n}]] et vous
+me llamo [[person:{n}]] y soy de aquí
+He lives at [[address:{a}]] now
+address: [[address:{a}]]
+She moved to [[address:{a}]] in May
+the shop in [[address:{a}]] opens today
+my name is [[person:{n}]] by the way
+Ship to [[address:{a}]] before Friday
+our office at [[address:{a}]] is closed
+Die Adresse ist [[address:{a}]] gleich hier
+commit {h} fixed the build
+sha256 {h} checked
+revision {h} of the file
+checksum: {h}
+serial number {h} on the back
+order {h} was shipped
+The morning came over the harbour and the fishermen went out
+Later that evening, Margaret opened the letters and Thomas read them
+It was late. Nobody spoke. Outside, Winter had come early.
+Paris and London are old cities. New York is younger.
+The Great Gatsby and Other Stories of the Twenties
+Elle regardait longtemps la mer. Personne ne répondait.
 Les enfants étaient déjà là, près de la rivière où l'eau est claire
-Die Häuser in der Straße waren größer als früher und schön
-THE!! AND!! OF!! THERE!! WAS!! NOTHING!! LEFT!!
-word%%% and$$$ more&&& to*** come### here
-alpha | beta | gamma | delta, | omega. |
-He paid 4929348385146306 in two parts, see 9807915762804490 too
+Manchmal regnet es im Sommer. Niemand wusste, warum die Straße leer war
+Die Häuser in der Stadt waren größer als früher
+Nadie respondía a la puerta. Entonces llegaron todos
+El cielo de la ciudad estaba gris, y la gente no quería salir
+the key to success is patience and the secret of it is time
+the key point of this is a password: never share it
+a token of love, a secret garden, the key to the city
+your password must have eight letters and two digits
+forgot your password? ask the help desk for a new token
+access to the key room is for members only
+the address of the house is not known, and the name is lost
+the name of the rose is a book, and the street was empty
 call +1 (017) 555-7713 before noon or +44 20 7946 0958
-write to und.34@mail7.example.com or sales@shop.example.org
+write to info@mail7.example.com or sales@shop.example.org
 from 97.51.17.173 to 129.38.82.176 over night
+He paid 4929348385146306 in two parts, see 9807915762804490 too
 version 3.11.2 of 2024-05-17 at 12:30:45 costs 1,299.00
 see https://www.example.com/en/853/?page=2&ref=x for this
 see http://blog.example.net/de/612?utm_source=feed#top
-Licensed under the Apache License, Version 2.0.
+Licensed under the Apache License, Version 2.0 (the "License");
+Copyright 2019 The Authors. All rights reserved. MIT License
 room 12b, floor 3rd, type A4, size 10x20, mp3 and h264 files
 x = 5 and y = "seven" with z: 12
-name = "Smith" city = "Berlin" zip = 10115
-the key = point of this is a password: never share
-token of love, secret garden, key to the city
+colour = "blue" and size = 10115
 a="b" c='d' e=f g:h
 e4 e5 Nf3 Nc6 Bb5 a6 B12 B2B C3PO R2D2
-reallylongwordwithoutanymeaninginthemiddleofthesentence here
-ERALLYLONGUPPERCASEWORDWITHOUTMEANING!! THERE!!
+isbn 978-3-16-148410-0 page 77, issue 2024-000123-AB
+Unfortunately nothing. Internationalization followed. Counterrevolutionaries
+EVERYTHING WAS LOUD AND NOTHING WAS LEFT THERE
 aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa bbbb
 0000000000000000000000000000000000000000 1111
+reallylongwordwithoutanymeaninginthemiddleofthesentence here
 "quoted" words "and others" (in brackets) [or square]
-isbn 978-3-16-148410-0 order 2024-000123-AB page 77
+one | two | three | four, | five. |
+Rows. | Columns | values. | Totals 12 | 13.5 |
+**bold** and ##heading## with %percent% and $price$ and more...
+{p}
+{p}
+{p}
+{p}
+{p}
+{p}
+{p}
+{p}
+{p}
+{p}
 """
 
-#: Words whose identity is a feature besides their shape.
-_CUES = ("token", "secret", "password", "key", "api_key", "bearer", "=", "client_secret", "access", ":")
+#: Words whose identity is a feature besides their shape; of ``a_b`` the last part counts.
+_CUES = (
+    "password passwd pwd pass passphrase secret token key apikey access auth authorization bearer credentials private login user is was"
+    " name mr mrs ms dr dear signed regards contact called my herr frau llamo appelle lives at address adresse ship to office"
+    " street st road rd avenue ave lane drive square straße rue calle commit sha256 revision checksum serial number order = : \" ' , ("
+).split()
+
+_FIRST = "Anna John Maria Peter Lucía Jean Ingrid Omar Wei Sofia Karl Amélie".split()
+_LAST = "Miller Schmidt García Dubois Novak Rossi Tanaka Olsen O'Neill Braun Lefèvre Romero".split()
+_PLACE = "Oak Mill Station Church River Park Linden Garden Harbour King Forest Market".split()
+_TOWN = "Berlin Lyon Madrid Leeds Boston Porto Graz Ghent".split()
+_COMMON = "correct horse battery staple winter apple purple river seven lamps open window silent train green paper".split()
+_HEX, _ALNUM = "0123456789abcdef", "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+
+
+def _made(slot: str, rng: np.random.Generator) -> str:
+    """A value of a slot of the labelled table."""
+
+    def of(letters: str, n: int) -> str:
+        return "".join(letters[i] for i in rng.integers(0, len(letters), n))
+
+    def one(words: list[str]) -> str:
+        return words[rng.integers(0, len(words))]
+
+    kind = rng.integers(0, 8)
+    if slot == "s":
+        if kind < 2:
+            return of(_HEX if rng.random() < 0.6 else _HEX.upper(), int(rng.choice([16, 24, 32, 40, 48, 64])))
+        if kind < 4:
+            return of(_ALNUM + "+/", int(rng.integers(18, 45)))
+        if kind == 4:
+            return one(["sk", "pk", "ghp", "xoxb"]) + one(["_", "-"]) + of(_ALNUM, int(rng.integers(16, 36)))
+        if kind == 5:
+            return of(_ALNUM, 20) + "." + of(_ALNUM, 30) + "." + of(_ALNUM, 20)
+        word = one(_COMMON)
+        if rng.random() < 0.3:
+            return f"{word}{of('0123456789', 1)}{one(['!', '?', '#', '-'])}{one(_COMMON)}{of('0123456789', 2)}"
+        return (word if kind == 6 else word.capitalize()) + one(["", "!", "_", "#"]) + of("0123456789", int(rng.integers(1, 5))) + one(["", "", "x", "Zq"])
+    if slot == "w":
+        return " ".join(one(_COMMON) for _ in range(rng.integers(3, 6)))
+    if slot == "n":
+        return " ".join([one(_FIRST), one(_LAST)]) if kind < 7 else one(_LAST)
+    if slot == "a":
+        n, code = str(rng.integers(1, 400)), of("123456789", 5)
+        return [
+            f"{n} {one(_PLACE)} Street", f"{n} {one(_PLACE)} Road, {one(_TOWN)}", f"{n} {one(_PLACE)} {one(_PLACE)} Avenue", f"{one(_PLACE)} Straße {n}, {code} {one(_TOWN)}",
+            f"{n} rue de {one(_TOWN)}, {code} {one(_TOWN)}", f"Calle {one(_PLACE)} {n}, {code} {one(_TOWN)}", f"{n} {one(_PLACE)} Lane", f"{n} {one(_PLACE)} Drive, {one(_TOWN)}",
+        ][kind]
+    if slot == "p":
+        # Common short words and rarer long ones, some repeated, some capital, in sentences.
+        known = ["is", "was", "to", "at", "my", "name", "key", *(of(_ALNUM[10:36], 1 + int(i**0.55)) for i in range(1, 60))]
+        out: list[str] = []
+        while len(out) < 40:
+            word = known[min(65, int(rng.exponential(16)))]
+            word = [word, word, word, word.capitalize(), word.capitalize(), word.upper(), word + ",", word + "."][rng.integers(0, 8)]
+            out += [word] * (int(rng.integers(2, 15)) if rng.random() < 0.12 else 1)
+        return " ".join(out)
+    return of(_HEX, int(rng.choice([7, 12, 32, 40, 64])))
+
+
+def labelled_lines(rows: str = _LABELLED, repeats: int = 5, seed: int = 11) -> list[str]:
+    """The table with its slots filled, ``repeats`` times where a row has some."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for row in rows.strip("\n").split("\n"):
+        slots = re.findall(r"\{([swnahp])\}", row)
+        for _ in range(repeats if slots else 2):
+            line = row
+            for slot in slots:
+                line = line.replace("{" + slot + "}", _made(slot, rng), 1)
+            out.append(line.replace("{{", "{").replace("}}", "}"))
+    return out
+
 
-_N = 1 << 13
-_LABELS = 3  # outside, first, following
+_KINDS = ("secret", "person", "address")
+_LABELS = 1 + 2 * len(_KINDS)  # outside; the first and the following tokens of each kind
+#: Tokens that are decoded together at most; a longer line goes on in a chain of its own.
+_CHAIN = 512
+_N = 1 << 12
+_SLOTS = 3
+_AROUND = (-3, -2, -1, 0, 1)
 
-_CLASS = np.full(256, 5, dtype=np.int64)  # other
+_SEPARATORS = b"=:\"'`,;()[]{}<>"
+_SIGN = np.ones(256, dtype=np.int8)  # 0 space, 1 inside words, 2 a token of its own
+_SIGN[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = 0
+_SIGN[list(_SEPARATORS)] = 2
+_CLASS = np.full(256, 4, dtype=np.int8)  # other
 _CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[128:] = 0, 1, 2, 3
-_CLASS[[34, 39]] = 4
 _LOW = np.arange(256, dtype=np.uint8)
 _LOW[65:91] += 32
-_LENGTHS = np.array([2, 3, 6, 9, 12, 16, 25, 41, 100])
+_LENGTHS = np.array([2, 3, 5, 7, 10, 14, 19, 28, 44, 70])
+
 
+def pii_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Starts, ends, document numbers and cores: words, and each separator alone.
 
-def word_shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number of each word's shape: kinds of characters in it, switches between letters and digits, length, edges."""
+    A core is from a word's first to its last letter or digit; what has none, and is no
+    separator, is no token.
+    """
+    n = len(data)
+    if not n:
+        return (np.zeros(0, dtype=np.int64),) * 5
+    sign = _SIGN[data]
+    first = np.zeros(n + 1, dtype=bool)
+    first[offsets] = True
+    inside = (sign[1:] == 1) & (sign[:-1] == 1) & ~first[1:n]
+    start, end = sign > 0, sign > 0
+    start[1:] &= ~inside
+    end[:-1] &= ~inside
+    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    solid = np.flatnonzero(_CLASS[data] < 4)
+    if len(solid):
+        a = solid[np.minimum(np.searchsorted(solid, s), len(solid) - 1)]
+        b = solid[np.maximum(np.searchsorted(solid, e) - 1, 0)] + 1
+        plain = (a >= s) & (a < e)
+        keep = plain | (sign[s] == 2)
+        a, b = np.where(plain, a, s)[keep], np.where(plain, b, e)[keep]
+        s, e = s[keep], e[keep]
+    else:
+        s, e = s[sign[s] == 2], e[sign[s] == 2]
+        a, b = s, e
+    return s, e, np.searchsorted(offsets, s, side="right") - 1, a, b
+
+
+def token_features(data: np.ndarray, s: np.ndarray, e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """(tokens, 3): the hashed shape of the core, its identity if it is a cue, and the signs around it with its case and whether it repeats a neighbour."""
     kind = _CLASS[data]
 
     def count(flag: np.ndarray) -> np.ndarray:
         run = np.zeros(len(flag) + 1, dtype=np.int32)
         np.cumsum(flag, out=run[1:])
-        return run[ends] - run[starts]
+        return run[b] - run[a]
 
     digit, lower, upper = count(kind == 2), count(kind == 0), count(kind == 1)
+    other, wide = count(kind == 4), count(kind == 3)
     change = np.zeros(len(data), dtype=bool)
-    change[1:] = ((kind[1:] == 2) & (kind[:-1] < 2)) | ((kind[1:] < 2) & (kind[:-1] == 2))
-    change[starts] = False
-    turns = np.minimum(count(change), 6) // 2
-    length = np.searchsorted(_LENGTHS, ends - starts, side="right")
-    other, wide = count(kind == 5), count(kind == 3)
-    shape = np.zeros(len(starts), dtype=np.uint64)
-    parts = (
-        (digit > 0).astype(np.int64), (lower > 0), (upper > 0), (upper > 1), turns, length,
-        kind[starts], kind[ends - 1], np.minimum(other, 2), (wide > 0), (digit == ends - starts),
-    )
-    for part in parts:
-        shape = shape * np.uint64(31) + part.astype(np.uint64)
-    return shape
-
-
-def _features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """(words, 2): hashed shape, and cue or coarse shape."""
-    shape = mix64(word_shapes(data, starts, ends)) % np.uint64(_N - 16)
-    h = word_hashes(_LOW[data], starts, ends)
-    cues = _cue_hashes()
+    change[1:] = ((kind[1:] == 2) & (kind[:-1] != 2)) | ((kind[1:] != 2) & (kind[:-1] == 2))
+    change[a] = False
+    size = b - a
+    length = np.searchsorted(_LENGTHS, size, side="right")
+    capital = kind[a] == 1
+    case = np.where(upper == 0, 0, np.where((upper == 1) & capital, 1, np.where(lower + wide == 0, 2, 3)))
+
+    def hashed(*parts: np.ndarray) -> np.ndarray:
+        h = np.full(len(s), 7, dtype=np.uint64)
+        for part in parts:
+            h = h * np.uint64(31) + part.astype(np.uint64)
+        return (mix64(h) % np.uint64(_N - 256)).astype(np.int64)
+
+    shape = hashed(digit > 0, lower + upper + wide > 0, np.minimum(count(change), 8), length, np.minimum(other, 2), digit == size)
+    under = np.where(data == 95, np.arange(len(data)), -1)
+    tail = np.maximum(a, np.maximum.accumulate(under)[b - 1] + 1)
+    h = word_hashes(_LOW[data], np.where(tail < b, tail, a), b)
+    same = np.zeros(len(s) + 1, dtype=bool)
+    same[1:-1] = h[1:] == h[:-1]
+    edge = hashed(same[1:] | same[:-1], case, np.minimum(other, 2), digit > 0, size == 1, data[e - 1] * (b != e), data[a] * (digit + lower + upper + wide == 0))
+    cues, order = _cue_hashes()
     at = np.minimum(np.searchsorted(cues, h), len(cues) - 1)
-    cue = np.where(cues[at] == h, at + 1, 0)
-    return np.stack([shape.astype(np.int64), _N - 16 + cue], axis=1)
+    known = np.where(cues[at] == h, 1 + order[at], 0)
+    return np.stack([shape, _N - 256 + known, edge], axis=1)
 
 
 @lru_cache(1)
-def _cue_hashes() -> np.ndarray:
-    text = " ".join(_CUES).encode()
-    data = np.frombuffer(text, dtype=np.uint8)
+def _cue_hashes() -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(" ".join(_CUES).encode(), dtype=np.uint8)
     s, e, _ = word_bounds(data, np.array([0, len(data)]))
-    return np.sort(word_hashes(data, s, e))
+    h = word_hashes(data, s, e)
+    order = np.argsort(h)
+    return h[order], order
+
+
+def _step_mask() -> np.ndarray:
+    """0 where a label may follow another; a following token only comes after its own kind."""
+    mask = np.zeros((_LABELS, _LABELS))
+    for k in range(2, _LABELS, 2):
+        mask[:, k] = -1e9
+        mask[[k - 1, k], k] = 0
+    return mask
 
 
 @dataclass(frozen=True)
 class Crf:
-    """Weights of features at the word, before it, two before it and after it, and of label pairs."""
+    """Weights of the features of the tokens around (offset and slot, bucket, label), and of label pairs."""
 
-    here: np.ndarray
-    back: np.ndarray
-    back2: np.ndarray
-    ahead: np.ndarray
+    weights: np.ndarray
     step: np.ndarray
 
     def emissions(self, feats: np.ndarray, seq: np.ndarray) -> np.ndarray:
-        out = self.here[feats[:, 0]] + self.here[feats[:, 1]]
-        for table, d in ((self.back, 1), (self.back2, 2), (self.ahead, -1)):
-            k = abs(d)
-            if len(feats) > k:
-                a, b = (slice(k, None), slice(None, -k)) if d > 0 else (slice(None, -k), slice(k, None))
-                same = (seq[a] == seq[b])[:, None]
-                out[a] += np.where(same, table[feats[b][:, 0]] + table[feats[b][:, 1]], 0.0)
+        out = np.zeros((len(feats), _LABELS), dtype=np.float32)
+        for i, d in enumerate(_AROUND):
+            here = slice(max(0, -d), len(feats) - max(0, d))
+            there = slice(max(0, d), len(feats) - max(0, -d))
+            if len(feats) <= abs(d):
+                continue
+            got = sum(self.weights[_SLOTS * i + k][feats[there, k]] for k in range(_SLOTS))
+            out[here] += got if d == 0 else got * (seq[here] == seq[there])[:, None]
         return out
 
 
 def viterbi(emit: np.ndarray, seq: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Best labels of many sequences at once: one numpy step serves the t-th word of all of them."""
+    """Best labels of many sequences at once: one numpy step serves the t-th token of all of them."""
     n = len(emit)
     if not n:
         return np.zeros(0, dtype=np.int64)
@@ -243,8 +406,8 @@ def viterbi(emit: np.ndarray, seq: np.ndarray, step: np.ndarray) -> np.ndarray:
     first, size = first[order], size[order]
     live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # sequences longer than t
     back = np.zeros((n, _LABELS), dtype=np.int8)
-    score = emit[first].copy()
-    score[:, 2] = -np.inf  # nothing to follow
+    score = emit[first].astype(np.float64)
+    score[:, 2::2] = -np.inf  # nothing to follow
     for t in range(1, size[0]):
         k = live[t]
         way = score[:k, :, None] + step
@@ -261,88 +424,136 @@ def viterbi(emit: np.ndarray, seq: np.ndarray, step: np.ndarray) -> np.ndarray:
     return out
 
 
-def _examples() -> list[tuple[np.ndarray, np.ndarray]]:
-    out = []
-    for line in _EXAMPLES.strip("\n").split("\n"):
-        plain = line.replace("[[", "").replace("]]", "")
-        data = np.frombuffer(plain.encode(), dtype=np.uint8)
-        s, e, _ = word_bounds(data, np.array([0, len(data)]))
-        marks, labels = line.split(), []
-        open_ = False
-        for w in marks:
-            labels.append(2 if open_ else (1 if "[[" in w else 0))
-            open_ = (open_ or "[[" in w) and "]]" not in w
-        out.append((_features(data, s, e), np.array(labels)))
+def decode(emit: np.ndarray, seq: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """The Viterbi labels; sequences that are surely outside throughout are not decoded.
+
+    If at each token "outside" leads by more than two label pairs can make up for, no
+    span of any length pays for itself.
+    """
+    lead = emit[:, 0] - emit[:, 1:].max(axis=1)
+    open_ = np.unique(seq[lead <= 2 * max(0.0, step.max() - step[0, 0])])
+    at = np.minimum(np.searchsorted(open_, seq), len(open_) - 1) if len(open_) else np.zeros(len(seq), dtype=np.int64)
+    keep = np.flatnonzero(open_[at] == seq) if len(open_) else np.zeros(0, dtype=np.int64)
+    out = np.zeros(len(emit), dtype=np.int64)
+    out[keep] = viterbi(emit[keep], seq[keep], step)
     return out
 
 
+def marked(line: str) -> tuple[str, list[tuple[str, int, int]]]:
+    """The text of a labelled line and its (kind, start, end)."""
+    spans, at, text = [], 0, ""
+    for m in re.finditer(r"\[\[(\w+):(.*?)\]\]", line):
+        text += line[at : m.start()]
+        spans.append((m[1], len(text), len(text) + len(m[2])))
+        text += m[2]
+        at = m.end()
+    return text + line[at:], spans
+
+
+def _training_rows(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and row numbers of all tokens of the table."""
+    feats, labels, rows = [], [], []
+    for i, line in enumerate(lines):
+        text, spans = marked(line)
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        s, e, _, a, b = pii_tokens(data, np.array([0, len(data)]))
+        y = np.zeros(len(s), dtype=np.int64)
+        for kind, x, z in spans:
+            x, z = len(text[:x].encode()), len(text[:z].encode())
+            hit = np.flatnonzero((s < z) & (e > x))
+            y[hit] = 2 + 2 * _KINDS.index(kind)
+            y[hit[0]] -= 1
+        feats.append(token_features(data, s, e, a, b))
+        labels.append(y)
+        rows.append(np.full(len(s), i))
+    return np.concatenate(feats), np.concatenate(labels), np.concatenate(rows)
+
+
+def log_likelihood(emit: np.ndarray, step: np.ndarray, y: np.ndarray, rows: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The log-likelihood of all rows and its gradients by emission and label pair, by forward and backward sums of all rows at once."""
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    size = np.diff(np.concatenate([first, [len(rows)]]))
+    m, t_max = len(first), int(size.max())
+    at = first[:, None] + np.minimum(np.arange(t_max), size[:, None] - 1)
+    live = np.arange(t_max) < size[:, None]
+    e = emit[at]
+    alpha, beta = np.zeros((t_max, m, _LABELS)), np.zeros((t_max, m, _LABELS))
+    alpha[0] = e[:, 0]
+    alpha[0][:, 2::2] = -1e9
+    for t in range(1, t_max):
+        new = np.logaddexp.reduce(alpha[t - 1][:, :, None] + step, axis=1) + e[:, t]
+        alpha[t] = np.where(live[:, t, None], new, alpha[t - 1])
+    for t in range(t_max - 2, -1, -1):
+        new = np.logaddexp.reduce(step + (e[:, t + 1] + beta[t + 1])[:, None, :], axis=2)
+        beta[t] = np.where(live[:, t + 1, None], new, beta[t + 1])
+    z = np.logaddexp.reduce(alpha[-1], axis=1)
+    by_emit = np.zeros_like(emit, dtype=np.float64)
+    by_emit[at[live]] = -np.exp(alpha + beta - z[:, None]).transpose(1, 0, 2)[live]
+    by_emit[np.arange(len(y)), y] += 1
+    by_step = np.zeros((_LABELS, _LABELS))
+    for t in range(1, t_max):
+        on = live[:, t]
+        pair = alpha[t - 1][on][:, :, None] + step + (e[on, t] + beta[t][on])[:, None, :] - z[on][:, None, None]
+        by_step -= np.exp(pair).sum(axis=0)
+    follows = rows[1:] == rows[:-1]
+    np.add.at(by_step, (y[:-1][follows], y[1:][follows]), 1)
+    total = emit[np.arange(len(y)), y].sum() + step[y[:-1], y[1:]][follows].sum() - z.sum()
+    return float(total), by_emit, by_step
+
+
 @lru_cache(1)
-def train_crf(epochs: int = 25, rate: float = 0.2, decay: float = 2e-3) -> Crf:
-    """Log-likelihood ascent with adaptive steps; the gradient is from forward and backward sums."""
-    tables = {k: np.zeros((_N, _LABELS)) for k in ("here", "back", "back2", "ahead")}
-    step = np.zeros((_LABELS, _LABELS))
-    step[0, 2] = -1e9
-    grown = {k: np.full((_N, _LABELS), 1e-2) for k in tables}
-    step_grown = np.full((_LABELS, _LABELS), 1e-2)
-    rng = np.random.default_rng(1)
-    data = _examples()
-    for _ in range(epochs):
-        for i in rng.permutation(len(data)):
-            feats, y = data[i]
-            n = len(y)
-            emit = Crf(**tables, step=step).emissions(feats, np.zeros(n, dtype=np.int64))
-            alpha, beta = np.zeros((n, _LABELS)), np.zeros((n, _LABELS))
-            alpha[0] = emit[0] + np.array([0, 0, -1e9])
-            for t in range(1, n):
-                alpha[t] = emit[t] + np.logaddexp.reduce(alpha[t - 1][:, None] + step, axis=0)
-            for t in range(n - 2, -1, -1):
-                beta[t] = np.logaddexp.reduce(step + emit[t + 1] + beta[t + 1], axis=1)
-            z = np.logaddexp.reduce(alpha[-1])
-            grad = -np.exp(alpha + beta - z)
-            grad[np.arange(n), y] += 1
-            pair = np.zeros((_LABELS, _LABELS))
-            for t in range(1, n):
-                pair -= np.exp(alpha[t - 1][:, None] + step + emit[t] + beta[t] - z)
-                pair[y[t - 1], y[t]] += 1
-            pair[0, 2] = 0
-            step_grown += pair**2
-            step += rate * pair / np.sqrt(step_grown)
-            for k, d in (("here", 0), ("back", 1), ("back2", 2), ("ahead", -1)):
-                for c in (0, 1):
-                    a = feats[:, c]
-                    src, g = (a, grad) if d == 0 else ((a[:-d], grad[d:]) if d > 0 else (a[1:], grad[:-1]))
-                    if not len(src):
-                        continue
-                    ids, inverse = np.unique(src, return_inverse=True)
-                    total = np.zeros((len(ids), _LABELS))
-                    np.add.at(total, inverse, g)
-                    total -= decay * tables[k][ids]
-                    grown[k][ids] += total**2
-                    tables[k][ids] += rate * total / np.sqrt(grown[k][ids])
-    return Crf(**{k: v.astype(np.float32) for k, v in tables.items()}, step=step)
-
-
-_CORE = re.compile(rb"[A-Za-z0-9_+/=.-]{6,}")
-
-
-def added_spans(data: np.ndarray, offsets: np.ndarray, crf: Crf) -> dict[int, list[tuple[int, int]]]:
-    """Credentials by document number, as byte offsets in the document; a line is a sequence of the CRF."""
-    out: dict[int, list[tuple[int, int]]] = {}
-    for a, b in blocks(offsets):
-        lo, hi = offsets[a], offsets[b]
-        part, offs = data[lo:hi], offsets[a : b + 1] - lo
-        s, e, doc = word_bounds(part, offs)
+def train_crf(lines: tuple[str, ...] | None = None, rounds: int = 60, rate: float = 0.3, decay: float = 0.02) -> Crf:
+    """Log-likelihood ascent with adaptive steps over the labelled lines (by default the module's table)."""
+    feats, y, rows = _training_rows(list(lines) if lines is not None else labelled_lines())
+    mask = _step_mask()
+    w, step = np.zeros((len(_AROUND) * _SLOTS, _N, _LABELS), dtype=np.float32), np.zeros((_LABELS, _LABELS))
+    grown, step_grown = np.full(w.shape, 1e-2, dtype=np.float32), np.full(step.shape, 1e-2)
+    used = []
+    for i, d in enumerate(_AROUND):
+        there = np.clip(np.arange(len(y)) + d, 0, len(y) - 1)
+        same = (rows[there] == rows) & (there == np.arange(len(y)) + d)
+        for k in range(_SLOTS):
+            ids, inverse = np.unique(feats[there[same], k], return_inverse=True)
+            used.append((_SLOTS * i + k, np.flatnonzero(same), ids, inverse))
+    for _ in range(rounds):
+        _, by_emit, by_step = log_likelihood(Crf(w, step).emissions(feats, rows), step + mask, y, rows)
+        by_step = np.where(mask < 0, 0.0, by_step - decay * step)
+        step_grown += by_step**2
+        step = step + rate * by_step / np.sqrt(step_grown)
+        for table, tokens, ids, inverse in used:
+            total = np.zeros((len(ids), _LABELS))
+            np.add.at(total, inverse, by_emit[tokens])
+            total -= decay * w[table][ids]
+            grown[table][ids] += total**2
+            w[table][ids] += rate * total / np.sqrt(grown[table][ids])
+    return Crf(w, step + mask)
+
+
+def added_spans(data: np.ndarray, offsets: np.ndarray, crf: Crf) -> dict[int, list[tuple[str, int, int]]]:
+    """The CRF's spans by document number, as (kind, start, end) in bytes of the document; a line is a sequence."""
+    out: dict[int, list[tuple[str, int, int]]] = {}
+    for x, y in blocks(offsets):
+        lo, hi = offsets[x], offsets[y]
+        part, offs = data[lo:hi], offsets[x : y + 1] - lo
+        s, e, doc, a, b = pii_tokens(part, offs)
         if not len(s):
             continue
-        lines = np.cumsum(part == 10, dtype=np.int64)
-        seq = lines[s] * (b - a + 1) + doc
-        tags = viterbi(crf.emissions(_features(part, s, e), seq), seq, crf.step)
-        raw = part.tobytes()
-        for i in np.flatnonzero(tags > 0):
-            m = max(_CORE.finditer(raw[s[i] : e[i]]), key=lambda m: m.end() - m.start(), default=None)
-            if m:
-                start = int(s[i] - offs[doc[i]])
-                out.setdefault(a + int(doc[i]), []).append((start + m.start(), start + m.end()))
+        line = np.cumsum(part == 10, dtype=np.int64)[s] * (y - x + 1) + doc
+        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
+        place = np.arange(len(s)) - np.repeat(first, np.diff(np.concatenate([first, [len(s)]])))
+        chain = np.cumsum(place % _CHAIN == 0)
+        tags = decode(crf.emissions(token_features(part, s, e, a, b), line), chain, crf.step)
+        hit = np.flatnonzero(tags)
+        begins = hit[tags[hit] % 2 == 1]
+        if not len(begins):
+            continue
+        # A span ends before the next token that does not follow.
+        stops = np.flatnonzero((tags == 0) | (tags % 2 == 1))
+        after = np.searchsorted(stops, begins, side="right")
+        ends = np.where(after < len(stops), stops[np.minimum(after, len(stops) - 1)], len(tags)) - 1
+        for i, j in zip(begins.tolist(), ends.tolist(), strict=True):
+            k = int(doc[i])
+            out.setdefault(x + k, []).append((_KINDS[(int(tags[i]) - 1) // 2], int(a[i] - offs[k]), int(b[j] - offs[k])))
     return out
 
 
@@ -353,9 +564,16 @@ def all_spans(texts: list[str], data: np.ndarray, offsets: np.ndarray, crf: Crf)
         base = base_spans(text)
         every = base
         if i in added:
-            raw = data[offsets[i] : offsets[i + 1]].tobytes()
-            extra = [(len(raw[:a].decode()), len(raw[:b].decode())) for a, b in added[i]]
-            extra = [("secret", a, b) for a, b in extra if not any(x < b and a < y for _, x, y in base)]
+            raw = data[offsets[i] : offsets[i + 1]]
+            point = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+            starts = [x for _, x, _ in base]
+            reach = np.maximum.accumulate([y for _, _, y in base]) if base else []
+            extra = []
+            for kind, a, b in added[i]:
+                a, b = int(point[a]), int(point[b])
+                k = bisect_left(starts, b)  # base spans that begin before the end
+                if not k or reach[k - 1] <= a:
+                    extra.append((kind, a, b))
             every = sorted(base + extra, key=lambda s: (s[1], KINDS.index(s[0])))
         yield base, every
 
@@ -365,7 +583,7 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, n_secret, base_sha256, spans of every row of ``docs``.
+    """doc_id, n_email, n_ip, n_card, n_phone, n_secret, n_person, n_address, base_sha256, spans of every row of ``docs``.
 
     Whole texts are read; a null text counts as empty and has no spans.  Repeated rows
     give repeated results; a null doc_id stays null.  Columns other than doc_id and text

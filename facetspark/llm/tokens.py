@@ -9,7 +9,7 @@ import sys
 from array import array
 
 #: Entries of each of the memo's two generations, and the longest chunk that is remembered: together its bound in bytes.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 200_000
 MEMO_CHARS = 48
 #: Characters of a very long text that are split into chunks at once.
 SLICE_CHARS = 1 << 20

@@ -115,6 +115,102 @@ def test_pii(spark, docs, none):
     assert pii.find_pii(none).count() == 0
 
 
+def spans_of(text, crf):
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    _, every = next(pii.all_spans([text], data, np.array([0, len(data)]), crf))
+    return [(k, text[a:b]) for k, a, b in every]
+
+
+def test_pii_finds_forms_that_the_table_does_not_have():
+    crf = pii.train_crf()
+    hexa = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    found = {
+        "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY": ("secret", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+        "the password is swordfish42": ("secret", "swordfish42"),
+        "'password': 'correct horse battery staple'": ("secret", "correct horse battery staple"),
+        f'the file token = "{hexa}" was left': ("secret", hexa),
+        f'in%%% token$$$ =%%% "{hexa}"### and&&&': ("secret", hexa),
+        f'ABC!! TOKEN!! =!! "{hexa.upper()}"!! DEF': ("secret", hexa.upper()),
+        "Dear Mrs. Eleanor Whitfield, thank you": ("person", "Eleanor Whitfield"),
+        "naïve – set SECRET=hunter2!longpass99; done": ("secret", "hunter2!longpass99"),
+    }
+    for text, span in found.items():
+        assert spans_of(text, crf) == [span], text
+    for text in ("commit 9fceb02d0ae598e95dc970b74767f19372d61af8 fixed it", "The key was under the mat. Margaret knew the secret.", "version 3.1.4 of the token ring"):
+        assert spans_of(text, crf) == []
+
+
+def test_pii_spans_by_a_table_of_ones_own():
+    lines = ["the code [[secret:{}]] is old".format(w) for w in ("a1b2c3", "z9y8x7", "k5m6n7")] + ["the code word is old", "nothing here"]
+    assert spans_of("the code q3w4e5 is old", pii.train_crf(tuple(lines))) == [("secret", "q3w4e5")]
+    pii.train_crf.cache_clear()
+
+
+def test_viterbi_is_the_best_of_all_paths():
+    import itertools
+
+    rng = np.random.default_rng(3)
+    step = rng.normal(size=(pii._LABELS, pii._LABELS)) + pii._step_mask()
+    sizes = [1, 2, 3, 4, 4]
+    seq = np.repeat(np.arange(len(sizes)), sizes)
+    emit = rng.normal(size=(len(seq), pii._LABELS))
+    got, sure = pii.viterbi(emit, seq, step), pii.decode(emit, seq, step)
+    assert (got == sure).all()
+    for k in range(len(sizes)):
+        e = emit[seq == k]
+        paths = [p for p in itertools.product(range(pii._LABELS), repeat=len(e)) if p[0] == 0 or p[0] % 2]
+        best = max(paths, key=lambda p: sum(e[t, p[t]] for t in range(len(e))) + sum(step[a, b] for a, b in itertools.pairwise(p)))
+        assert tuple(got[seq == k]) == best
+
+
+def test_sequences_that_are_surely_outside_need_no_decoding():
+    rng = np.random.default_rng(4)
+    step = rng.normal(size=(pii._LABELS, pii._LABELS)) + pii._step_mask()
+    seq = np.repeat(np.arange(300), rng.integers(1, 30, 300))
+    emit = rng.normal(size=(len(seq), pii._LABELS))
+    emit[:, 0] += rng.uniform(0, 9, 300)[seq]
+    assert (pii.viterbi(emit, seq, step) == pii.decode(emit, seq, step)).all()
+
+
+def test_crf_gradient():
+    rng = np.random.default_rng(5)
+    rows = np.repeat([0, 1, 2], [3, 1, 4])
+    y = np.array([0, 1, 2, 3, 0, 5, 6, 0])
+    emit, step = rng.normal(size=(8, pii._LABELS)), rng.normal(size=(pii._LABELS, pii._LABELS)) + pii._step_mask()
+    total, by_emit, by_step = pii.log_likelihood(emit, step, y, rows)
+    for i, k in ((0, 0), (2, 2), (4, 3), (7, 1)):
+        moved = emit.copy()
+        moved[i, k] += 1e-5
+        assert (pii.log_likelihood(moved, step, y, rows)[0] - total) / 1e-5 == pytest.approx(by_emit[i, k], abs=1e-3)
+    for a, b in ((0, 0), (1, 2), (5, 6), (0, 5)):
+        moved = step.copy()
+        moved[a, b] += 1e-5
+        assert (pii.log_likelihood(emit, moved, y, rows)[0] - total) / 1e-5 == pytest.approx(by_step[a, b], abs=1e-3)
+
+
+def test_pii_spans_and_digest(spark):
+    import hashlib
+
+    texts = ["é me@a.example.org, pwd: hunter27 and 10.0.0.1", None, "", "plain words"]
+    got = {r["doc_id"]: r for r in pii.find_pii(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0]["spans"] == "email:2:18,secret:25:33,ip:38:46"
+    assert got[0]["base_sha256"] == hashlib.sha256(b"email:2:18,ip:38:46").hexdigest()
+    assert {got[i]["base_sha256"] for i in (1, 2, 3)} == {hashlib.sha256(b"").hexdigest()} and {got[i]["spans"] for i in (1, 2, 3)} == {""}
+
+
+def test_pii_time_is_linear():
+    import time
+
+    crf = pii.train_crf()
+    part = 'mail a@b.example.org or token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" é '
+    took = []
+    for n in (500, 4000):
+        start = time.process_time()
+        assert len(spans_of(part * n, crf)) == 2 * n
+        took.append(time.process_time() - start)
+    assert took[1] < 20 * took[0] + 1
+
+
 def test_urls(spark):
     rng = random.Random(7)
     hosts = ["org", "example.org", "x.example.org", "notexample.org", "a.com", "com", "x.net", "ORG", "a..org", "", "org.", "-.org"]
