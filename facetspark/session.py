@@ -29,9 +29,20 @@ def local_session(cores: str = "*", name: str = "facetspark", **conf: str) -> Sp
     return spark
 
 
+#: Bytes of an Arrow batch between Spark and its Python workers, and Spark's own default.
+ARROW_BYTES, _ARROW_DEFAULT = 4 << 20, 64 << 20
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that no node needs it installed."""
+    """Send this package to the executors once per application, so that no node needs it installed.
+
+    Arrow batches are bounded by bytes, as rows may be whole texts of any length; a bound
+    that the session has set itself is left alone.
+    """
     sc = spark.sparkContext
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, f"{_ARROW_DEFAULT}b") == f"{_ARROW_DEFAULT}b":
+        spark.conf.set(key, f"{ARROW_BYTES}b")
     if sc.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
