@@ -102,11 +102,11 @@ def principal_axes(cloud: DataFrame, key: str) -> DataFrame:
 def plane_of_moments(row) -> Plane:
     """The plane of one collected row of moments."""
     if row["n"] < 3:
-        raise ValueError("need at least 3 points")
+        raise ValueError("a plane takes three points or more")
     m = pd.DataFrame([row.asDict()])
     a = _matrices(m)[0]
     if not np.isfinite(a).all():
-        raise ValueError("degenerate point configuration")
+        raise ValueError("the moments of the points are not finite")
     n = np.linalg.eigh(a)[1][:, 0]
     return Plane.of(n, -float(n @ m[["mx", "my", "mz"]].to_numpy()[0]))
 
@@ -136,18 +136,21 @@ def mad_sigma(cloud: DataFrame, residual: Column) -> float | None:
 
 def robust_fit_plane(
     cloud: DataFrame, threshold: float | None = None, sigma_factor: float = 3.0, max_iterations: int = 50,
-    init: Plane | None = None, min_inlier_fraction: float = 0.1,
+    init: Plane | None = None, min_inlier_fraction: float = 0.1, among: Column | None = None,
 ) -> RobustFit:
     """Refit on the points within the threshold until they stay the same.
 
     Each step depends on the last plane's five numbers only, so every step is one
     aggregate over the same table: inliers, how many changed, and the moments of the
     next fit come from a single scan.  A threshold that is None follows the MAD of the
-    current inliers.
+    current inliers.  With ``among``, only points where it holds are fitted, and the
+    inliers of the final plane are counted among all points.
     """
+    every = cloud
+    cloud = cloud if among is None else cloud.filter(among)
     n = cloud.count()
     if n < 3:
-        raise ValueError("need at least 3 points")
+        raise ValueError("a plane takes three points or more")
     plane = init or fit_plane(cloud)
     mask, thr, it = F.lit(True), threshold, 0
     converged, inliers = False, n
@@ -167,7 +170,7 @@ def robust_fit_plane(
             converged = True
             break
         mask, plane = new, plane_of_moments(row)
-    inliers = cloud.filter(F.abs(plane.signed()) <= thr).count()
+    inliers = every.filter(F.abs(plane.signed()) <= thr).count()
     return RobustFit(plane, float(thr), converged, it, inliers)
 
 
@@ -180,7 +183,7 @@ def ransac_plane(cloud: DataFrame, threshold: float, n_iterations: int = 1000, s
     rows = cloud.select("point_id", *XYZ).orderBy(F.xxhash64("point_id", F.lit(seed)), "point_id").limit(pool)
     p = rows.toPandas()[list(XYZ)].to_numpy(dtype=np.float64)  # at most ``pool`` rows
     if len(p) < 3:
-        raise ValueError("need at least 3 points")
+        raise ValueError("a plane takes three points or more")
     pick = np.random.default_rng(seed).integers(0, len(p), (n_iterations, 3))
     a, b, c = p[pick[:, 0]], p[pick[:, 1]], p[pick[:, 2]]
     normal = np.cross(b - a, c - a)
@@ -198,21 +201,32 @@ def ransac_plane(cloud: DataFrame, threshold: float, n_iterations: int = 1000, s
 
 
 def score_hypotheses(cloud: DataFrame, planes: DataFrame, threshold: float) -> DataFrame:
-    """(hyp_id, inliers) of few plane hypotheses (hyp_id, nx, ny, nz, d): one pass, counts combined map-side.
+    """(hyp_id, inliers) of plane hypotheses (hyp_id, nx, ny, nz, d), at most 100,000: one pass over the cloud.
 
-    The planes are collected (they are hypotheses, thousands at most) and become the
-    literals of one conditional count each, a thousand a pass.
+    The planes are collected and go to every task; each batch of points meets them in
+    matrix products of bounded size, and a task sends one count a hypothesis.
     """
     rows = planes.select("hyp_id", "nx", "ny", "nz", "d").orderBy("hyp_id").limit(100_001).collect()
     if len(rows) > 100_000:
         raise ValueError("too many hypotheses for one table of literals")
-    out = []
-    for k in range(0, len(rows), 500):
-        part = rows[k : k + 500]
-        counts = [F.sum((F.abs(signed_distance(Vec.cols(*XYZ), Vec.of(r["nx"], r["ny"], r["nz"]), F.lit(r["d"]))) <= threshold).cast("long")).alias(str(i)) for i, r in enumerate(part)]
-        got = cloud.agg(*counts).first()
-        out += [(int(r["hyp_id"]), int(got[i] or 0)) for i, r in enumerate(part)]
-    return cloud.sparkSession.createDataFrame(out, "hyp_id long, inliers long")
+    table = np.array([[r["nx"], r["ny"], r["nz"], r["d"]] for r in rows], dtype=np.float64).reshape(-1, 4)
+    held = cloud.sparkSession.sparkContext.broadcast((np.array([r["hyp_id"] for r in rows], dtype=np.int64), table))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, p = held.value
+        hits = np.zeros(len(ids), dtype=np.int64)
+        step = max(1, 4_000_000 // max(1, len(ids)))
+        for pdf in batches:
+            x = pdf[list(XYZ)].to_numpy(dtype=np.float64)
+            x = x[np.isfinite(x).all(axis=1)]
+            for i in range(0, len(x), step):
+                part = x[i : i + step]
+                # The sum in the order of the Column form, so that ties at the threshold agree.
+                dist = part[:, [0]] * p[:, 0] + part[:, [1]] * p[:, 1] + part[:, [2]] * p[:, 2] + p[:, 3]
+                hits += (np.abs(dist) <= threshold).sum(axis=0)
+        yield pd.DataFrame({"hyp_id": ids, "inliers": hits})
+
+    return cloud.select(*XYZ).mapInPandas(run, "hyp_id long, inliers long").groupBy("hyp_id").agg(F.sum("inliers").alias("inliers"))
 
 
 def peel(cloud: DataFrame, members: DataFrame) -> DataFrame:

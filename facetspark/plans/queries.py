@@ -96,9 +96,9 @@ def slab_filter(spark, d):
     return regions.slab(clouds.cloud_orders(spark, d), Vec.of(*N), F.lit(D), 60.0, Vec.of(150, 1000, 50), 600.0).select("point_id")
 
 
-@_register(f"SELECT point_id FROM {_from('cloud_orders')} WHERE (x-150)*(x-150) + (y-1000)*(y-1000) + (z-48)*(z-48) <= 6400")
+@_register(f"SELECT point_id FROM {_from('cloud_orders')} WHERE (x-250)*(x-250) + (y-2300)*(y-2300) + (z-48)*(z-48) <= 6400")
 def radius_query(spark, d):
-    return regions.ball(clouds.cloud_orders(spark, d), Vec.of(150, 1000, 48), 80.0).select("point_id")
+    return regions.ball(clouds.cloud_orders(spark, d), Vec.of(250, 2300, 48), 80.0).select("point_id")
 
 
 @_register(f"SELECT point_id, {S.out(_RHO, 'dist')} FROM {_from('cloud_orders')}", "axis_distance")
@@ -151,10 +151,10 @@ def inplane_uv(spark, d):
     return clouds.cloud_orders(spark, d).select("point_id", r6(P.dot(u), "u"), r6(P.dot(v), "v"))
 
 
-@_register(f"SELECT point_id FROM {_from('cloud_orders')} WHERE {_PUV[0]} BETWEEN 200 AND 700 AND {_PUV[1]} BETWEEN 300 AND 1500")
+@_register(f"SELECT point_id FROM {_from('cloud_orders')} WHERE {_PUV[0]} BETWEEN 1500 AND 2300 AND {_PUV[1]} BETWEEN -1000 AND -600")
 def uv_rect_select(spark, d):
     u, v = inplane_basis(Vec.of(*N))
-    return regions.rectangle(clouds.cloud_orders(spark, d), P.dot(u), P.dot(v), (200.0, 700.0), (300.0, 1500.0)).select("point_id")
+    return regions.rectangle(clouds.cloud_orders(spark, d), P.dot(u), P.dot(v), (1500.0, 2300.0), (-1000.0, -600.0)).select("point_id")
 
 
 _STATS = "grp, count(r) AS n, {mean}, {mad}, {mx}, {std}, {rms}, {p95}".format(
@@ -332,12 +332,12 @@ def main_component(spark, d):
 
 
 @_register(
-    f"WITH c AS ({clouds.SQL['cloud_orders']}) SELECT q.point_id AS center_id, c.point_id FROM c q JOIN c ON q.point_id % 500 = 0"
+    f"WITH c AS ({clouds.SQL['cloud_orders']}) SELECT q.point_id AS center_id, c.point_id FROM c q JOIN c ON q.point_id % 100 = 0"
     " AND (c.x-q.x)*(c.x-q.x) + (c.y-q.y)*(c.y-q.y) + (c.z-q.z)*(c.z-q.z) <= 2500"
 )
 def radius_join(spark, d):
     cloud = clouds.cloud_orders(spark, d)
-    centers = cloud.filter("point_id % 500 = 0").withColumnRenamed("point_id", "center_id")  # the survey's picked points
+    centers = cloud.filter("point_id % 100 = 0").withColumnRenamed("point_id", "center_id")
     return regions.radius_join(cloud, centers, 50.0)
 
 
@@ -511,7 +511,7 @@ _all_constructs()
 
 _HYP = (
     "SELECT p_partkey AS hyp_id, (p_partkey * 37 % 101 - 50) / CAST(100 AS DOUBLE) AS nx0, (p_partkey * 53 % 97 - 48) / CAST(100 AS DOUBLE) AS ny0, CAST(1 AS DOUBLE) AS nz0,"
-    " CAST(p_partkey % 80 AS DOUBLE) AS d0 FROM part WHERE p_partkey <= 100"
+    " CAST(p_partkey % 80 AS DOUBLE) AS d0 FROM part"
 )
 _HN = "sqrt(nx0*nx0 + ny0*ny0 + 1)"
 
@@ -521,7 +521,7 @@ _HN = "sqrt(nx0*nx0 + ny0*ny0 + 1)"
     " SELECT hyp_id, CAST(sum(CASE WHEN abs(nx*x + ny*y + nz*z + d) <= 5 THEN 1 ELSE 0 END) AS BIGINT) AS inliers FROM k, c GROUP BY hyp_id"
 )
 def hypothesis_scores(spark, d):
-    raw = spark.read.parquet(f"{d}/part.parquet").filter("p_partkey <= 100")  # the hypotheses, not the points
+    raw = spark.read.parquet(f"{d}/part.parquet")
     n = Vec((F.col("p_partkey") * 37 % 101 - 50) / 100, (F.col("p_partkey") * 53 % 97 - 48) / 100, F.lit(1.0))
     size = n.norm()
     hyp = raw.select(F.col("p_partkey").alias("hyp_id"), *n.over(size).named("nx", "ny", "nz"), ((F.col("p_partkey") % 80) / size).alias("d"))
@@ -541,12 +541,8 @@ def _robust_sql(steps: int, thr: float) -> str:
 
 @_register(_robust_sql(4, 1.5))
 def robust_fit_plane(spark, d):
-    cloud = clouds.plane_scene(spark, d).persist()
-    plane = planes.fit_plane(cloud)
-    for _ in range(4):
-        plane = planes.fit_plane(cloud, F.abs(plane.signed()) <= 1.5)
-    n = cloud.filter(F.abs(plane.signed()) <= 1.5).count()
-    row = (*(float(round(c, 5)) + 0.0 for c in plane.normal), float(round(plane.d, 4)) + 0.0, n)
+    fit = planes.robust_fit_plane(clouds.plane_scene(spark, d).persist(), 1.5)
+    row = (*(float(round(c, 5)) + 0.0 for c in fit.plane.normal), float(round(fit.plane.d, 4)) + 0.0, fit.n_inliers)
     return spark.createDataFrame([row], "nx double, ny double, nz double, d double, n_inliers long")
 
 
@@ -633,7 +629,8 @@ _BEAM = {
     "measures": [{"id": "m1", "op": "distance_points", "a": "corner", "b": "target"}, {"id": "m2", "op": "angle_planes", "a": "left", "b": "top"}],
     "export": ["target", "axis"],
 }
-_BEAM_FACES = {"left": ("plane", [1, 0, 0, 50]), "front": ("plane", [0, 1, 0, 20]), "top": ("plane", [0, 0, 1, -100])}
+#: The beam is turned as a whole by the matrix of thirds 2 -1 2 / 2 2 -1 / -1 2 2, so its frame is tilted and has a yaw.
+_BEAM_FACES = {"left": ("plane", [2 / 3, 2 / 3, -1 / 3, 50]), "front": ("plane", [-1 / 3, 2 / 3, 2 / 3, 20]), "top": ("plane", [2 / 3, -1 / 3, 2 / 3, -100])}
 
 
 _WIDE = "SELECT id, kind, " + ", ".join(f"v[{i}] AS v{i}" for i in range(1, 7))
@@ -646,9 +643,10 @@ def _beam(spark: SparkSession) -> dict:
 
 
 @_register(
-    _WIDE + " FROM (VALUES ('left', 'plane', [1.0, 0.0, 0.0, 50.0]::DOUBLE[]), ('front', 'plane', [0.0, 1.0, 0.0, 20.0]), ('top', 'plane', [0.0, 0.0, 1.0, -100.0]),"
-    " ('left_in', 'plane', [1.0, 0.0, 0.0, 0.0]), ('front_in', 'plane', [0.0, 1.0, 0.0, 0.0]), ('axis', 'line', [0.0, 0.0, 0.0, 0.0, 0.0, 1.0]),"
-    " ('target', 'point', [0.0, 0.0, 100.0]), ('corner', 'point', [-50.0, -20.0, 100.0])) t(id, kind, v)"
+    "WITH t(id, kind, v) AS (VALUES ('left', 'plane', [2 / 3, 2 / 3, -1 / 3, 50.0]::DOUBLE[]), ('front', 'plane', [-1 / 3, 2 / 3, 2 / 3, 20]::DOUBLE[]), ('top', 'plane', [2 / 3, -1 / 3, 2 / 3, -100]::DOUBLE[]),"
+    " ('left_in', 'plane', [2 / 3, 2 / 3, -1 / 3, 0]::DOUBLE[]), ('front_in', 'plane', [-1 / 3, 2 / 3, 2 / 3, 0]::DOUBLE[]), ('axis', 'line', [0, 0, 0, 2 / 3, -1 / 3, 2 / 3]::DOUBLE[]),"
+    " ('target', 'point', [200 / 3, -100 / 3, 200 / 3]::DOUBLE[]), ('corner', 'point', [40, -80, 70]::DOUBLE[]))"
+    " SELECT id, kind, " + ", ".join(f"round(v[{i}], 6) AS v{i}" for i in range(1, 7)) + " FROM t"
 )
 def recipe_beam(spark, d):
     from .recipe import entity_rows
@@ -703,12 +701,24 @@ def recipe_over_surveys(spark, d):
     "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'plane' ELSE 'of' END AS had, 'P' || p_size AS plane, CAST(p_retailprice AS DOUBLE) AS distance_mm FROM part"
 )
 def migrate_v1(spark, d):
-    """Old and new operand names of recipe steps side by side, read in bulk as JSON."""
+    """Recipes of either version as JSON rows, brought to today's by the schema's own migration."""
+    import json
+
+    import pandas as pd
+
+    from .schema import migrate_recipe
+
     part = spark.read.parquet(f"{d}/part.parquet")
     key = F.when(F.col("p_partkey") % 2 == 0, "plane").otherwise("of")
-    raw = part.select(F.col("p_partkey").alias("id"), key.alias("had"), F.to_json(F.create_map(key, F.concat(F.lit("P"), F.col("p_size").cast("string")), F.lit("distance_mm"), F.col("p_retailprice").cast("string"))).alias("step"))
-    step = F.from_json("step", "plane string, of string, distance_mm string")
-    return raw.select("id", "had", F.coalesce(step["plane"], step["of"]).alias("plane"), step["distance_mm"].cast("double").alias("distance_mm"))
+    step = F.create_map(key, F.concat(F.lit("P"), F.col("p_size").cast("string")), F.lit("distance_mm"), F.col("p_retailprice").cast("string"), F.lit("op"), F.lit("offset"))
+    raw = part.select(F.col("p_partkey").alias("id"), key.alias("had"), F.to_json(step).alias("step"))
+
+    def run(batches):
+        for pdf in batches:
+            docs = [migrate_recipe({"version": 1, "construct": [json.loads(s)]})["construct"][0] for s in pdf["step"]]
+            yield pd.DataFrame({"id": pdf["id"], "had": pdf["had"], "plane": [s["plane"] for s in docs], "distance_mm": [float(s["distance_mm"]) for s in docs]})
+
+    return raw.mapInPandas(run, "id long, had string, plane string, distance_mm double")
 
 
 def queries() -> dict[str, Query]:
