@@ -31,6 +31,10 @@ class GraphParams:
     degree: int = 24
     alpha: float = 1.2
     beam: int = 12
+    #: Links in a shard above which a class is compared with the whole shard in blocks, not searched for.
+    dense: int = 256
+    #: Rows of a shard above which its classes are dealt to several tasks, each comparing its own with all.
+    split_rows: int = 20_000
     #: Linked classes that the audit looks for, and the share of them with every link found below which the overlap doubles.
     audit_rows: int = 1000
     recall: float = 0.9999
@@ -120,15 +124,16 @@ def range_search(x: np.ndarray, adj: np.ndarray, queries: np.ndarray, start: int
     seen.reshape(-1)[key] = True
     front, found = key, [key]
     while len(front):
-        who, node = front // n, front % n
-        nb = adj[node].astype(np.int64)
-        key = np.unique((who[:, None] * n + nb)[nb >= 0])
-        key = key[~seen.reshape(-1)[key]]
-        seen.reshape(-1)[key] = True
-        near = [key[:0]]
-        for i in range(0, len(key), 65536):
-            part = key[i : i + 65536]
-            near.append(part[np.einsum("pd,pd->p", q[part // n], x[part % n]) >= p.expand])
+        near = [front[:0]]
+        for a in range(0, len(front), 16384):
+            who, node = front[a : a + 16384] // n, front[a : a + 16384] % n
+            nb = adj[node].astype(np.int64)
+            key = np.unique((who[:, None] * n + nb)[nb >= 0])
+            key = key[~seen.reshape(-1)[key]]
+            seen.reshape(-1)[key] = True
+            for i in range(0, len(key), 65536):
+                part = key[i : i + 65536]
+                near.append(part[np.einsum("pd,pd->p", q[part // n], x[part % n]) >= p.expand])
         front = np.concatenate(near)
         found.append(front)
     key = np.concatenate(found)
@@ -137,28 +142,47 @@ def range_search(x: np.ndarray, adj: np.ndarray, queries: np.ndarray, start: int
     return who[who != node], node[who != node]
 
 
-def missed_links(x: np.ndarray, adj: np.ndarray, p: GraphParams) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (row, later row) of cosine >= threshold that the search from the row does not reach, by row."""
+def close_pairs(x: np.ndarray, own: np.ndarray, threshold: float) -> np.ndarray:
+    """(own, rows) whether the cosine reaches the threshold, but for a row and itself; near ties as the search decides them."""
+    sims = x[own] @ x.T
+    hit = sims >= threshold
+    a, b = np.nonzero(np.abs(sims - threshold) < 1e-9)
+    hit[a, b] = np.einsum("pd,pd->p", x[own[a]], x[b]) >= threshold
+    hit[np.arange(len(own)), own] = False
+    return hit
+
+
+def missed_links(x: np.ndarray, adj: np.ndarray, p: GraphParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (row, later row) that link but that the search from the row does not reach, by row; and the dense rows.
+
+    A row of more than ``dense`` links is not searched for and is in no pair.
+    """
     n, out = len(x), []
     medoid = int((x @ x.mean(axis=0)).argmax())
-    for a in range(0, n, 256):
-        own = np.arange(a, min(n, a + 256))
-        hit = x[own] @ x.T >= p.threshold - 1e-12
+    dense = np.zeros(n, dtype=bool)
+    blocks = [np.arange(a, min(n, a + 256)) for a in range(0, n, 256)]
+    for own in blocks:
+        dense[own] = close_pairs(x, own, p.threshold).sum(axis=1) > p.dense
+    for own in blocks:
+        own = own[~dense[own]]
+        if not len(own):
+            continue
+        hit = close_pairs(x, own, p.threshold) & ~dense
         who, node = range_search(x, adj, own, medoid, p)
-        hit[who - a, node] = False
+        hit[np.searchsorted(own, who), node] = False
         row, late = np.nonzero(hit)
-        out.append(np.stack([row + a, late])[:, late > row + a])
-    row, late = np.concatenate(out, axis=1)
-    return row, late
+        out.append(np.stack([own[row], late])[:, late > own[row]])
+    row, late = np.concatenate([np.zeros((2, 0), dtype=np.int64), *out], axis=1)
+    return row, late, dense
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Smallest reachable node of each of n nodes."""
-    root = np.arange(n)
+def _roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest reachable node of each node, from what is known of it (``root``) and new edges."""
     while True:
         low = root.copy()
-        np.minimum.at(low, a, root[b])
-        np.minimum.at(low, b, root[a])
+        for x, y in ((a, b), (b, a)):
+            np.minimum.at(low, x, root[y])
+            np.minimum.at(low, root[x], root[y])  # a whole tree moves, not the node alone
         low = low[low]
         if (low == root).all():
             return root
@@ -190,13 +214,13 @@ def _assign(centroids: dict[int, np.ndarray], overlap: int):
     return run
 
 
-def _by_shard(work):
-    """Gathers the rows of each (dim, shard) of a sorted partition and hands them to ``work``."""
+def _by_shard(work, *more: str):
+    """Gathers the rows of each (dim, shard), and ``more``, of a sorted partition and hands them to ``work``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, []
         for batch in batches:
-            key = np.stack([batch.column("dim").to_numpy(), batch.column("shard").to_numpy()], axis=1)
+            key = np.stack([batch.column(k).to_numpy() for k in ("dim", "shard", *more)], axis=1)
             cuts = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
             for a, b in zip([0, *cuts], [*cuts, len(key)], strict=True):
                 if b <= a:
@@ -215,53 +239,108 @@ def _by_shard(work):
 def _build(p: GraphParams):
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         cid, x = batch.column("cid").to_numpy(), _vectors(batch.column("v"))
+        mark = np.array([-1 - batch.column("shard")[0].as_py()])  # of a row that is dense in this shard
         adj = pruned_graph(x, p)
-        row, late = missed_links(x, adj, p)  # these become edges, so that every link of the shard is found
+        row, late, dense = missed_links(x, adj, p)  # these become edges, so that every link of the shard is found
         first = np.searchsorted(row, np.arange(len(cid) + 1))
-        lists = [cid[np.concatenate([r[r >= 0], late[a:b]])] for r, a, b in zip(adj, first, first[1:], strict=False)]
+        lists = [np.concatenate([cid[r[r >= 0]], cid[late[a:b]], mark[:d]]) for r, a, b, d in zip(adj, first, first[1:], dense.astype(int), strict=False)]
         yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(lists, pa.list_(pa.int64()))], ["cid", "near"])
 
     return _by_shard(work)
 
 
+class _Shard:
+    """Links and components of a shard's rows, added up block by block; only one block's pairs are held."""
+
+    def __init__(self, batch: pa.RecordBatch, p: GraphParams):
+        self.p, self.cid, self.mult = p, batch.column("cid").to_numpy(), batch.column("mult").to_numpy()
+        self.x, self.n = _vectors(batch.column("v")), len(batch)
+        self.shard = batch.column("shard")[0].as_py()
+        self.lists = batch.column("shards").flatten().to_numpy().reshape(self.n, -1)
+        self.order = np.argsort(self.cid)
+        self.rank = np.empty(self.n, dtype=np.int64)
+        self.rank[self.order] = np.arange(self.n)
+        self.links = np.zeros(self.n, dtype=np.int64)
+        self._root = np.arange(self.n)  # by rank
+
+    def mine(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether this is the first of the shards that each pair shares: it counts there only."""
+        out = np.zeros(len(a), dtype=bool)
+        for i in range(0, len(a), 1 << 18):
+            x, y = self.lists[a[i : i + (1 << 18)]], self.lists[b[i : i + (1 << 18)]]
+            both = np.where((x[:, :, None] == y[:, None, :]).any(axis=2), x, np.iinfo(np.int32).max)
+            out[i : i + (1 << 18)] = both.min(axis=1) == self.shard
+        return out
+
+    def join(self, a: np.ndarray, b: np.ndarray) -> None:
+        a, b = self.rank[a], self.rank[b]
+        new = self._root[a] != self._root[b]
+        if new.any():
+            self._root = _roots(self._root, a[new], b[new])
+
+    def compared(self, rows: np.ndarray, others: np.ndarray | None = None) -> None:
+        """Counts all links of ``rows``, for these and, where ``others`` holds, for the rows they link with."""
+        for i in range(0, len(rows), 256):
+            a, b = np.nonzero(close_pairs(self.x, rows[i : i + 256], self.p.threshold))
+            a = rows[i : i + 256][a]
+            self.join(a, b)
+            keep = self.mine(a, b)
+            a, b = a[keep], b[keep]
+            np.add.at(self.links, a, self.mult[b])
+            if others is not None:
+                back = others[b]
+                np.add.at(self.links, b[back], self.mult[a[back]])
+
+    def result(self) -> pa.RecordBatch:
+        root = self.cid[self.order][self._root[self.rank]]
+        return pa.RecordBatch.from_arrays([pa.array(self.cid), pa.array(self.links), pa.array(root)], ["cid", "links", "root"])
+
+
 def _search(p: GraphParams):
     def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        cid, mult = batch.column("cid").to_numpy(), batch.column("mult").to_numpy()
-        x = _vectors(batch.column("v"))
-        n, shard = len(cid), batch.column("shard")[0].as_py()
-        lists = batch.column("shards").flatten().to_numpy().reshape(n, -1)
+        s = _Shard(batch, p)
+        n, x = s.n, s.x
         # The union's neighbours that lie in this shard, as row numbers.
-        order = np.argsort(cid)
         flat = batch.column("near").flatten().to_numpy()
         owner = np.repeat(np.arange(n), np.diff(batch.column("near").offsets.to_numpy()))
-        at = np.minimum(np.searchsorted(cid[order], flat), n - 1)
-        here = cid[order][at] == flat
-        owner, node = owner[here], order[at[here]]
+        dense = np.zeros(n, dtype=bool)
+        dense[owner[flat == -1 - s.shard]] = True
+        at = np.minimum(np.searchsorted(s.cid[s.order], flat), n - 1)
+        here = s.cid[s.order][at] == flat
+        owner, node = owner[here], s.order[at[here]]
         first = np.searchsorted(owner, np.arange(n))
         slot = np.arange(len(owner)) - first[owner]
         adj = np.full((n, int(slot.max()) + 1 if len(slot) else 1), -1, dtype=np.int32)
         adj[owner, slot] = node
         medoid = int((x @ x.mean(axis=0)).argmax())
-        pairs = []
-        for a in range(0, n, 256):
-            who, node = range_search(x, adj, np.arange(a, min(n, a + 256)), medoid, p)
+        s.compared(np.flatnonzero(dense), ~dense)
+        sparse, pairs = np.flatnonzero(~dense), []
+        for i in range(0, len(sparse), 256):
+            who, node = range_search(x, adj, sparse[i : i + 256], medoid, p)
+            who, node = who[~dense[node]], node[~dense[node]]
+            s.join(who, node)
             pairs.append(np.minimum(who, node) * n + np.maximum(who, node))
-        key = np.unique(np.concatenate(pairs))
+        key = np.unique(np.concatenate([np.zeros(0, dtype=np.int64), *pairs]))  # at most ``dense`` a row
         a, b = key // n, key % n
-        # A pair that shares several shards counts in the first of them.
-        both = np.where((lists[a][:, :, None] == lists[b][:, None, :]).any(axis=2), lists[a], np.iinfo(np.int32).max)
-        mine = both.min(axis=1) == shard if len(a) else np.zeros(0, dtype=bool)
-        links = np.zeros(n, dtype=np.int64)
-        np.add.at(links, a[mine], mult[b[mine]])
-        np.add.at(links, b[mine], mult[a[mine]])
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.arange(n)
-        root = cid[order][_roots(n, rank[a], rank[b])[rank]]
-        yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(links), pa.array(root)], ["cid", "links", "root"])
+        keep = s.mine(a, b)
+        np.add.at(s.links, a[keep], s.mult[b[keep]])
+        np.add.at(s.links, b[keep], s.mult[a[keep]])
+        yield s.result()
 
     return _by_shard(work)
 
 
+def _compare(p: GraphParams):
+    """A cell of a very large shard: its own rows against all rows of the shard."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        s = _Shard(batch, p)
+        s.compared(np.flatnonzero(batch.column("own").to_numpy(zero_copy_only=False)))
+        yield s.result()
+
+    return _by_shard(work, "cell")
+
+
 def _audit(queries: dict[int, tuple[np.ndarray, np.ndarray]], threshold: float):
     """Links of each audited class counted against all rows of its dim."""
 
@@ -331,10 +410,21 @@ def _linked(reps: DataFrame, p: GraphParams, n: int) -> tuple[DataFrame, int]:
     shards = sum(len(c) for c in centroids.values())
     key = ["dim", "shard"]
     parts = max(1, min(shards, 100_000))
-    near = placed.drop("mult", "shards").repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_build(p), "cid long, near array<long>")
+    schema = "cid long, links long, root long"
+    sizes = placed.groupBy(*key).count()
+    large = materialize(sizes.filter(F.col("count") > p.split_rows).select(*key, F.ceil(F.col("count") / p.split_rows).cast("int").alias("cells")), "graph-large")
+    crowded = not large.isEmpty()
+    usual = placed.join(F.broadcast(large), key, "left_anti") if crowded else placed  # at most rows / split_rows of them
+    near = usual.drop("mult", "shards").repartition(parts, *key).sortWithinPartitions(*key).mapInArrow(_build(p), "cid long, near array<long>")
     union = materialize(near.groupBy("cid").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")), "graph-union")
-    block = placed.join(union, "cid").repartition(parts, *key).sortWithinPartitions(*key, "cid")
-    found = block.select("cid", "dim", "shard", "v", "mult", "shards", "near").mapInArrow(_search(p), "cid long, links long, root long")
+    block = usual.join(union, "cid").repartition(parts, *key).sortWithinPartitions(*key, "cid")
+    found = block.select("cid", "dim", "shard", "v", "mult", "shards", "near").mapInArrow(_search(p), schema)
+    if crowded:
+        cells = placed.join(F.broadcast(large), key).withColumn("cell", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+        cells = cells.withColumn("own", F.pmod(F.xxhash64("cid"), F.col("cells")) == F.col("cell")).drop("cells")
+        n_cells = large.agg(F.sum("cells")).first()[0]
+        cells = cells.repartition(max(parts, n_cells), *key, "cell").sortWithinPartitions(*key, "cell", "cid")
+        found = found.unionByName(cells.select("cid", "dim", "shard", "cell", "own", "v", "mult", "shards").mapInArrow(_compare(p), schema))
     return materialize(found, "graph-links"), max(len(c) for c in centroids.values())
 
 
@@ -343,9 +433,12 @@ def embedding_duplicates(vectors: DataFrame, params: GraphParams = GraphParams()
 
     Exact copies form a class first, so a class of any size is one node.  Classes go to
     the ``overlap`` nearest of the cluster shards; each shard builds a robust-pruned
-    graph and adds the links that a search of it misses as edges, the adjacency lists of all shards are united by class, and every shard is
-    searched with the united lists: a greedy beam from the medoid, then an expansion of
-    everything near.  Links are verified in double precision, and a pair that meets in
+    graph and adds the links that a search of it misses as edges, the adjacency lists of
+    all shards are united by class, and every shard is searched with the united lists: a
+    greedy beam from the medoid, then an expansion of everything near.  A class of more
+    than ``dense`` links in a shard, as in a ball of near copies, is compared with the
+    whole shard in blocks; of a shard above ``split_rows`` several tasks do so with a part
+    of its classes each.  Only one block's pairs and a tree of links are held.  Links are verified in double precision, and a pair that meets in
     several shards counts once.  An audit counts links against all rows, class by class,
     until ``audit_rows`` classes have some or all are counted; while fewer than
     ``recall`` of these have every link, each counting once however many links it has,

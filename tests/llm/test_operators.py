@@ -420,6 +420,20 @@ def test_embedding_links_beside_a_hot_group(spark):
     assert sorted(map(tuple, got.collect())) == list(enumerate((hit @ copies - 1).tolist()))
 
 
+@pytest.mark.parametrize("dense, split", [(256, 20_000), (20, 20_000), (20, 150)])
+def test_embedding_ball_of_near_copies(spark, dense, split):
+    rng = np.random.default_rng(31)
+    x = np.concatenate([rng.normal(size=16) + rng.normal(0, 0.02, (1000, 16)), rng.normal(size=(200, 16))])
+    x[1000:1030] = x[0] + rng.normal(0, 0.33, (30, 16))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hit = unit @ unit.T >= 0.95
+    np.fill_diagonal(hit, False)
+    comp = components(range(1200), np.argwhere(np.triu(hit)).tolist())
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = embedding_duplicates(df, GraphParams(shard_rows=400, overlap=2, dense=dense, split_rows=split)).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == {i: (int(hit[i].sum()), comp[i]) for i in range(1200)}
+
+
 def test_every_link_of_a_shard_is_an_edge_or_reached():
     rng = np.random.default_rng(4)
     base = unit_rows(rng.normal(size=(20, 16)))
@@ -427,8 +441,8 @@ def test_every_link_of_a_shard_is_an_edge_or_reached():
     x = unit_rows(np.concatenate([c + rng.normal(0, 0.003, (60, 16)) for c in np.concatenate([base, side])]))
     p = GraphParams(candidates=6, degree=3, beam=2)
     adj = pruned_graph(x, p)
-    row, late = missed_links(x, adj, p)
-    assert len(row)
+    row, late, dense = missed_links(x, adj, p)
+    assert len(row) and not dense.any()
     wide = np.full((len(x), adj.shape[1] + np.bincount(row).max()), -1)
     wide[:, : adj.shape[1]] = adj
     wide[row, adj.shape[1] + np.arange(len(row)) - np.searchsorted(row, row)] = late
