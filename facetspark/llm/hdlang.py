@@ -37,16 +37,20 @@ _letters: dict[int, bool] = {}
 def _gapped(code: np.ndarray) -> np.ndarray:
     top = int(code.max())
     if top < 0x3000:
-        present = np.flatnonzero(np.bincount(code, minlength=1))
+        present, place = np.flatnonzero(np.bincount(code)), None
     else:
-        present = np.unique(code)
-    table = np.zeros(top + 1, dtype=np.int64)
+        present, place = np.unique(code, return_inverse=True)
     for c in present.tolist():
         if c not in _letters:
             _letters[c] = chr(c).isalpha()
-        if _letters[c]:
-            table[c] = c
-    out = np.concatenate([[_GAP], table[code], [_GAP]])
+    letters = np.where([_letters[c] for c in present.tolist()], present, _GAP)
+    if place is None:
+        table = np.zeros(top + 1, dtype=np.int64)
+        table[present] = letters
+        out = table[code]
+    else:
+        out = letters[place]
+    out = np.concatenate([[_GAP], out, [_GAP]])
     keep = np.ones(len(out), dtype=bool)
     keep[1:] = (out[1:] != _GAP) | (out[:-1] != _GAP)
     return out[keep]

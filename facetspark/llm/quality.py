@@ -29,9 +29,9 @@ class QualityParams:
 
 
 def doc_features(data: np.ndarray, offsets: np.ndarray, p: QualityParams) -> Iterator[tuple[list, list, np.ndarray]]:
-    """Of each block of texts: buckets of words, of their repeats and of byte n-grams, each document's first ones, and offsets.
+    """Of each block of texts: buckets of words, of their repeats and of character n-grams, each document's first ones, and offsets.
 
-    N-grams are taken at every byte; the last g - 1 of a document reach into the next one
+    N-grams are taken at every character; the last g - 1 of a document reach into the next one
     and are left out by those who read them.
     """
     mask = np.uint64(p.buckets - 1)
@@ -48,7 +48,14 @@ def doc_features(data: np.ndarray, offsets: np.ndarray, p: QualityParams) -> Ite
                 again[k:] += (words[k:] == words[:-k]) * (1 << (k - 1))
         feats = [(mix64(words) & mask).astype(np.int64), again * 977 % p.buckets]
         cuts = [at, at]
-        wide = part.astype(np.uint64) + np.uint64(1)
+        # Characters as numbers of their one to four bytes.
+        first = np.flatnonzero((part & 0xC0) != 0x80)
+        size = np.diff(np.append(first, len(part)))
+        wide = part[first].astype(np.uint64) + np.uint64(1)
+        for k in (1, 2, 3):
+            more = np.flatnonzero(size > k)
+            wide[more] = wide[more] * np.uint64(256) + part[first[more] + k]
+        chars = np.searchsorted(first, offs)
         for g in p.grams:
             m = max(0, len(wide) - g + 1)
             h = np.full(m, g, dtype=np.uint64)
@@ -58,7 +65,7 @@ def doc_features(data: np.ndarray, offsets: np.ndarray, p: QualityParams) -> Ite
             h *= np.uint64(0xBF58476D1CE4E5B9)
             f = (h >> np.uint64(40)) & mask
             feats.append(f.astype(np.int64))
-            cuts.append(offs)
+            cuts.append(chars)
         yield feats, cuts, offs
 
 
@@ -99,8 +106,8 @@ def _bags(texts: list[str], p: QualityParams) -> list[tuple[np.ndarray, np.ndarr
 def train_quality(texts: list[str], labels: list[int], params: QualityParams) -> QualityModel:
     """Softmax regression on averaged n-gram embeddings by stochastic gradient descent.
 
-    Classes are weighed so that the rarer one counts as much in half; without labels, or
-    with one class only, every score is the share of label 1 (0.5 without labels).
+    Each labelled text counts once, whatever its class.  Without labels, or with one
+    class only, every score is the smoothed share of label 1 (0.5 without labels).
     """
     p = params
     rng = np.random.default_rng(p.seed)

@@ -354,6 +354,79 @@ def test_language(spark, sf, docs, none):
     assert identify_language(none).count() == 0
 
 
+def test_language_is_the_nearest_profile(spark):
+    from facetspark.llm.hdlang import LangParams, trigram_vectors
+
+    p = LangParams(dim=256)
+    rng = random.Random(12)
+    texts = [words(rng, 30, a) for a in ("abcde", "efghi", "éüñaß") for _ in range(12)] + [None, "", "12 !", "x\U00020000y A\u0130b"]
+    langs = ["p"] * 12 + ["q"] * 12 + ["r"] * 12 + ["p", "q", None, None]
+    rows = list(enumerate(zip(texts, langs, strict=True)))
+    df = spark.createDataFrame([(i, t, x) for i, (t, x) in rows], "doc_id long, text string, lang string")
+
+    def bundle(text):
+        out = [""]
+        for c in (text or "").lower():
+            out.append(c if c.isalpha() else "")
+        code = [0]
+        for c in [*out[1:], ""]:
+            if c or code[-1]:
+                code.append(ord(c) if c else 0)
+        total = np.zeros(p.dim)
+        for a, b, c in zip(code, code[1:], code[2:], strict=False):
+            total += trigram_vectors(np.array([(a << 42) | (b << 21) | c]), p)[0]
+        return total
+
+    held = {i: zlib.crc32(str(i).encode()) % 4 == 2 for i, _ in rows}
+    own = {i: bundle(t) for i, (t, _) in rows}
+    protos = {}
+    for i, (t, x) in rows:
+        if x and t and not held[i]:
+            protos[x] = protos.get(x, 0) + own[i]
+    for r in identify_language(df, p).collect():
+        v = own[r["doc_id"]]
+        if not v.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cos = {x: v @ w / np.linalg.norm(v) / np.linalg.norm(w) for x, w in protos.items()}
+        best = max(sorted(cos), key=cos.get)
+        assert r["lang_pred"] == best and r["score"] == pytest.approx(max(0.0, cos[best]), abs=1e-5) and r["held_out"] == held[r["doc_id"]]
+
+
+def test_quality_grams_are_of_characters():
+    p = QualityParams(grams=(2,))
+    rng = np.random.default_rng(2)
+    model = QualityModel(rng.normal(size=(p.buckets, 4)), rng.normal(size=(4, 2)), np.zeros(2), p)
+    from facetspark.llm.quality import doc_features
+
+    def grams(text):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        feats, _, _ = next(doc_features(data, np.array([0, len(data)]), p))
+        return feats[2].tolist()
+
+    assert len(grams("é😀ab")) == 3 and grams("éab")[1:] == grams("😀ab")[1:] and grams("éab")[0] != grams("èab")[0]
+    assert np.isfinite(model.margins(np.frombuffer("é".encode(), dtype=np.uint8), np.array([0, 2]))).all()
+
+
+def test_source_targets_fill_like_water(spark):
+    from facetspark.llm.mixing import source_targets
+
+    rng = random.Random(13)
+    for n in (1, 3, 40):
+        sizes = {f"s{k:02d}": int(rng.lognormvariate(4, 2)) for k in range(n - 1)} | {None: 5}
+        p = MixParams()
+        order = sorted(sizes, key=lambda s: (s is None, s or ""))
+        weight = {s: p.weights[k % 3] for k, s in enumerate(order)}
+        total, level = 1.5 * sum(sizes.values()), [0.0, 1e12]
+        for _ in range(200):  # the level at which the caps let all of the total in
+            mid = sum(level) / 2
+            level[sum(min(2 * sizes[s], mid * weight[s]) for s in order) >= total] = mid
+        df = spark.createDataFrame([(s, v) for s, v in sizes.items()], "source string, size long")
+        got = {r["source"]: r for r in source_targets(df, p).collect()}
+        for s in order:
+            assert got[s]["source_size"] == sizes[s] and got[s]["target"] == pytest.approx(min(2.0 * sizes[s], level[1] * weight[s]), rel=1e-6)
+
+
 def test_top_k_with_repeated_rows(spark):
     rows = [(0, [2.0, 1.0])] * 8 + [(7, [9.0, 9.0])] * 9 + [(8, [8.0, 8.0])] * 9 + [(i, [1.0, i / 10]) for i in range(11, 40)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
