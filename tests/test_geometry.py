@@ -158,3 +158,64 @@ def test_ply_errors(tmp_path):
         p.write_bytes(bad)
         with pytest.raises((ValueError, KeyError)):
             read_header(str(p))
+
+
+def patch(rng, n, size, height=0.0, sigma=0.03):
+    return np.column_stack([rng.uniform(-size, size, n), rng.uniform(-size, size, n), height + rng.normal(0, sigma, n)])
+
+
+def test_robust_plane_beside_outliers_and_a_ghost(spark):
+    rng = np.random.default_rng(11)
+    slab = np.column_stack([rng.uniform(-50, 50, (4000, 2)), rng.uniform(-1, 1, 4000)])
+    fit = planes.robust_fit_plane(cloud(spark, np.concatenate([patch(rng, 20_000, 50), slab])), 0.1)
+    assert fit.converged and np.arccos(fit.plane.normal[2]) < 1e-4 and abs(fit.plane.d) < 3e-3
+    both = cloud(spark, np.concatenate([patch(rng, 20_000, 50), patch(rng, 3000, 50, 0.5)]))
+    fit = planes.robust_fit_plane(both)
+    assert abs(fit.plane.d) < 5e-3 and fit.threshold == pytest.approx(0.09, rel=0.25)
+    some = planes.robust_fit_plane(both, 0.1, among=F.col("z") > 0.3)
+    assert abs(some.plane.d + 0.5) < 0.01 and some.n_inliers >= 2900
+
+
+def test_parallel_sheets_are_two_planes(spark):
+    from facetspark.operators.extract import MultiPlaneParams, extract_planes
+
+    rng = np.random.default_rng(12)
+    found = extract_planes(cloud(spark, np.concatenate([patch(rng, 8000, 20), patch(rng, 6000, 20, 0.5)])), MultiPlaneParams(min_plane_points=2000))
+    assert [round(-f["result"].plane.d, 1) + 0.0 for f in found] == [0.0, 0.5] and found[0]["n_points"] > 7500 and not found[0]["bimodal"]
+    assert abs(found[0]["result"].plane.d) < 5e-3 and abs(found[1]["result"].plane.d + 0.5) < 1e-2
+
+
+def test_the_clicked_face_is_picked(spark):
+    from facetspark.operators.extract import MainPlaneParams, PickParams, extract_main_plane, grown_plane, pick_plane_region
+
+    rng = np.random.default_rng(13)
+    face, far = patch(rng, 9000, 40), patch(rng, 12000, 40) + [200, 0, 0]
+    wall = patch(rng, 4000, 40)[:, [2, 1, 0]] + [41, 0, 45]
+    scene = cloud(spark, np.concatenate([face, far, wall]))
+    p = PickParams(min_points_per_cell=1, min_neighbor_points=50, min_local_inliers=30, local_ransac_iterations=100, max_expand_rounds=3)
+    members, plane = pick_plane_region(scene, (0.0, 0.0, 0.0), p)
+    ids = [r["point_id"] for r in members.select("point_id").collect()]
+    assert sum(i < 9000 for i in ids) > 8550 and not any(9000 <= i < 21000 for i in ids) and sum(i >= 21000 for i in ids) < 200
+    assert np.degrees(np.arccos(plane.normal[2])) < 0.05
+    _, table = grown_plane(scene, (0.0, 0.0, 0.0), planes.Plane.of((0.05, 0, 1), 0.0), p)
+    assert [d.radius for d in table] == [10.0, 35.0, 60.0][: len(table)] and all(d.wider >= d.inside for d in table)
+    main = extract_main_plane(scene, MainPlaneParams(min_points_per_cell=1, ransac_iterations=100), clicked=(0.0, 0.0, 0.0))
+    assert main.members.filter("point_id >= 9000 AND point_id < 21000").isEmpty() and main.n_points > 8000
+    with pytest.raises(ValueError):
+        pick_plane_region(scene, (0.0, 0.0, 500.0), p)
+
+
+def test_a_pipe_is_picked(spark):
+    from facetspark.operators.extract import pick_around_cylinder, pick_ball_region, pick_cylinder_region
+
+    rng = np.random.default_rng(14)
+    a, t = rng.uniform(0, 2 * np.pi, 3000), rng.uniform(-200, 200, 3000)
+    pipe = np.column_stack([30 * np.cos(a), 30 * np.sin(a), t]) + rng.normal(0, 0.05, (3000, 3))
+    scene = cloud(spark, np.concatenate([pipe, patch(rng, 500, 100) + [0, 0, 150]]))
+    # The axis of the first passes the click on the surface, so its shell meets the pipe on one side only.
+    picks = (pick_cylinder_region(scene, (30.0, 0.0, 0.0), 100.0), 50), (pick_around_cylinder(scene, (0, 0, 0), (0, 0, 2), 30.0, 100.0), 500)
+    for (got, _), least in picks:
+        ids = np.array([r["point_id"] for r in got.select("point_id").collect()])
+        assert (ids < 3000).all() and (np.abs(t[ids]) <= 41).all() and len(ids) >= least
+    few, plane = pick_around_cylinder(scene, (0, 0, 0), (0, 0, 1), 500.0, 40.0)  # nothing at that radius: all of the ball
+    assert few.count() == pick_ball_region(scene, (0.0, 0.0, 0.0), 40.0)[0].count() and plane is not None
