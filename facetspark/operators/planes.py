@@ -122,9 +122,11 @@ class RobustFit:
     converged: bool
     n_iterations: int
     n_inliers: int
+    among: Column | None = None
 
     def inlier(self) -> Column:
-        return F.abs(self.plane.signed()) <= self.threshold
+        near = F.abs(self.plane.signed()) <= self.threshold
+        return near if self.among is None else near & self.among
 
 
 def mad_sigma(cloud: DataFrame, residual: Column) -> float | None:
@@ -143,10 +145,9 @@ def robust_fit_plane(
     Each step depends on the last plane's five numbers only, so every step is one
     aggregate over the same table: inliers, how many changed, and the moments of the
     next fit come from a single scan.  A threshold that is None follows the MAD of the
-    current inliers.  With ``among``, only points where it holds are fitted, and the
-    inliers of the final plane are counted among all points.
+    current inliers.  With ``among``, only points where it holds are fitted or
+    count as inliers; where it is null it does not hold.
     """
-    every = cloud
     cloud = cloud if among is None else cloud.filter(among)
     n = cloud.count()
     if n < 3:
@@ -170,8 +171,8 @@ def robust_fit_plane(
             converged = True
             break
         mask, plane = new, plane_of_moments(row)
-    inliers = every.filter(F.abs(plane.signed()) <= thr).count()
-    return RobustFit(plane, float(thr), converged, it, inliers)
+    inliers = cloud.filter(F.abs(plane.signed()) <= thr).count()
+    return RobustFit(plane, float(thr), converged, it, inliers, among)
 
 
 def ransac_plane(cloud: DataFrame, threshold: float, n_iterations: int = 1000, seed: int = 0, pool: int = 100_000) -> tuple[Plane, int]:

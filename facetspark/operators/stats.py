@@ -30,6 +30,12 @@ def residual_histogram(frame: DataFrame, residual: Column, threshold: float, bin
     return frame.select(bin_index(residual, -t, t, bins).alias("bin")).filter("bin is not null").groupBy("bin").agg(F.count("*").alias("cnt"))
 
 
+def histogram_summary(frame: DataFrame, residual: Column, threshold: float) -> DataFrame:
+    """One row (n_used, n_outside, threshold) that goes with ``residual_histogram``: all residuals, and those beyond its range."""
+    t = max(threshold, 1e-4)
+    return frame.agg(F.count(residual).alias("n_used"), F.count_if(F.abs(residual) > t).alias("n_outside"), F.lit(t).alias("threshold"))
+
+
 def bimodality(frame: DataFrame, residual: Column, sigma: float, bins: int = 81) -> DataFrame:
     """One row (n, peak, bimodal): is there a second local maximum beyond 2 sigma and over 30 % of the peak?
 

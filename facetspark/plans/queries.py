@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import Vec, axis_distance, canonical_plane, inplane_basis, signed_distance
 from ..operators import constructs as C
-from ..operators import frames, layers, planes, regions, stats
+from ..operators import frames, layers, maps, planes, regions, stats
 from ..session import ship_package
 from ..sources import clouds
 from . import sqlgeom as S
@@ -258,6 +258,34 @@ def uv_residual_map(spark, d):
     return out.select("iu", "iv", "cnt", r6(F.col("mean"), "mean"))
 
 
+@_register(
+    f"SELECT count(*) AS n_used, count(*) FILTER (WHERE abs({_DIST}) > 300) AS n_outside, CAST(300 AS DOUBLE) AS threshold FROM {_from('cloud_orders')}"
+)
+def residual_hist_summary(spark, d):
+    return stats.histogram_summary(clouds.cloud_orders(spark, d), signed_distance(P, Vec.of(*N), F.lit(D)), 300.0)
+
+
+_FACE = planes.Plane.of(N, 0.0)
+_FACE_SQL = f"WITH c AS {_from('turned_face')}, e AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(r) AS r0, max(r) AS r1, avg(a) AS ma, avg(b) AS mb, avg(r) AS mr FROM c)"
+
+
+@_register(f"{_FACE_SQL} SELECT {_bin('a', 'a0', 'a1', 20)} AS iu, {_bin('b', 'b0', 'b1', 20)} AS iv, count(*) AS cnt, {S.out('avg(r)', 'mean')} FROM c, e GROUP BY 1, 2")
+def aligned_uv_map(spark, d):
+    out = maps.residual_uv_map(clouds.turned_face(spark, d), _FACE, 20)
+    return out.cells.select("iu", "iv", "cnt", r6(F.col("mean"), "mean"))
+
+
+@_register(
+    f"{_FACE_SQL} SELECT * FROM (SELECT 'u' AS axis, {S.out('2 / 3', 'x')}, {S.out('2 / 3', 'y')}, {S.out('-1 / 3', 'z')}, {S.out('a0 - ma', 'low')}, {S.out('a1 - ma', 'high')} FROM e"
+    f" UNION ALL SELECT 'v', {S.out('-1 / 3', 'x')}, {S.out('2 / 3', 'y')}, {S.out('2 / 3', 'z')}, {S.out('b0 - mb', 'low')}, {S.out('b1 - mb', 'high')} FROM e"
+    f" UNION ALL SELECT 'n', {S.out('2 / 3', 'x')}, {S.out('-1 / 3', 'y')}, {S.out('2 / 3', 'z')}, {S.out('r0 - mr', 'low')}, {S.out('r1 - mr', 'high')} FROM e)"
+)
+def aligned_extents(spark, d):
+    out = maps.residual_uv_map(clouds.turned_face(spark, d), _FACE, 20)
+    rows = [(k, *(round(c, 6) + 0.0 for c in (*axis, out.low[i], out.high[i]))) for i, (k, axis) in enumerate(zip("uvn", (out.frame.u, out.frame.v, out.frame.n), strict=True))]
+    return spark.createDataFrame(rows, "axis string, x double, y double, z double, low double, high double")
+
+
 _SZ = f"SELECT 150 * atan2({_X2}, {_X1}) AS s, {_T} AS h, sqrt({_X1}*{_X1} + {_X2}*{_X2}) - 150 AS r FROM {_from('cloud_orders')}"
 
 
