@@ -14,8 +14,8 @@ from ..functions.columns import Vec
 from .planes import Plane
 from .stats import mean_map
 
-#: Directions whose outermost points rule out most others before Python sees any.
-DIRECTIONS = 16
+#: Directions whose outermost points rule out most others before Python sees any; a square corner faces two of them.
+DIRECTIONS = 8
 
 
 @dataclass(frozen=True)
@@ -93,26 +93,26 @@ def _hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(kept[:, i]), pa.float64()) for i in (0, 1)], names=["a", "b"])
 
 
-def hull(frame: DataFrame, u: Column, v: Column) -> np.ndarray:
-    """Corners of the convex hull of all points, exactly.
+def outermost(a: Column, b: Column) -> list[Column]:
+    """Aggregates of the outermost point (a, b) in each of some directions."""
+    turns = 2 * np.pi * np.arange(DIRECTIONS) / DIRECTIONS
+    return [F.max_by(F.struct(a.alias("a"), b.alias("b")), a * float(np.cos(t)) + b * float(np.sin(t))).alias(f"outer{i}") for i, t in enumerate(turns)]
 
-    One aggregate finds the outermost point in each of some directions; points inside
-    their polygon are no corners and stay in the JVM.  Tasks then send the hulls of
-    what is left, which one task and the driver join: both hold corners only, whose
-    number grows with the outline and not with the points.
+
+def hull(flat: DataFrame, outer) -> np.ndarray:
+    """Corners of the convex hull of all points (a, b), exactly; ``outer`` is the row of their ``outermost`` points.
+
+    Points inside the polygon of the outermost are no corners and stay in the JVM.
+    Tasks then send the hulls of what is left, which one task and the driver join: both
+    hold corners only, whose number grows with the outline and not with the points.
     """
-    flat = frame.select(u.alias("a"), v.alias("b"))
-    turns = [(float(np.cos(t)), float(np.sin(t))) for t in 2 * np.pi * np.arange(DIRECTIONS) / DIRECTIONS]
-    row = flat.agg(*[F.max_by(F.struct("a", "b"), F.col("a") * c + F.col("b") * s).alias(f"p{i}") for i, (c, s) in enumerate(turns)]).first()
-    if row["p0"] is None:
-        return np.empty((0, 2))
-    outer = corners(np.array([(row[f"p{i}"]["a"], row[f"p{i}"]["b"]) for i in range(DIRECTIONS)]))
-    if len(outer) >= 3:
-        after = np.roll(outer, -1, axis=0)
-        area2 = float((outer[:, 0] * after[:, 1] - outer[:, 1] * after[:, 0]).sum())
+    known = corners(np.array([tuple(outer[f"outer{i}"]) for i in range(DIRECTIONS)]))
+    if len(known) >= 3:
+        after = np.roll(known, -1, axis=0)
+        area2 = float((known[:, 0] * after[:, 1] - known[:, 1] * after[:, 0]).sum())
         turn = 1.0 if area2 > 0 else -1.0
         inside = F.lit(True)
-        for (x0, y0), (x1, y1) in zip(outer.tolist(), after.tolist(), strict=True):
+        for (x0, y0), (x1, y1) in zip(known.tolist(), after.tolist(), strict=True):
             inside = inside & (turn * ((x1 - x0) * (F.col("b") - y0) - (y1 - y0) * (F.col("a") - x0)) > 0)
         flat = flat.filter(~inside)
     ends = flat.mapInArrow(_hulls, "a double, b double").repartition(1).mapInArrow(_hulls, "a double, b double").toPandas()
@@ -130,15 +130,16 @@ def aligned_frame(cloud: DataFrame, plane: Plane) -> FaceFrame | None:
     u points to where the face reaches farther from its centroid, and v = n x u.  Fewer
     than three points, or all in one place, keep the axes that the normal alone gives.
     """
-    cloud = _finite(cloud)
-    mid = cloud.agg(F.count("*").alias("n"), *[F.avg(a).alias(a) for a in "xyz"]).first()
+    cloud, n = _finite(cloud), np.asarray(plane.normal)
+    u, v = start_axes(n)
+    p = Vec.cols("x", "y", "z")
+    a, b = p.dot(Vec.of(*u)), p.dot(Vec.of(*v))
+    mid = cloud.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "xyz"], *outermost(a, b)).first()
     if not mid["n"]:
         return None
-    center, n = (mid["x"], mid["y"], mid["z"]), np.asarray(plane.normal)
-    u, v = start_axes(n)
+    center = (mid["x"], mid["y"], mid["z"])
     if mid["n"] >= 3:
-        a, b, _ = FaceFrame(center, tuple(u.tolist()), tuple(v.tolist()), plane.normal).coords()
-        ends = hull(cloud, a, b)
+        ends = hull(cloud.select(a.alias("a"), b.alias("b")), mid) - [np.dot(center, u), np.dot(center, v)]
         side = rectangle_side(ends)
         reach = ends @ side
         if -reach.min() > reach.max():

@@ -266,12 +266,13 @@ def residual_hist_summary(spark, d):
 
 
 _FACE = planes.Plane.of(N, 0.0)
+#: The face's coordinates are squares of integers, so that no point lies on the border of a cell of a prime number.
 _FACE_SQL = f"WITH c AS {_from('turned_face')}, e AS (SELECT min(a) AS a0, max(a) AS a1, min(b) AS b0, max(b) AS b1, min(r) AS r0, max(r) AS r1, avg(a) AS ma, avg(b) AS mb, avg(r) AS mr FROM c)"
 
 
-@_register(f"{_FACE_SQL} SELECT {_bin('a', 'a0', 'a1', 20)} AS iu, {_bin('b', 'b0', 'b1', 20)} AS iv, count(*) AS cnt, {S.out('avg(r)', 'mean')} FROM c, e GROUP BY 1, 2")
+@_register(f"{_FACE_SQL} SELECT {_bin('a', 'a0', 'a1', 19)} AS iu, {_bin('b', 'b0', 'b1', 19)} AS iv, count(*) AS cnt, {S.out('avg(r)', 'mean')} FROM c, e GROUP BY 1, 2")
 def aligned_uv_map(spark, d):
-    out = maps.residual_uv_map(clouds.turned_face(spark, d), _FACE, 20)
+    out = maps.residual_uv_map(clouds.turned_face(spark, d), _FACE, 19)
     return out.cells.select("iu", "iv", "cnt", r6(F.col("mean"), "mean"))
 
 
@@ -281,7 +282,7 @@ def aligned_uv_map(spark, d):
     f" UNION ALL SELECT 'n', {S.out('2 / 3', 'x')}, {S.out('-1 / 3', 'y')}, {S.out('2 / 3', 'z')}, {S.out('r0 - mr', 'low')}, {S.out('r1 - mr', 'high')} FROM e)"
 )
 def aligned_extents(spark, d):
-    out = maps.residual_uv_map(clouds.turned_face(spark, d), _FACE, 20)
+    out = maps.residual_uv_map(clouds.turned_face(spark, d), _FACE, 19)
     rows = [(k, *(round(c, 6) + 0.0 for c in (*axis, out.low[i], out.high[i]))) for i, (k, axis) in enumerate(zip("uvn", (out.frame.u, out.frame.v, out.frame.n), strict=True))]
     return spark.createDataFrame(rows, "axis string, x double, y double, z double, low double, high double")
 

@@ -51,7 +51,7 @@ def plane_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
 def turned_face(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as points of a rectangle with sides along (2, 2, -1) / 3 and (-1, 2, 2) / 3, denser in one corner, with noise."""
     a, b = "((o_orderkey % 200) * (o_orderkey % 200) / 200)", "(pow(floor(o_orderkey / 200) % 100, 2) / 100)"
-    r = "(((o_orderkey * 7919) % 101 - 50) / 1000.0D)"
+    r = "(((o_orderkey * 7919) % 101 - 50) / 1009.0D)"
     return _read(
         spark, sf_dir, "orders", "o_orderkey AS point_id",
         *(f"({i} * {a} + {j} * {b} + {k} * {r}) / 3 AS {n}" for n, i, j, k in (("x", 2, -1, 2), ("y", 2, 2, -1), ("z", -1, 2, 2))),
@@ -72,5 +72,5 @@ SQL = {
     " + CASE WHEN o_orderkey % 7 = 0 THEN 3 + (o_orderkey % 5) * CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS z FROM orders",
     # In the face's own coordinates: along its sides, and the residual.
     "turned_face": "SELECT o_orderkey AS point_id, (o_orderkey % 200) * (o_orderkey % 200) / CAST(200 AS DOUBLE) AS a,"
-    " pow((o_orderkey // 200) % 100, 2) / CAST(100 AS DOUBLE) AS b, ((o_orderkey * 7919) % 101 - 50) / CAST(1000 AS DOUBLE) AS r FROM orders",
+    " pow((o_orderkey // 200) % 100, 2) / CAST(100 AS DOUBLE) AS b, ((o_orderkey * 7919) % 101 - 50) / CAST(1009 AS DOUBLE) AS r FROM orders",
 }
