@@ -14,10 +14,6 @@ from ..functions.columns import Vec
 from .planes import Plane
 from .stats import mean_map
 
-#: Directions whose outermost points rule out most others before Python sees any; a square corner faces two of them.
-DIRECTIONS = 8
-
-
 @dataclass(frozen=True)
 class FaceFrame:
     """Right-handed unit axes u, v and n at a center."""
@@ -47,11 +43,15 @@ def corners(points: np.ndarray) -> np.ndarray:
     A chord between two corners is cut at the point farthest beyond it until no point
     is beyond: whole-array steps, and only points still outside are looked at again.
     """
-    p = np.unique(points, axis=0)
-    if len(p) < 3:
-        return p
+    p = np.asarray(points, dtype=np.float64)
+    if not len(p):
+        return p.reshape(0, 2)
+    left, right = p[p[:, 0] == p[:, 0].min()], p[p[:, 0] == p[:, 0].max()]
+    first, last = left[left[:, 1].argmin()], right[right[:, 1].argmax()]
+    if (first == last).all():
+        return first[None]
     done: list[np.ndarray] = []
-    chords = [(p[-1], p[0], p), (p[0], p[-1], p)]
+    chords = [(last, first, p), (first, last, p)]
     while chords:
         a, b, q = chords.pop()
         beyond = (b[0] - a[0]) * (q[:, 1] - a[1]) - (b[1] - a[1]) * (q[:, 0] - a[0])
@@ -93,28 +93,12 @@ def _hulls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(kept[:, i]), pa.float64()) for i in (0, 1)], names=["a", "b"])
 
 
-def outermost(a: Column, b: Column) -> list[Column]:
-    """Aggregates of the outermost point (a, b) in each of some directions."""
-    turns = 2 * np.pi * np.arange(DIRECTIONS) / DIRECTIONS
-    return [F.max_by(F.struct(a.alias("a"), b.alias("b")), a * float(np.cos(t)) + b * float(np.sin(t))).alias(f"outer{i}") for i, t in enumerate(turns)]
-
-
-def hull(flat: DataFrame, outer) -> np.ndarray:
-    """Corners of the convex hull of all points (a, b), exactly; ``outer`` is the row of their ``outermost`` points.
+def hull(flat: DataFrame) -> np.ndarray:
+    """Corners of the convex hull of all points (a, b), exactly.
 
-    Points inside the polygon of the outermost are no corners and stay in the JVM.
-    Tasks then send the hulls of what is left, which one task and the driver join: both
-    hold corners only, whose number grows with the outline and not with the points.
+    Tasks send the hulls of their points, which one task and the driver join: both hold
+    corners only, whose number grows with the outline and not with the points.
     """
-    known = corners(np.array([tuple(outer[f"outer{i}"]) for i in range(DIRECTIONS)]))
-    if len(known) >= 3:
-        after = np.roll(known, -1, axis=0)
-        area2 = float((known[:, 0] * after[:, 1] - known[:, 1] * after[:, 0]).sum())
-        turn = 1.0 if area2 > 0 else -1.0
-        inside = F.lit(True)
-        for (x0, y0), (x1, y1) in zip(known.tolist(), after.tolist(), strict=True):
-            inside = inside & (turn * ((x1 - x0) * (F.col("b") - y0) - (y1 - y0) * (F.col("a") - x0)) > 0)
-        flat = flat.filter(~inside)
     ends = flat.mapInArrow(_hulls, "a double, b double").repartition(1).mapInArrow(_hulls, "a double, b double").toPandas()
     return corners(ends.to_numpy(dtype=np.float64).reshape(-1, 2))
 
@@ -134,12 +118,12 @@ def aligned_frame(cloud: DataFrame, plane: Plane) -> FaceFrame | None:
     u, v = start_axes(n)
     p = Vec.cols("x", "y", "z")
     a, b = p.dot(Vec.of(*u)), p.dot(Vec.of(*v))
-    mid = cloud.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "xyz"], *outermost(a, b)).first()
+    mid = cloud.agg(F.count("*").alias("n"), *[F.avg(c).alias(c) for c in "xyz"]).first()
     if not mid["n"]:
         return None
     center = (mid["x"], mid["y"], mid["z"])
     if mid["n"] >= 3:
-        ends = hull(cloud.select(a.alias("a"), b.alias("b")), mid) - [np.dot(center, u), np.dot(center, v)]
+        ends = hull(cloud.select(a.alias("a"), b.alias("b"))) - [np.dot(center, u), np.dot(center, v)]
         side = rectangle_side(ends)
         reach = ends @ side
         if -reach.min() > reach.max():
