@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import Vec, canonical_plane, signed_distance
+from .stats import quantile
 
 XYZ = ("x", "y", "z")
 
@@ -130,10 +131,9 @@ class RobustFit:
 
 
 def mad_sigma(cloud: DataFrame, residual: Column) -> float | None:
-    """1.4826 times the median absolute deviation, exact; None for no rows."""
-    r = cloud.select(residual.alias("r"))
-    med = r.agg(F.median("r")).first()[0]
-    return None if med is None else 1.4826 * r.agg(F.median(F.abs(F.col("r") - med))).first()[0]
+    """1.4826 times the median absolute deviation, exact at any size; None where no residual is finite."""
+    med = quantile(cloud, residual)
+    return None if med is None else 1.4826 * quantile(cloud, F.abs(residual - med))
 
 
 def robust_fit_plane(

@@ -11,8 +11,8 @@ from ..functions.columns import Vec, bin_index, voxel
 def residual_stats(frame: DataFrame, residual: Column, keys: list[str]) -> DataFrame:
     """n, mean, mad_sigma, max_abs, std, rms, p95_abs by group; nulls where a group has no residual.
 
-    The median is exact; groups too large for it can be hashed down first, as the
-    median of a hashed sample is all that a robust scale needs.
+    The medians are exact; one task counts the distinct residuals of a group for them.
+    ``quantile`` finds the same over a single group of any size.
     """
     r = frame.select(*keys, residual.alias("r"))
     med = r.groupBy(*keys).agg(F.median("r").alias("med"))
@@ -24,6 +24,41 @@ def residual_stats(frame: DataFrame, residual: Column, keys: list[str]) -> DataF
     )
 
 
+def quantile(frame: DataFrame, value: Column, q: float = 0.5, bins: int = 4096, few: int = 100_000) -> float | None:
+    """The exact q-quantile of all finite values, interpolated between neighbours; None for none.
+
+    Each round counts the values by bins of the range left, one row a bin and task, and
+    goes on in the bin that holds the wanted rank, from its smallest to its largest
+    value.  The last ``few`` values are sorted on the driver; equal ones end it at once.
+    """
+    r = frame.select(value.cast("double").alias("r")).filter(F.abs("r") < float("inf"))
+    row = r.agg(F.count("r").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).first()
+    n, low, high, before = row["n"], row["low"], row["high"], 0
+    if not n:
+        return None
+    at = q * (n - 1)
+    first, share = int(at), at - int(at)
+    second = first + (share > 0)
+    while low < high and n > few:
+        width = high / 2 - low / 2
+        if width == 0:  # neighbours among the smallest doubles there are
+            break
+        part = r.filter(F.col("r").between(low, high))
+        spot = F.least(F.floor((F.col("r") / 2 - low / 2) / width * bins).cast("int"), F.lit(bins - 1))
+        counts = part.groupBy(spot.alias("bin")).agg(F.count("*").alias("n"), F.min("r").alias("low"), F.max("r").alias("high")).orderBy("bin").collect()  # a row a bin
+        for k, cell in enumerate(counts):
+            if first < before + cell["n"]:
+                break
+            before += cell["n"]
+        low, high, n = cell["low"], cell["high"], cell["n"]
+        if second >= before + n:  # the two ranks are the ends of neighbouring bins
+            return (1 - share) * high + share * counts[k + 1]["low"]
+    if low == high or n > few:
+        return low
+    left = sorted(x[0] for x in r.filter(F.col("r").between(low, high)).collect())  # at most ``few``
+    return (1 - share) * left[first - before] + share * left[second - before]
+
+
 def residual_histogram(frame: DataFrame, residual: Column, threshold: float, bins: int = 81) -> DataFrame:
     """(bin, cnt) over +-max(threshold, 1e-4); residuals beyond are in no bin."""
     t = max(threshold, 1e-4)

@@ -1,4 +1,4 @@
-"""Residual maps in a face's own frame, and robust fits of a part of the points."""
+"""Residual maps in a face's own frame, robust fits of a part of the points, and quantiles by narrowing."""
 
 import numpy as np
 import pytest
@@ -101,3 +101,21 @@ def test_fit_of_a_part(spark):
     assert abs(fit.plane.d) < 5e-3 and fit.n_inliers <= 2000
     assert points.filter(fit.inlier()).filter("point_id % 2 = 1").count() == 0
     assert points.filter(fit.inlier()).count() == fit.n_inliers
+
+
+@pytest.mark.parametrize("name", ["normal", "outliers", "ties", "halves", "one", "bins"])
+@pytest.mark.parametrize("q", [0.0, 0.5, 0.95, 1.0])
+def test_quantile_is_exact(spark, name, q):
+    rng = np.random.default_rng(7)
+    values = {
+        "normal": rng.normal(0, 1, 1001), "outliers": np.concatenate([rng.normal(0, 1e-3, 600), [1e9, -1e12, 1e15]]), "ties": np.repeat([1.0, 2.0, 2.0, 5.0], 50),
+        "halves": np.concatenate([np.zeros(50), np.ones(50)]), "one": np.array([3.5]), "bins": np.arange(100.0),
+    }[name]
+    frame = spark.createDataFrame([(float(v),) for v in values] + [(None,), (float("nan"),), (float("inf"),)], "r double")
+    got = stats.quantile(frame, F.col("r"), q, bins=8, few=5)
+    assert got == pytest.approx(np.quantile(values, q), rel=1e-12, abs=1e-15)
+
+
+def test_quantile_of_nothing(spark):
+    assert stats.quantile(spark.createDataFrame([(None,)], "r double"), F.col("r")) is None
+    assert planes.mad_sigma(cloud(spark, np.empty((0, 3))), F.col("x")) is None
