@@ -1,4 +1,4 @@
-"""The thin queries op1 ... op10 over whole tables, and their SQL where SQL can express them."""
+"""The thin queries op1 ... op13 over whole tables, and their SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -93,9 +93,16 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHashParams(width=3, percent=85))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import source_divergence
+
+    return source_divergence(_table(spark, sf_dir, "documents"))
+
+
 _ALL = (
     op1_embedding_dedup, op2_pii_crf, op3_url_rules, op4_source_mix, op5_pattern_packing,
     op6_token_codes, op7_language_id, op8_quality, op9_exact_topk, op10_minhash_dedup,
+    op13_source_divergence,
 )
 
 
@@ -156,5 +163,39 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+_OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents
+), t AS (
+  SELECT k, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS c FROM t GROUP BY lang, term HAVING count(DISTINCT k) >= 3
+), v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+n AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+own AS (SELECT lang, source, sum(c) AS total FROM n GROUP BY lang, source),
+g AS (SELECT DISTINCT lang, source FROM d),
+p AS (
+  SELECT g.lang, g.source, kept.term, coalesce(n.c, 0) AS c,
+    1 + (1000000000::HUGEINT * (coalesce(n.c, 0) + 1)) // (coalesce(own.total, 0) + v.v) AS p,
+    1 + (1000000000::HUGEINT * (kept.c + 1)) // (v.n + v.v) AS q
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN own ON own.lang = g.lang AND own.source = g.source
+  LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = kept.term
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(s.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), term AS (
+  SELECT lang, source, 'term' AS part, term AS item, CAST((p - q) * (p - q) // q AS BIGINT) AS value FROM p WHERE c > 0 AND p > q
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+  FROM (SELECT * FROM pair UNION ALL SELECT * FROM term)
+)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": _OP1_SQL, "op3_url_rules": _OP3_SQL, "op9_exact_topk": _OP9_SQL}
+    return {"op1_embedding_dedup": _OP1_SQL, "op3_url_rules": _OP3_SQL, "op9_exact_topk": _OP9_SQL, "op13_source_divergence": _OP13_SQL}

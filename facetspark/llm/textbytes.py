@@ -67,13 +67,14 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0], _powers[1]
 
 
-def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and document numbers of the words ``[^\\x20\\x09-\\x0D]+``."""
+def word_bounds(data: np.ndarray, offsets: np.ndarray, solid: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and document numbers of the words ``[^\\x20\\x09-\\x0D]+``, or of the runs of bytes where ``solid`` holds."""
     n = len(data)
     if not n:
         none = np.zeros(0, dtype=np.int64)
         return none, none, none
-    solid = ~_SPACE[data]
+    if solid is None:
+        solid = ~_SPACE[data]
     first = np.zeros(n + 1, dtype=bool)
     first[offsets] = True
     start = solid.copy()
@@ -93,6 +94,27 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64(h + (ends - starts).astype(np.uint64))
 
 
+def lower_ascii(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z as a-z."""
+    return _LOWER[data]
+
+
+def slices(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The texts data[start:end] as a string column; the slices must be valid UTF-8."""
+    size = ends - starts
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(size, out=offsets[1:])
+    at = np.repeat(starts - offsets[:-1], size) + np.arange(offsets[-1])
+    return pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data[at]))).cast(pa.string())
+
+
+def runs_of(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, first): an order that brings equal keys together, and where in it each distinct key begins."""
+    order = np.argsort(keys)
+    k = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, dtype=np.int64)
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> Iterator[np.ndarray]:
     """Of each document the sorted distinct hashes of its ``width``-word shingles.
 
