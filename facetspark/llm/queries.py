@@ -93,6 +93,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHashParams(width=3, percent=85))
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .variants import spelling_variants
+
+    return spelling_variants(_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .divergence import source_divergence
 
@@ -102,7 +108,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_embedding_dedup, op2_pii_crf, op3_url_rules, op4_source_mix, op5_pattern_packing,
     op6_token_codes, op7_language_id, op8_quality, op9_exact_topk, op10_minhash_dedup,
-    op13_source_divergence,
+    op12_spelling_variants, op13_source_divergence,
 )
 
 
@@ -163,6 +169,41 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+_OP12_SQL = r"""
+WITH RECURSIVE crc AS (
+  SELECT list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, o: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
+), run AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS head,
+    unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) AS w FROM documents
+), bytes AS (
+  SELECT w, flatten(list_transform(string_split(head || w, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, unicode(c)::BIGINT - 64] END)) AS b
+  FROM run WHERE length(w) >= 5
+), hashed AS (
+  SELECT w, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[xor(c % 256, x) + 1]), 4294967295), 4294967295) AS h FROM bytes, crc
+), word AS (
+  SELECT w, count(*) AS n FROM (
+    SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, CAST(h % length(w) AS BIGINT)) || substr(w, CAST(h % length(w) AS BIGINT) + 2) ELSE w END AS w FROM hashed
+  ) WHERE length(w) >= 5 GROUP BY w HAVING count(*) >= 3
+), variant AS (
+  SELECT w, n, i, substr(w, 1, i - 1) || substr(w, i + 1) AS v FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM word)
+), near AS (
+  SELECT DISTINCT a.w, a.n, b.w AS o, b.n AS m FROM variant a JOIN variant b ON a.v = b.v AND a.i = b.i AND a.w <> b.w
+  UNION
+  SELECT a.w, a.n, b.w, b.n FROM variant a JOIN word b ON a.v = b.w
+  UNION
+  SELECT b.w, b.n, a.w, a.n FROM variant a JOIN word b ON a.v = b.w
+), best AS (SELECT w, n, count(*) AS n_near, arg_min(o, (-m, o)) AS o, max(m) AS m FROM near GROUP BY w, n),
+form AS (
+  SELECT word.w, word.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.m >= 2 * word.n THEN best.o END AS form, CASE WHEN best.m >= 2 * word.n THEN best.m END AS form_n
+  FROM word LEFT JOIN best ON best.w = word.w
+), walk AS (
+  SELECT w, w AS here, 0 AS k FROM form
+  UNION ALL
+  SELECT walk.w, form.form, k + 1 FROM walk JOIN form ON form.w = walk.here WHERE form.form IS NOT NULL
+), root AS (SELECT w, arg_max(here, k) AS root FROM walk GROUP BY w)
+SELECT form.w AS word, form, root, CAST(n AS BIGINT) AS n, CAST(n_near AS BIGINT) AS n_near, CAST(form_n AS BIGINT) AS form_n FROM form JOIN root ON root.w = form.w
+"""
+
 _OP13_SQL = r"""
 WITH d AS (
   SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
@@ -198,4 +239,4 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": _OP1_SQL, "op3_url_rules": _OP3_SQL, "op9_exact_topk": _OP9_SQL, "op13_source_divergence": _OP13_SQL}
+    return {"op1_embedding_dedup": _OP1_SQL, "op3_url_rules": _OP3_SQL, "op9_exact_topk": _OP9_SQL, "op12_spelling_variants": _OP12_SQL, "op13_source_divergence": _OP13_SQL}
