@@ -93,6 +93,12 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), MinHashParams(width=3, percent=85))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .logbilinear import lm_scores
+
+    return lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .variants import spelling_variants
 
@@ -108,7 +114,7 @@ def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ALL = (
     op1_embedding_dedup, op2_pii_crf, op3_url_rules, op4_source_mix, op5_pattern_packing,
     op6_token_codes, op7_language_id, op8_quality, op9_exact_topk, op10_minhash_dedup,
-    op12_spelling_variants, op13_source_divergence,
+    op11_lm_scoring, op12_spelling_variants, op13_source_divergence,
 )
 
 
