@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from .components import connected_components
 from .scratch import materialize
 
@@ -449,7 +450,8 @@ def embedding_duplicates(vectors: DataFrame, params: GraphParams = GraphParams()
     Vectors that are null, empty, zero, or hold null or non-finite components link with
     nothing and are kept; vectors meet only those of their own length.  A null vec_id
     links with nothing, has a null component and is kept.  Rows that share a vec_id are
-    one node; each counts as a row in n_links.  Other columns are not read.  An empty
+    one node, whatever their vectors; n_links is that of its vector with most, and each row
+    counts in the n_links of others.  Other columns are not read.  An empty
     table gives an empty result.
     """
     p = params
@@ -458,8 +460,10 @@ def embedding_duplicates(vectors: DataFrame, params: GraphParams = GraphParams()
     some = rows.filter(F.col("id").isNotNull() & sound).withColumns({"dim": F.size("v"), "h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(17))})
     some = materialize(some, "graph-rows")
     key = ["dim", "h1", "h2"]
-    classes = materialize(some.groupBy(*key).agg(F.min("id").alias("cid"), F.count("*").alias("mult")), "graph-classes")
-    member = materialize(some.join(classes, key).select("id", "cid", "mult", "dim", F.when(F.col("id") == F.col("cid"), F.col("v")).alias("v")), "graph-members")
+    # Classes are numbered in the order of their smallest ids, as an id may be the smallest of several.
+    classes = numbered(some.groupBy(*key).agg(F.min("id").alias("first"), F.count("*").alias("mult")), ["first", *key], "cid")
+    classes = materialize(classes, "graph-classes")
+    member = materialize(some.join(classes, key).select("id", "cid", "mult", "dim", F.when(F.col("id") == F.col("first"), F.col("v")).alias("v")), "graph-members")
     reps = materialize(member.filter("v is not null").dropDuplicates(["cid"]).select("cid", "dim", "v", "mult"), "graph-classes")
     n = reps.count()
     if n:
@@ -475,11 +479,16 @@ def embedding_duplicates(vectors: DataFrame, params: GraphParams = GraphParams()
                 raise RuntimeError(f"{audited - whole} of {audited} audited classes lack links though all shards were searched")
             p = replace(p, overlap=2 * p.overlap)
         edges = found.filter("root < cid").select(F.col("cid").alias("a"), F.col("root").alias("b"))
+        # An id with several vectors joins their classes.
+        several = member.groupBy("id").agg(F.min("cid").alias("b"), F.max("cid").alias("most")).filter("b < most")
+        edges = edges.unionByName(member.join(several, "id").filter("b < cid").select(F.col("cid").alias("a"), "b"))
         comp = connected_components(edges, "graph-cc")
-        of = materialize(links.join(comp, links["cid"] == comp["node"], "left").select("cid", "links", F.coalesce("component", "cid").alias("component")), "graph-of")
+        comp = comp.join(classes.select(F.col("cid").alias("component"), F.col("first").alias("smallest")), "component").select("node", "smallest")
+        of = links.join(comp, links["cid"] == comp["node"], "left").join(classes.select("cid", "first"), "cid")
+        of = materialize(of.select("cid", "links", F.coalesce("smallest", "first").alias("component")), "graph-of")
         linked = member.join(of, "cid").select("id", (F.col("links") + F.col("mult") - 1).alias("n_links"), "component")
     else:
-        linked = member.select("id", F.lit(0).cast("long").alias("n_links"), F.col("cid").alias("component"))
+        linked = member.select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component"))
     # Rows that share an id are one node: its links add up to the highest, its component to the smallest.
     linked = linked.groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component").alias("component"))
     out = rows.select("id").join(materialize(linked, "graph-result"), "id", "left")

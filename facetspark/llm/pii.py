@@ -272,8 +272,8 @@ def labelled_lines(rows: str = _LABELLED, repeats: int = 5, seed: int = 11) -> l
 
 _KINDS = ("secret", "person", "address")
 _LABELS = 1 + 2 * len(_KINDS)  # outside; the first and the following tokens of each kind
-#: Tokens that are decoded together at most; a longer line goes on in a chain of its own.
-_CHAIN = 512
+#: Tokens of a piece of a line; pieces are swept side by side and joined exactly.
+_PIECE = 256
 _N = 1 << 12
 _SLOTS = 3
 _AROUND = (-3, -2, -1, 0, 1)
@@ -320,8 +320,8 @@ def pii_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return s, e, np.searchsorted(offsets, s, side="right") - 1, a, b
 
 
-def token_features(data: np.ndarray, s: np.ndarray, e: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """(tokens, 3): the hashed shape of the core, its identity if it is a cue, and the signs around it with its case and whether it repeats a neighbour."""
+def token_features(data: np.ndarray, s: np.ndarray, e: np.ndarray, a: np.ndarray, b: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """(tokens, 3): the hashed shape of the core, its identity if it is a cue, and the signs around it with its case and whether it repeats a neighbour of its line."""
     kind = _CLASS[data]
 
     def count(flag: np.ndarray) -> np.ndarray:
@@ -350,7 +350,7 @@ def token_features(data: np.ndarray, s: np.ndarray, e: np.ndarray, a: np.ndarray
     tail = np.maximum(a, np.maximum.accumulate(under)[b - 1] + 1)
     h = word_hashes(_LOW[data], np.where(tail < b, tail, a), b)
     same = np.zeros(len(s) + 1, dtype=bool)
-    same[1:-1] = h[1:] == h[:-1]
+    same[1:-1] = (h[1:] == h[:-1]) & (line[1:] == line[:-1])
     edge = hashed(same[1:] | same[:-1], case, np.minimum(other, 2), digit > 0, size == 1, data[e - 1] * (b != e), data[a] * (digit + lower + upper + wide == 0))
     cues, order = _cue_hashes()
     at = np.minimum(np.searchsorted(cues, h), len(cues) - 1)
@@ -395,32 +395,86 @@ class Crf:
         return out
 
 
-def viterbi(emit: np.ndarray, seq: np.ndarray, step: np.ndarray) -> np.ndarray:
-    """Best labels of many sequences at once: one numpy step serves the t-th token of all of them."""
-    n = len(emit)
-    if not n:
-        return np.zeros(0, dtype=np.int64)
-    first = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
-    size = np.diff(np.concatenate([first, [n]]))
-    order = np.argsort(-size, kind="stable")
-    first, size = first[order], size[order]
-    live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # sequences longer than t
-    back = np.zeros((n, _LABELS), dtype=np.int8)
-    score = emit[first].astype(np.float64)
-    score[:, 2::2] = -np.inf  # nothing to follow
+def _sweep(emit: np.ndarray, first: np.ndarray, size: np.ndarray, score: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(last scores, back pointers) of pieces of tokens, from the scores of each piece's first token.
+
+    ``score`` is (pieces, variants, labels) and changed in place.  The pieces are in order
+    of size, largest first; one numpy step serves the t-th token of all of them.
+    """
+    live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")  # pieces longer than t
+    back = np.zeros((len(emit), *score.shape[1:]), dtype=np.int8)
     for t in range(1, size[0]):
         k = live[t]
-        way = score[:k, :, None] + step
-        best = way.argmax(axis=1)
+        way = score[:k, :, :, None] + step
+        best = way.argmax(axis=2)
         back[first[:k] + t] = best
-        score[:k] = np.take_along_axis(way, best[:, None, :], axis=1)[:, 0] + emit[first[:k] + t]
-    out = np.zeros(n, dtype=np.int64)
-    label = score.argmax(axis=1)
+        score[:k] = np.take_along_axis(way, best[:, :, None, :], axis=2)[:, :, 0] + emit[first[:k] + t][:, None, :]
+    return score, back
+
+
+def _trace(back: np.ndarray, variant: np.ndarray, first: np.ndarray, size: np.ndarray, label: np.ndarray, out: np.ndarray) -> None:
+    """Writes the labels of pieces (largest first) that end in ``label``, along the back pointers of their variants."""
+    live = np.searchsorted(-size, -np.arange(1, size[0] + 1), side="right")
+    label = label.copy()
     for t in range(size[0] - 1, -1, -1):
         k = live[t]
         at = first[:k] + t
         out[at] = label[:k]
-        label[:k] = back[at, label[:k]]
+        label[:k] = back[at, variant[:k], label[:k]]
+
+
+def viterbi(emit: np.ndarray, seq: np.ndarray, step: np.ndarray) -> np.ndarray:
+    """Best labels of many sequences at once, each decoded whole.
+
+    A sequence is swept in pieces of ``_PIECE`` tokens side by side.  Its later pieces are
+    swept once for each label that may stand before them; what is best there is known when
+    the pieces before are joined on, a step a piece.
+    """
+    n = len(emit)
+    out = np.zeros(n, dtype=np.int64)
+    if not n:
+        return out
+    starts = np.flatnonzero(np.concatenate([[True], seq[1:] != seq[:-1]]))
+    place = np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+    first = np.flatnonzero(place % _PIECE == 0)
+    size = np.diff(np.append(first, n))
+    head = place[first] == 0
+    found = []
+    for heads in (True, False):
+        own = np.flatnonzero(head == heads)
+        own = own[np.argsort(-size[own], kind="stable")]
+        # Tokens of these pieces alone, so that the wider pointers of later pieces stay small.
+        width = size[own]
+        to = np.cumsum(width) - width
+        tokens = np.repeat(first[own] - to, width) + np.arange(width.sum())
+        some = emit[tokens].astype(np.float64)
+        if heads:
+            score = some[to][:, None, :].copy()
+            score[:, :, 2::2] = -np.inf  # nothing to follow
+        else:
+            score = some[to][:, None, :] + step if len(own) else np.zeros((0, _LABELS, _LABELS))
+        last, back = _sweep(some, to, width, score, step) if len(own) else (score, np.zeros((0, _LABELS, _LABELS), dtype=np.int8))
+        found.append((own, to, width, tokens, last, back))
+    ends, variant = np.zeros(len(first), dtype=np.int64), np.zeros(len(first), dtype=np.int64)
+    (own, *_, last, _), (later, *_, far, _) = found
+    ends[own] = last[:, 0].argmax(axis=1)
+    if len(later):
+        row = np.zeros(len(first), dtype=np.int64)
+        row[own], row[later] = np.arange(len(own)), np.arange(len(later))
+        way = np.zeros((len(later), _LABELS), dtype=np.int64)
+        for x in np.sort(later):  # in order of the text, so that the piece before is done
+            before = last[row[x - 1], 0] if head[x - 1] else score
+            total = before[:, None] + far[row[x]]
+            way[row[x]], score = total.argmax(axis=0), total.max(axis=0)
+            ends[x] = score.argmax()
+        for x in np.sort(later)[::-1]:
+            variant[x] = way[row[x], ends[x]]
+            ends[x - 1] = variant[x]
+    for pieces, to, width, tokens, _, back in found:
+        if len(pieces):
+            labels = np.zeros(len(tokens), dtype=np.int64)
+            _trace(back, variant[pieces], to, width, ends[pieces], labels)
+            out[tokens] = labels
     return out
 
 
@@ -463,7 +517,7 @@ def _training_rows(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             hit = np.flatnonzero((s < z) & (e > x))
             y[hit] = 2 + 2 * _KINDS.index(kind)
             y[hit[0]] -= 1
-        feats.append(token_features(data, s, e, a, b))
+        feats.append(token_features(data, s, e, a, b, np.zeros(len(s))))
         labels.append(y)
         rows.append(np.full(len(s), i))
     return np.concatenate(feats), np.concatenate(labels), np.concatenate(rows)
@@ -539,10 +593,7 @@ def added_spans(data: np.ndarray, offsets: np.ndarray, crf: Crf) -> dict[int, li
         if not len(s):
             continue
         line = np.cumsum(part == 10, dtype=np.int64)[s] * (y - x + 1) + doc
-        first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]]))
-        place = np.arange(len(s)) - np.repeat(first, np.diff(np.concatenate([first, [len(s)]])))
-        chain = np.cumsum(place % _CHAIN == 0)
-        tags = decode(crf.emissions(token_features(part, s, e, a, b), line), chain, crf.step)
+        tags = decode(crf.emissions(token_features(part, s, e, a, b, line), line), line, crf.step)
         hit = np.flatnonzero(tags)
         begins = hit[tags[hit] % 2 == 1]
         if not len(begins):

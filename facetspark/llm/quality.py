@@ -38,14 +38,14 @@ def doc_features(data: np.ndarray, offsets: np.ndarray, p: QualityParams) -> Ite
     for a, b in blocks(offsets):
         lo, hi = offsets[a], offsets[b]
         part, offs = data[lo:hi], offsets[a : b + 1] - lo
-        starts, ends, _ = word_bounds(part, offs)
+        starts, ends, doc = word_bounds(part, offs)
         words = word_hashes(part, starts, ends)
         at = np.searchsorted(starts, offs)
-        # Which of the three words before it a word repeats, as one more word feature.
+        # Which of the three words before it in its document a word repeats, as one more word feature.
         again = np.zeros(len(words), dtype=np.int64)
         for k in (1, 2, 3):
             if len(words) > k:
-                again[k:] += (words[k:] == words[:-k]) * (1 << (k - 1))
+                again[k:] += ((words[k:] == words[:-k]) & (doc[k:] == doc[:-k])) * (1 << (k - 1))
         feats = [(mix64(words) & mask).astype(np.int64), again * 977 % p.buckets]
         cuts = [at, at]
         # Characters as numbers of their one to four bytes.
@@ -82,10 +82,11 @@ class QualityModel:
         for feats, cuts, offs in doc_features(data, offsets, self.params):
             total, count = np.zeros(len(offs) - 1), np.zeros(len(offs) - 1)
             for f, c, g in zip(feats, cuts, (1, 1, *self.params.grams), strict=True):
-                run = np.concatenate([[0.0], np.cumsum(self.value[f], dtype=np.float64)])
                 start = np.minimum(c[:-1], len(f))
                 stop = np.maximum(start, c[1:] - (g - 1))
-                total += run[stop] - run[start]
+                # Each document is summed by itself, so that its score does not depend on its place in a block.
+                each = np.add.reduceat(np.append(self.value[f].astype(np.float64), 0.0), np.stack([start, stop], 1).ravel())[::2]
+                total += np.where(stop > start, each, 0.0)
                 count += stop - start
             out.append(np.where(count > 0, total / np.maximum(count, 1), 0.0))
         return np.concatenate(out) + self.bias if out else np.zeros(0)
@@ -183,8 +184,9 @@ def score_quality(docs: DataFrame, model: QualityModel, name: str = "quality_sco
 def quality_scores(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
-    A null text counts as empty; an empty text has the score of the bias alone.  Repeated
-    rows score alike; a null doc_id is not held out.  Columns other than doc_id and text
+    A null text counts as empty; an empty text has the score of the bias alone.  A score
+    depends on the row's text and the model only, so repeated rows score alike; a null
+    doc_id is not held out.  Columns other than doc_id and text
     are not read.  An empty table gives an empty result.
     """
     model = fit_quality(docs, labels, params)

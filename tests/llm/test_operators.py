@@ -535,3 +535,147 @@ def test_top_k(spark):
     for p in (TopKParams(), TopKParams(shard_rows=30, leaf_rows=4, query_rows=2, pilot_rows=20)):
         assert {tuple(r) for r in top_inner_products(df, p).collect()} == want
     assert top_inner_products(df.filter("false")).count() == 0
+
+
+def test_ids_with_several_vectors_lose_no_link(spark):
+    """Both vectors of id 1 must be searched, and join what they link with."""
+    rows = [(1, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (2, [1.0, 0.01, 0.0, 0.0]), (3, [0.01, 1.0, 0.0, 0.0]), (5, [0.0, 0.0, 1.0, 0.0]), (None, [1.0, 0.0, 0.0, 0.0])]
+    got = sorted(embedding_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect(), key=lambda r: (r[0] is None, r[0] or 0))
+    assert [tuple(r) for r in got] == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (5, 0, 5, True), (None, 0, None, True)]
+
+
+@pytest.mark.parametrize("piece", [1, 2, 3, 7])
+def test_viterbi_of_pieces_equals_viterbi_of_whole_lines(monkeypatch, piece):
+    rng = np.random.default_rng(piece)
+    step = rng.normal(size=(pii._LABELS, pii._LABELS)) + pii._step_mask()
+    seq = np.repeat(np.arange(30), rng.integers(1, 60, 30))
+    emit = rng.normal(size=(len(seq), pii._LABELS))
+    monkeypatch.setattr(pii, "_PIECE", 10_000)
+    whole = pii.viterbi(emit, seq, step)
+    monkeypatch.setattr(pii, "_PIECE", piece)
+    assert (pii.viterbi(emit, seq, step) == whole).all()
+
+
+def test_pii_spans_do_not_depend_on_their_place_in_a_line():
+    crf = pii.train_crf()
+    secret = "'password': 'correct horse battery staple'"
+    lengths = [len(spans_of("filler " * n + secret, crf)) for n in [*range(245, 262), *range(495, 520), 2000]]
+    assert set(lengths) == {1}
+
+
+def test_pii_spans_do_not_depend_on_other_documents():
+    crf = pii.train_crf()
+    texts = ["token", "token = hunter27", "hunter27 hunter27", "Margaret", "Margaret Thatcher wrote", "", "wrote pwd: hunter27"] * 3
+    data = np.frombuffer("".join(texts).encode(), dtype=np.uint8)
+    offsets = np.cumsum([0, *(len(t) for t in texts)])
+    together = pii.added_spans(data, offsets, crf)
+    assert [together.get(i, []) for i in range(len(texts))] == [pii.added_spans(np.frombuffer(t.encode(), dtype=np.uint8), np.array([0, len(t)]), crf).get(0, []) for t in texts]
+
+
+def test_quality_scores_do_not_depend_on_the_rows_beside_them(spark):
+    """The same short text thrice, and real texts in another order: equal to the last bit."""
+    p = QualityParams()
+    rng = np.random.default_rng(4)
+    model = QualityModel(rng.normal(size=(p.buckets, 4)), rng.normal(size=(4, 2)), np.zeros(2), p)
+    texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()] + ["river", "river", "river"]
+
+    def margins(some):
+        raw = [t.encode() for t in some]
+        return model.margins(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+
+    first, other = margins(texts), margins(texts[::-1])[::-1]
+    assert (first == other).all() and len(set(first[-3:])) == 1
+
+
+def plain_quality(texts, labels, new, p):
+    """Features in dictionaries, one document at a time, and the same gradient steps without tables."""
+    from facetspark.llm.textbytes import mix64, word_hashes
+
+    def features(text):
+        raw = text.encode()
+        data = np.frombuffer(raw, dtype=np.uint8)
+        out, hashes = [], []
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw):
+            h = word_hashes(data, np.array([m.start()]), np.array([m.end()]))
+            hashes.append(int(h[0]))
+            out.append(int(mix64(h)[0]) & (p.buckets - 1))
+        for i, h in enumerate(hashes):
+            out.append(sum(1 << (k - 1) for k in (1, 2, 3) if i >= k and hashes[i - k] == h) * 977 % p.buckets)
+        chars = []
+        for c in text:
+            b = c.encode()
+            v = b[0] + 1
+            for x in b[1:]:
+                v = v * 256 + x
+            chars.append(v)
+        for g in p.grams:
+            for i in range(len(chars) - g + 1):
+                h = g
+                for v in chars[i : i + g]:
+                    h = (h * 0x9E3779B97F4A7C15 + v) % 2**64
+                h ^= h >> 29
+                h = h * 0xBF58476D1CE4E5B9 % 2**64
+                out.append((h >> 40) & (p.buckets - 1))
+        return out
+
+    rng = np.random.default_rng(p.seed)
+    emb = rng.uniform(-1 / p.dim, 1 / p.dim, (p.buckets, p.dim))
+    out = np.zeros((p.dim, 2))
+    share = (sum(labels) + 1) / (len(labels) + 2)
+    bias = np.array([np.log(1 - share), np.log(share)])
+    bags = [features(t) for t in texts]
+    step = 0
+    for _ in range(p.epochs):
+        for i in rng.permutation(len(texts)):
+            rate = p.rate * (1 - step / (p.epochs * len(texts)))
+            step += 1
+            if not bags[i]:
+                continue
+            h = sum(emb[f] for f in bags[i]) / len(bags[i])
+            z = h @ out + bias
+            e = np.exp(z - z.max())
+            g = e / e.sum() - np.eye(2)[labels[i]]
+            kinds = sorted(set(bags[i]))
+            back = out @ g
+            for f in kinds:
+                emb[f] -= rate * len(kinds) ** 0.5 * bags[i].count(f) / len(bags[i]) * back
+            out -= rate * np.outer(h, g) * p.dim
+            bias -= 0.05 * rate * g
+    scores = []
+    for t in new:
+        f = features(t)
+        z = (sum(emb[x] for x in f) / len(f) if f else np.zeros(p.dim)) @ out + bias
+        scores.append(1 / (1 + np.exp(z[0] - z[1])))
+    return scores
+
+
+def test_quality_equals_a_plain_version():
+    from facetspark.llm.quality import train_quality
+
+    rng = random.Random(4)
+    p = QualityParams(buckets=1 << 10, dim=4, epochs=3)
+    texts = [words(rng, rng.randint(0, 25), "abcdé" if i % 2 else "xyzé") for i in range(40)] + ["buy buy now now now"] * 3
+    labels = [i % 2 for i in range(40)] + [0, 0, 1]
+    new = ["", "abc abc abc", words(rng, 30, "abcdé"), "xx yy zz xx", "é", "buy buy"]
+    model = train_quality(texts, labels, p)
+    raw = [t.encode() for t in new]
+    margins = model.margins(np.frombuffer(b"".join(raw), dtype=np.uint8), np.cumsum([0, *map(len, raw)]))
+    assert 1 / (1 + np.exp(-margins)) == pytest.approx(plain_quality(texts, labels, new, p), abs=1e-4)
+
+
+def test_null_ids_have_defined_results(spark):
+    """A null id is a row like others, or links with nothing; no operator drops it."""
+    rows = [(None, "me@example.org a b c d e f", "en", "s"), (None, None, None, None), (4, "me@example.org a b c d e f", "en", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    assert sorted((r.doc_id or 0, r.n_email) for r in pii.find_pii(docs).collect()) == [(0, 0), (0, 1), (4, 1)]
+    assert judge_urls(spark.createDataFrame([(None, "http://a.org/x"), (1, None)], "page_id long, url string"), spark.createDataFrame([("org", "/", "allow")], "host string, path string, verdict string")).count() == 2
+    assert mix_sources(docs).count() == 3
+    assert pack_documents(docs, PackParams(BPE)).filter("doc_id is null").count() == 2
+    assert token_round_trip(docs, TokenFileParams(BPE)).filter("doc_id is null").count() == 2
+    assert identify_language(docs).filter("doc_id is null and not held_out").count() == 2
+    labels = spark.createDataFrame([(4, 1)], "doc_id long, quality int")
+    assert quality_scores(docs, labels).filter("doc_id is null and not held_out").count() == 2
+    vecs = spark.createDataFrame([(None, [1.0, 2.0]), (50, [1.0, 2.0]), (1, [2.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id) for r in top_inner_products(vecs).collect()} == {(50, 1)}
+    near = near_duplicates(docs, MinHashParams()).collect()
+    assert sorted((r.doc_id or 0, r.kept) for r in near) == [(0, True), (0, True), (4, True)]
