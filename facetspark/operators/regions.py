@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import Vec, axis_distance, inplane_basis, signed_distance
 from ..scratch import materialize
+from .numbering import numbered
+from .quantiles import join_groups
 
 
 def slab(cloud: DataFrame, n: Vec, d, threshold: float, around: Vec | None = None, radius: float | None = None) -> DataFrame:
@@ -62,31 +66,83 @@ def radius_join(cloud: DataFrame, centers: DataFrame, radius: float) -> DataFram
     return p.join(c, ["cx", "cy", "cz"]).filter(near).select("center_id", "point_id")
 
 
-def grid_components(cells: DataFrame) -> DataFrame:
-    """(iu, iv, label) of occupied cells: 4-connected components, numbered 1, 2, ... by their largest cell in row-major order.
+#: Side of the square of cells that one task labels: a quarter of a million cells at most.
+TILE = 512
+
 
-    Labels travel by joins: each round a cell takes the largest label among itself and
-    its neighbours, then the label of the cell it points to (which halves the distance
-    left), until none changes.  The rounds grow with the logarithm of a component's
-    length; each round's table is written to the shared folder, which cuts its lineage.
+def _tile_roots(iu: np.ndarray, iv: np.ndarray) -> np.ndarray:
+    """Of each cell the place of its component's largest cell, all cells being in row-major order."""
+    n = len(iu)
+    root = np.arange(n)
+    code = iu * (4 * TILE) + iv
+    links = []
+    for step in (1, 4 * TILE):
+        at = np.minimum(np.searchsorted(code, code + step), n - 1)
+        hit = np.flatnonzero(code[at] == code + step)
+        links.append((hit, at[hit]))
+    a, b = (np.concatenate(x) for x in zip(*links, strict=True))
+    while True:
+        # Each end's root points to the larger of the two, then all pointers are followed.
+        x, y = root[a], root[b]
+        if (x == y).all():
+            return root
+        np.maximum.at(root, np.minimum(x, y), np.maximum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def component_roots(cells: DataFrame, keys: list[str] = []) -> DataFrame:
+    """(keys, iu, iv, ru, rv): of each occupied cell the largest cell, in row-major order, of its 4-connected component.
+
+    Squares of ``TILE`` by ``TILE`` cells are labelled in a task each.  Components that
+    touch across the border of squares are then joined: each round a component takes the
+    largest root among itself and those it touches, then the root of the one it points to,
+    until none changes.  Only components that touch a border take part in these rounds.
     """
-    base = materialize(cells.select("iu", "iv"), "cells")
-    cur = base.select("iu", "iv", F.struct("iu", "iv").alias("label"))
-    around = F.explode(F.array(*[F.struct((F.col("iu") + a).alias("nu"), (F.col("iv") + b).alias("nv")) for a, b in ((0, 0), (1, 0), (-1, 0), (0, 1), (0, -1))]))
-    last = None
+    kinds = dict(cells.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "iu long, iv long, ru long, rv long"])
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["iu", "iv"])
+        iu, iv = pdf["iu"].to_numpy(dtype=np.int64), pdf["iv"].to_numpy(dtype=np.int64)
+        root = _tile_roots(iu - iu.min(), iv - iv.min())
+        return pd.DataFrame({**{k: pdf[k].to_numpy() for k in keys}, "iu": iu, "iv": iv, "ru": iu[root], "rv": iv[root]})
+
+    own = cells.select(*keys, F.col("iu").cast("long").alias("iu"), F.col("iv").cast("long").alias("iv"))
+    tile = [F.floor(F.col(c) / TILE).alias(f"tile_{c}") for c in ("iu", "iv")]
+    done = materialize(own.groupBy(*keys, *tile).applyInPandas(run, schema), "cells")
+    root = F.struct("ru", "rv").alias("root")
+    touch = None
+    for c, o in (("iu", "iv"), ("iv", "iu")):
+        last = done.filter(F.pmod(c, F.lit(TILE)) == TILE - 1).select(*keys, (F.col(c) + 1).alias(c), o, root)
+        first = done.filter(F.pmod(c, F.lit(TILE)) == 0).select(*[F.col(k).alias(f"{k}__of") for k in keys], F.col(c).alias("c__"), F.col(o).alias("o__"), root.alias("near"))
+        met = last.join(first, [F.col(k).eqNullSafe(F.col(f"{k}__of")) for k in keys] + [F.col(c) == F.col("c__"), F.col(o) == F.col("o__")])
+        met = met.select(*keys, "root", "near")
+        touch = met if touch is None else touch.unionByName(met)
+    touch = materialize(touch.unionByName(touch.select(*keys, F.col("near").alias("root"), F.col("root").alias("near"))).distinct(), "cells-touch")
+    if touch.isEmpty():
+        return done
+    cur = touch.select(*keys, "root").distinct().withColumn("top", F.col("root"))
+    mark = None
     while True:
-        sent = cur.select(around.alias("n"), "label").select(F.col("n.nu").alias("iu"), F.col("n.nv").alias("iv"), "label")
-        best = materialize(sent.join(base, ["iu", "iv"]).groupBy("iu", "iv").agg(F.max("label").alias("label")), "labels")
-        to = best.select(F.struct("iu", "iv").alias("label"), F.col("label").alias("far"))
-        jumped = best.join(to, "label", "left").select("iu", "iv", F.greatest("label", F.coalesce("far", "label")).alias("label"))
-        cur = materialize(jumped, "labels")
-        mark = tuple(cur.agg(F.sum(F.xxhash64("iu", "iv", "label").cast("decimal(38,0)")), F.count("*")).first())
-        if mark == last:
+        by = touch.withColumnRenamed("root", "from").withColumnRenamed("near", "root")
+        sent = join_groups(by, cur, [*keys, "root"]).select(*keys, F.col("from").alias("root"), "top")
+        best = materialize(sent.unionByName(cur).groupBy(*keys, "root").agg(F.max("top").alias("top")), "cells-top")
+        to = best.select(*keys, F.col("root").alias("top"), F.col("top").alias("far"))
+        cur = materialize(join_groups(best, to, [*keys, "top"], "left").select(*keys, "root", F.greatest("top", F.coalesce("far", "top")).alias("top")), "cells-top")
+        now = tuple(cur.agg(F.sum(F.xxhash64("root", "top").cast("decimal(38,0)")), F.count("*")).first())
+        if now == mark:
             break
-        last = mark
-    roots = cur.select("label").distinct()
-    numbered = roots.select("label", F.row_number().over(Window.orderBy("label")).cast("int").alias("number"))
-    return cur.join(numbered, "label").select("iu", "iv", F.col("number").alias("label"))
+        mark = now
+    out = join_groups(done.withColumn("root", root), cur, [*keys, "root"], "left")
+    return out.select(*keys, "iu", "iv", F.coalesce("top", "root").alias("top")).select(*keys, "iu", "iv", "top.ru", "top.rv")
+
+
+def grid_components(cells: DataFrame) -> DataFrame:
+    """(iu, iv, label) of occupied cells: 4-connected components, numbered 1, 2, ... by their largest cell in row-major order."""
+    of = component_roots(cells)
+    roots = numbered(of.filter("iu = ru AND iv = rv").select("ru", "rv"), ["ru", "rv"], "number")
+    return of.join(roots, ["ru", "rv"]).select("iu", "iv", (F.col("number") + 1).cast("int").alias("label"))
 
 
 def main_component(cells: DataFrame, labels: DataFrame, clicked: tuple[int, int] | None = None) -> tuple[int, list[str]]:

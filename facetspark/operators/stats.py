@@ -6,22 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Vec, bin_index, voxel
+from .quantiles import group_quantiles, join_groups
 
 
 def residual_stats(frame: DataFrame, residual: Column, keys: list[str]) -> DataFrame:
     """n, mean, mad_sigma, max_abs, std, rms, p95_abs by group; nulls where a group has no residual.
 
-    The medians are exact; one task counts the distinct residuals of a group for them.
-    ``quantile`` finds the same over a single group of any size.
+    The medians are exact and no task holds a group: see ``group_quantiles``.
     """
     r = frame.select(*keys, residual.alias("r"))
-    med = r.groupBy(*keys).agg(F.median("r").alias("med"))
-    both = r.join(med, keys) if keys else r.crossJoin(F.broadcast(med))  # one row if there are no keys
+    med = group_quantiles(r, keys, {"med": (F.col("r"), 0.5)})
+    both = join_groups(r, med, keys) if keys else r.crossJoin(F.broadcast(med))  # one row if there are no keys
     a = F.abs("r")
-    return both.groupBy(*keys).agg(
-        F.count("r").alias("n"), F.avg("r").alias("mean"), (F.median(F.abs(F.col("r") - F.col("med"))) * 1.4826).alias("mad_sigma"), F.max(a).alias("max_abs"),
-        F.stddev_pop("r").alias("std"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rms"), F.percentile(a, 0.95).alias("p95_abs"),
+    order = group_quantiles(both, keys, {"mad_sigma": (F.abs(F.col("r") - F.col("med")) * 1.4826, 0.5), "p95_abs": (a, 0.95)})
+    sums = r.groupBy(*keys).agg(
+        F.count("r").alias("n"), F.avg("r").alias("mean"), F.max(a).alias("max_abs"), F.stddev_pop("r").alias("std"), F.sqrt(F.avg(F.col("r") * F.col("r"))).alias("rms"),
     )
+    out = join_groups(sums, order, keys, "left") if keys else sums.join(F.broadcast(order), F.lit(True), "left")  # one row
+    return out.select(*keys, "n", "mean", "mad_sigma", "max_abs", "std", "rms", "p95_abs")
 
 
 def quantile(frame: DataFrame, value: Column, q: float = 0.5, bins: int = 4096, few: int = 100_000) -> float | None:
