@@ -28,13 +28,13 @@ class LmParams:
     #: Tokens that are classes of their own, and classes that the others share.
     words: int = 511
     shared: int = 512
-    dim: int = 32
+    dim: int = 16
     #: Passes over the training side; after each the tasks' models are averaged.
     rounds: int = 2
     rate: float = 0.05
     batch: int = 8192
     #: Noise classes drawn for each batch.
-    noise: int = 64
+    noise: int = 32
     seed: int = 11
     #: Most frequent tokens whose counts go to every task; the others' are joined.
     head: int = 1 << 18
@@ -127,8 +127,19 @@ class Classes:
 
 
 def _classes(counts: DataFrame, p: LmParams) -> Classes:
-    """The head has a bounded number of rows, and so have the shared classes."""
-    top = counts.orderBy(F.desc("n"), "h").limit(p.head).select("h", "shared", "n").toPandas()
+    """The head has a bounded number of rows, and so have the shared classes.
+
+    The head is all tokens above a count, the least of those (by sixteenths of a power of
+    two) that leaves no more than ``head`` of them.
+    """
+    level = F.floor(F.log2("n") * 16).cast("int")
+    least, rows = 0, 0
+    for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 1,024 levels
+        rows += r["count"]
+        if rows > p.head:
+            least = r["level"] + 1
+            break
+    top = counts.filter(level >= least).select("h", "shared", "n").toPandas().sort_values(["n", "h"], ascending=[False, True])
     per = counts.filter(F.col("h") != F.lit(int(END))).groupBy("shared").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toPandas()
     ends = counts.filter(F.col("h") == F.lit(int(END))).first()
     h, shared, n = (top[c].to_numpy(dtype=np.int64) for c in ("h", "shared", "n"))
@@ -207,21 +218,23 @@ class _Trainer:
     def step(self, one: np.ndarray, two: np.ndarray, w: np.ndarray) -> None:
         m, t = len(self.b), len(w)
         drawn = np.minimum(np.searchsorted(self.upto, self.rng.random(self.p.noise)), m - 1)
-        r1, r2 = self.r[one], self.r[two]
-        pred = r1 @ self.maps[0] + r2 @ self.maps[1]
-        true = np.einsum("ij,ij->i", pred, self.s[w]) + self.b[w] - self.log_noise[w]
-        fake = pred @ self.s[drawn].T + (self.b[drawn] - self.log_noise[drawn])
-        up = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        down = -1 / (1 + np.exp(np.clip(-fake, -30, 30)))
-        back = up[:, None] * self.s[w] + down @ self.s[drawn]
-        gr, gs = np.zeros_like(self.r), np.zeros_like(self.s)
+        # A context's prediction is a sum of two mapped vectors, so both maps work on the classes' table.
+        first, second = self.r @ self.maps[0], self.r @ self.maps[1]
+        pred, own = first.take(one, axis=0) + second.take(two, axis=0), self.s.take(w, axis=0)
+        true = np.einsum("ij,ij->i", pred, own) + (self.b - self.log_noise)[w]
+        fake = pred @ self.s[drawn].T + (self.b - self.log_noise)[drawn]
+        up = 1 / (1 + np.exp(np.minimum(true, 30)))
+        down = -1 / (1 + np.exp(np.minimum(-fake, 30)))
+        back = up[:, None] * own + down @ self.s[drawn]
+        gs, g1, g2 = (np.zeros_like(self.r) for _ in range(3))
         gb = np.bincount(w, up, m).astype(np.float32)
         _add_rows(gs, w, up[:, None] * pred)
         np.add.at(gs, drawn, down.T @ pred)
         np.add.at(gb, drawn, down.sum(axis=0))
-        _add_rows(gr, one, back @ self.maps[0].T)
-        _add_rows(gr, two, back @ self.maps[1].T)
-        gm = np.stack([r1.T @ back, r2.T @ back])
+        _add_rows(g1, one, back)
+        _add_rows(g2, two, back)
+        gr = g1 @ self.maps[0].T + g2 @ self.maps[1].T
+        gm = np.stack([self.r.T @ g1, self.r.T @ g2])
         for k, (x, g) in enumerate(((self.r, gr), (self.maps, gm), (self.s, gs), (self.b, gb))):
             self._move(k, x, g / t)
         self.tokens += t
@@ -232,7 +245,7 @@ class _Trainer:
 
 def _add_rows(to: np.ndarray, at: np.ndarray, rows: np.ndarray) -> None:
     order, first = runs_of(at)
-    to[at[order[first]]] += np.add.reduceat(rows[order], first, axis=0)
+    to[at[order[first]]] += np.add.reduceat(rows.take(order, axis=0), first, axis=0)
 
 
 def train_pass(docs: DataFrame, classes: Classes, model: Bilinear, p: LmParams, k: int) -> Bilinear:
