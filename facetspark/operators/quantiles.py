@@ -70,9 +70,23 @@ def group_quantiles(frame: DataFrame, keys: list[str], wanted: dict[str, tuple[C
     return out.groupBy(*by[:-1]).agg(*names).drop(*one)
 
 
-def group_mad(frame: DataFrame, keys: list[str], value: Column, name: str = "mad_sigma", **bounds: int) -> DataFrame:
-    """A row a group with 1.4826 times the exact median absolute deviation of ``value``."""
-    r = frame.select(*keys, value.alias("r"))
-    med = group_quantiles(r, keys, {"med__": (F.col("r"), 0.5)}, **bounds)
+def _middle(values: Column) -> Column:
+    """The median of a sorted array; null for none."""
+    n = F.size(values)
+    return F.when(n > 0, (values[F.floor((n - 1) / 2).cast("int")] + values[F.floor(n / 2).cast("int")]) / 2)
+
+
+def group_mad(frame: DataFrame, keys: list[str], value: Column, name: str = "mad_sigma", most: int | None = None, few: int = 20_000, bins: int = 1024) -> DataFrame:
+    """A row a group with 1.4826 times the exact median absolute deviation of ``value``.
+
+    Where the caller knows that no group has more than ``most`` values, and these are no
+    more than ``few``, a group is sorted in one task and nothing is asked beforehand.
+    """
+    r = frame.select(*keys, value.cast("double").alias("r"))
+    if most is not None and most <= few:
+        held = r.filter(F.abs("r") < float("inf")).groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("values")).withColumn("med", _middle(F.col("values")))
+        away = F.sort_array(F.transform("values", lambda x: F.abs(x - F.col("med"))))
+        return held.withColumn("away", away).select(*keys, (_middle(F.col("away")) * 1.4826).alias(name))
+    med = group_quantiles(r, keys, {"med__": (F.col("r"), 0.5)}, bins, few)
     both = join_groups(r, med, keys) if keys else r.crossJoin(F.broadcast(med))  # one row if there are no keys
-    return group_quantiles(both, keys, {name: (F.abs(F.col("r") - F.col("med__")) * 1.4826, 0.5)}, **bounds)
+    return group_quantiles(both, keys, {name: (F.abs(F.col("r") - F.col("med__")) * 1.4826, 0.5)}, bins, few)

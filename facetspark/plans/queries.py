@@ -575,6 +575,44 @@ def robust_fit_plane(spark, d):
     return spark.createDataFrame([row], "nx double, ny double, nz double, d double, n_inliers long")
 
 
+def _robust_groups_sql(steps: int, thr: float) -> str:
+    """The same refits by group; a group that has settled stays where it is."""
+    plane = "-(vx*mx + vy*my + vz*mz) AS d"
+    text = f"WITH c AS MATERIALIZED ({clouds.SQL['plane_scenes']}), m0 AS (SELECT grp, {S.MOMENTS} FROM c GROUP BY grp), {S.eigen('m0', 'grp', 'e0')}, f0 AS MATERIALIZED (SELECT grp, vx, vy, vz, {plane} FROM e0)"
+    for i in range(1, steps + 1):
+        text += (
+            f", m{i} AS (SELECT c.grp AS grp, {S.MOMENTS} FROM c JOIN f{i - 1} ON f{i - 1}.grp = c.grp WHERE abs(vx*x + vy*y + vz*z + d) <= {thr} GROUP BY c.grp), {S.eigen(f'm{i}', 'grp', f'e{i}')},"
+            f" f{i} AS MATERIALIZED (SELECT grp, vx, vy, vz, {plane} FROM e{i})"
+        )
+    count = f"n AS (SELECT c.grp AS grp, count(*) AS n_inliers FROM c JOIN f{steps} ON f{steps}.grp = c.grp WHERE abs(vx*x + vy*y + vz*z + d) <= {thr} GROUP BY c.grp)"
+    return f"{text}, {count} SELECT grp, {S.out('vx', 'nx', 5)}, {S.out('vy', 'ny', 5)}, {S.out('vz', 'nz', 5)}, {S.out('d', 'd', 4)}, n_inliers FROM f{steps} JOIN n USING (grp)"
+
+
+@_register(_robust_groups_sql(6, 1.5))
+def robust_fit_groups(spark, d):
+    """Robust planes of all groups in one loop."""
+    from ..operators.groupfit import robust_planes
+
+    out = robust_planes(clouds.plane_scenes(spark, d), "grp", 1.5)
+    return out.select("grp", r6(F.col("nx"), "nx", 5), r6(F.col("ny"), "ny", 5), r6(F.col("nz"), "nz", 5), r6(F.col("d"), "d", 4), "n_inliers")
+
+
+@_register()
+def fit_groups(spark, d):
+    """Fit all: groups 0 to 7 as one plane each, 8 to 10 as several planes, and rings of orders as pipes."""
+    from ..operators.extract import MainPlaneParams, MultiPlaneParams
+    from ..operators.groupfit import GroupFitParams, fit_groups as run
+    from ..operators.rounds import RoundParams
+
+    own = _rings(spark, d, False).select((F.crc32(F.col("grp").cast("binary")) + 100).alias("grp"), "point_id", "x", "y", "z")
+    cloud = clouds.plane_scenes(spark, d).unionByName(own)
+    groups = cloud.select("grp").distinct().withColumn("fit", F.when(F.col("grp") < 8, "plane").when(F.col("grp") < 11, "multi").otherwise("cylinder"))
+    one = MainPlaneParams(ransac_iterations=200, min_points=100, min_points_per_cell=1, cell_size_mm=25.0)
+    multi = MultiPlaneParams(one, max_planes=2, min_plane_points=60)
+    fits, _ = run(cloud, "grp", groups, GroupFitParams(plane=one, multi=multi, cylinder=RoundParams(ransac_iterations=100)))
+    return fits.select("grp", "kind", "entity", "n_points", "status", r6(F.col("nx"), "nx", 4), r6(F.col("ny"), "ny", 4), r6(F.col("nz"), "nz", 4), r6(F.col("diameter_mm"), "diameter_mm", 3))
+
+
 def _face_row(spark: SparkSession, rows: list[tuple]) -> DataFrame:
     return spark.createDataFrame(rows, "plane_index int, nx double, ny double, nz double, d double, n_points long, status string")
 

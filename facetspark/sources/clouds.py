@@ -48,6 +48,15 @@ def plane_scene(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def plane_scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as eleven scanned planes, each with a slope of its own, with noise; every 7th point lies 3 to 5 mm off."""
+    return _read(
+        spark, sf_dir, "orders", "o_orderkey AS point_id", "o_orderkey % 11 AS grp", "CAST(o_orderkey % 200 AS DOUBLE) AS x", "CAST(floor(o_orderkey / 200) % 100 AS DOUBLE) AS y",
+        "0.05D * (o_orderkey % 11) * (o_orderkey % 200) - 0.5 * (floor(o_orderkey / 200) % 100) + ((o_orderkey * 7919) % 101 - 50) / 1000.0D"
+        " + CASE WHEN o_orderkey % 7 = 0 THEN 3 + (o_orderkey % 5) * 0.5D ELSE 0D END AS z",
+    )
+
+
 def turned_face(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as points of a rectangle with sides along (2, 2, -1) / 3 and (-1, 2, 2) / 3, denser in one corner, with noise."""
     a, b = "((o_orderkey % 200) * (o_orderkey % 200) / 200)", "(pow(floor(o_orderkey / 200) % 100, 2) / 100)"
@@ -70,6 +79,9 @@ SQL = {
     "plane_scene": "SELECT o_orderkey AS point_id, CAST(o_orderkey % 200 AS DOUBLE) AS x, CAST((o_orderkey // 200) % 100 AS DOUBLE) AS y,"
     " CAST(0.3 AS DOUBLE) * (o_orderkey % 200) - CAST(0.5 AS DOUBLE) * ((o_orderkey // 200) % 100) + ((o_orderkey * 7919) % 101 - 50) / CAST(1000 AS DOUBLE)"
     " + CASE WHEN o_orderkey % 7 = 0 THEN 3 + (o_orderkey % 5) * CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS z FROM orders",
+    "plane_scenes": "SELECT o_orderkey AS point_id, o_orderkey % 11 AS grp, CAST(o_orderkey % 200 AS DOUBLE) AS x, CAST((o_orderkey // 200) % 100 AS DOUBLE) AS y,"
+    " CAST(0.05 AS DOUBLE) * (o_orderkey % 11) * (o_orderkey % 200) - CAST(0.5 AS DOUBLE) * ((o_orderkey // 200) % 100) + ((o_orderkey * 7919) % 101 - 50) / CAST(1000 AS DOUBLE)"
+    " + CASE WHEN o_orderkey % 7 = 0 THEN 3 + (o_orderkey % 5) * CAST(0.5 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS z FROM orders",
     # In the face's own coordinates: along its sides, and the residual.
     "turned_face": "SELECT o_orderkey AS point_id, (o_orderkey % 200) * (o_orderkey % 200) / CAST(200 AS DOUBLE) AS a,"
     " pow((o_orderkey // 200) % 100, 2) / CAST(100 AS DOUBLE) AS b, ((o_orderkey * 7919) % 101 - 50) / CAST(1009 AS DOUBLE) AS r FROM orders",
