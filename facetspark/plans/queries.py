@@ -677,6 +677,78 @@ def robust_fit_circle(spark, d):
     return fit_circles(ring, "grp", RoundParams(ransac_iterations=200)).select("grp", "status", r6(F.col("diameter_mm"), "diameter_mm", 3), r6(F.col("px"), "px", 3), r6(F.col("py"), "py", 3))
 
 
+_RINGS = (
+    "SELECT o_orderpriority AS grp, o_orderkey AS point_id, (40 + ((o_orderkey * 7919) % 101 - 50) / CAST(1000 AS DOUBLE)) * cos(o_orderkey * CAST(0.61803398875 AS DOUBLE) * CAST(6.283185307179586 AS DOUBLE)) AS x,"
+    " (40 + ((o_orderkey * 7919) % 101 - 50) / CAST(1000 AS DOUBLE)) * sin(o_orderkey * CAST(0.61803398875 AS DOUBLE) * CAST(6.283185307179586 AS DOUBLE)) AS y, CAST(o_orderkey % 211 - 105 AS DOUBLE) AS z FROM orders"
+)
+
+
+def _pipe_sql(cloud: str) -> str:
+    """Algebraic cylinder of each group: main axis, circle across it, half a step to the median."""
+    e1 = S.mul(S.vec("-vz * ay", "vz * ax", "vx * ay - vy * ax"), "1 / sqrt(vz*ay*vz*ay + vz*ax*vz*ax + (vx*ay - vy*ax)*(vx*ay - vy*ax))")
+    rel, u = S.vec("rx", "ry", "rz"), S.vec("vx", "vy", "vz")
+    f1, f2 = S.vec("fx", "fy", "fz"), S.vec("gx", "gy", "gz")
+    center = S.add(S.vec("mx", "my", "mz"), S.add(S.mul(f1, "cu"), S.mul(f2, "cv")))
+    return (
+        f"WITH c AS MATERIALIZED ({cloud}), m AS (SELECT grp, {S.MOMENTS} FROM c GROUP BY grp), {S.eigen('m', 'grp', 'e', True)},"
+        " b AS (SELECT *, CASE WHEN abs(vx) > 0.9 THEN 0 ELSE 1 END AS ax, CASE WHEN abs(vx) > 0.9 THEN 1 ELSE 0 END AS ay FROM e),"
+        f" f AS (SELECT *, {', '.join(f'{v} AS f{a}' for v, a in zip(e1, 'xyz', strict=True))} FROM b),"
+        f" g AS (SELECT *, {', '.join(f'{v} AS g{a}' for v, a in zip(S.cross(u, f1), 'xyz', strict=True))} FROM f),"
+        " r AS (SELECT g.*, c.x - mx AS rx, c.y - my AS ry, c.z - mz AS rz FROM c JOIN g ON g.grp = c.grp),"
+        f" q AS (SELECT *, {S.dot(rel, f1)} AS a, {S.dot(rel, f2)} AS b FROM r),"
+        " s AS (SELECT grp, avg(a*a + b*b) AS mw, covar_pop(a, a) AS uu, covar_pop(b, b) AS vv, covar_pop(a, b) AS uv, covar_pop(a, a*a + b*b) AS uw, covar_pop(b, a*a + b*b) AS vw FROM q GROUP BY grp),"
+        " k AS (SELECT grp, mw, (uw*vv - vw*uv) / (2*(uu*vv - uv*uv)) AS cu, (vw*uu - uw*uv) / (2*(uu*vv - uv*uv)) AS cv FROM s),"
+        " d AS (SELECT q.grp AS grp, median(sqrt((a - cu)*(a - cu) + (b - cv)*(b - cv))) AS mid FROM q JOIN k ON k.grp = q.grp GROUP BY q.grp)"
+        f" SELECT g.grp AS grp, g.n AS n, {', '.join(S.out(e, n, 3) for e, n in zip(center, ('px', 'py', 'pz'), strict=True))}, {S.out('vx', 'ux', 4)}, {S.out('vy', 'uy', 4)}, {S.out('vz', 'uz', 4)},"
+        f" {S.out('sqrt(mw + cu*cu + cv*cv) + mid', 'diameter_mm', 3)} FROM g JOIN k ON k.grp = g.grp JOIN d ON d.grp = g.grp"
+    )
+
+
+@_register(_pipe_sql(clouds.SQL["cloud_part"]))
+def refine_cylinder(spark, d):
+    from ..operators.pipes import refine_cylinders
+
+    out = refine_cylinders(clouds.cloud_part(spark, d), "grp")
+    return out.select("grp", "n", *(r6(F.col(c), c, 3) for c in ("px", "py", "pz")), *(r6(F.col(c), c, 4) for c in ("ux", "uy", "uz")), r6(F.col("diameter_mm"), "diameter_mm", 3))
+
+
+@_register(f"SELECT point_id FROM ({_RINGS}) WHERE (x-40)*(x-40) + y*y + (z-10)*(z-10) <= 8100 AND abs(sqrt(x*x + y*y) - 40) <= 6 AND abs(z - 10) <= 40")
+def pick_around_cylinder(spark, d):
+    from ..operators.extract import pick_around_cylinder as run
+
+    members, _ = run(_rings(spark, d, False), (0.0, 0.0, 0.0), (0.0, 0.0, 1.0), 40.0, 90.0, (40.0, 0.0, 10.0))
+    return members.select("point_id")
+
+
+@_register(f"SELECT point_id FROM ({_RINGS}) WHERE x*x + (y - 40 / CAST(3 AS DOUBLE))*(y - 40 / CAST(3 AS DOUBLE)) + z*z <= 6400 AND abs(sqrt(x*x + y*y) - 40) <= 6 AND abs(z) <= 40")
+def pick_cylinder_by_three_points(spark, d):
+    from ..operators.extract import pick
+
+    members, _ = pick(_rings(spark, d, False), [(40.0, 0.0, 0.0), (0.0, 40.0, 0.0), (-40.0, 0.0, 0.0)], "cylinder")
+    return members.select("point_id")
+
+
+_PICK_AXIS = S.vec("vx", "vy", "vz")
+_PICK_REL = S.sub(S.vec("x", "y", "z"), S.lit(40, 0, 0))
+#: The axis goes through the click's place on it, so a point's distance from the axis and along it are those from the click.
+_PICK_T = S.dot(_PICK_REL, _PICK_AXIS)
+_PICK_MT = S.dot(S.sub(S.lit(40, 0, 0), S.vec("mx", "my", "mz")), _PICK_AXIS)
+
+
+@_register(
+    f"WITH c AS MATERIALIZED (SELECT 1 AS one, point_id, x, y, z FROM ({_RINGS}) WHERE (x-40)*(x-40) + y*y + z*z <= 14400), m AS (SELECT one, {S.MOMENTS} FROM c GROUP BY one), {S.eigen('m', 'one', 'e', True)},"
+    f" a AS (SELECT vx, vy, vz, mx, my, mz, 40 - {_PICK_MT} * vx AS ox, -{_PICK_MT} * vy AS oy, -{_PICK_MT} * vz AS oz FROM e),"
+    f" r AS (SELECT point_id, {_PICK_T} AS t, {S.dot(S.sub(S.vec('x', 'y', 'z'), S.vec('ox', 'oy', 'oz')), S.sub(S.vec('x', 'y', 'z'), S.vec('ox', 'oy', 'oz')))} AS far,"
+    f" {S.dot(S.sub(S.vec('x', 'y', 'z'), S.vec('ox', 'oy', 'oz')), _PICK_AXIS)} AS along FROM c, a)"
+    " SELECT point_id FROM r WHERE abs(sqrt(greatest(far - along*along, 0)) - 40) <= 6 AND abs(t) <= 40"
+)
+def pick_cylinder_region(spark, d):
+    from ..operators.extract import pick
+
+    members, _ = pick(_rings(spark, d, False), (40.0, 0.0, 0.0), "cylinder", diameter_mm=80.0)
+    return members.select("point_id")
+
+
 @_register()
 def display_sample(spark, d):
     return stats.display_sample(clouds.cloud_orders(spark, d), 25.0, 1000)  # a display cap is the feature
