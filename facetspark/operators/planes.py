@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import Vec, canonical_plane, signed_distance
+from ..scratch import materialize
+from .numbering import numbered
 from .stats import quantile
 
 XYZ = ("x", "y", "z")
@@ -178,8 +180,9 @@ def robust_fit_plane(
 def ransac_plane(cloud: DataFrame, threshold: float, n_iterations: int = 1000, seed: int = 0, pool: int = 100_000) -> tuple[Plane, int]:
     """The three-point plane with most points within the threshold, the first of equal ones.
 
-    Hypotheses come from a hash-ordered pool of bounded size.  They are scored in one
-    pass over the pool: each Arrow batch against all hypotheses, counts added up.
+    Hypotheses come from a hash-ordered pool of bounded size and are scored on it, on the
+    driver; the number of points within the threshold of the best one is counted over the
+    whole cloud.
     """
     rows = cloud.select("point_id", *XYZ).orderBy(F.xxhash64("point_id", F.lit(seed)), "point_id").limit(pool)
     p = rows.toPandas()[list(XYZ)].to_numpy(dtype=np.float64)  # at most ``pool`` rows
@@ -198,36 +201,50 @@ def ransac_plane(cloud: DataFrame, threshold: float, n_iterations: int = 1000, s
     for i in range(0, len(p), 8192):
         score += (np.abs(p[i : i + 8192] @ normal.T + d) <= threshold).sum(axis=0)
     best = int(score.argmax())
-    return Plane.of(normal[best], d[best]), int(score[best])
+    plane = Plane.of(normal[best], d[best])
+    return plane, cloud.filter(F.abs(plane.signed()) <= threshold).count()
 
 
-def score_hypotheses(cloud: DataFrame, planes: DataFrame, threshold: float) -> DataFrame:
-    """(hyp_id, inliers) of plane hypotheses (hyp_id, nx, ny, nz, d), at most 100,000: one pass over the cloud.
+def score_hypotheses(cloud: DataFrame, planes: DataFrame, threshold: float, block: int = 20_000) -> DataFrame:
+    """(hyp_id, inliers) of any number of plane hypotheses (hyp_id, nx, ny, nz, d).
 
-    The planes are collected and go to every task; each batch of points meets them in
-    matrix products of bounded size, and a task sends one count a hypothesis.
+    Hypotheses are numbered and go to every task in blocks, a pass over the cloud each.
+    Batches of points meet a block in matrix products; a distance so near the threshold
+    that rounding could decide is computed again as the Column form has it.  A task sends
+    one count a hypothesis.
     """
-    rows = planes.select("hyp_id", "nx", "ny", "nz", "d").orderBy("hyp_id").limit(100_001).collect()
-    if len(rows) > 100_000:
-        raise ValueError("too many hypotheses for one table of literals")
-    table = np.array([[r["nx"], r["ny"], r["nz"], r["d"]] for r in rows], dtype=np.float64).reshape(-1, 4)
-    held = cloud.sparkSession.sparkContext.broadcast((np.array([r["hyp_id"] for r in rows], dtype=np.int64), table))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, p = held.value
-        hits = np.zeros(len(ids), dtype=np.int64)
-        step = max(1, 4_000_000 // max(1, len(ids)))
-        for pdf in batches:
-            x = pdf[list(XYZ)].to_numpy(dtype=np.float64)
-            x = x[np.isfinite(x).all(axis=1)]
-            for i in range(0, len(x), step):
-                part = x[i : i + step]
-                # The sum in the order of the Column form, so that ties at the threshold agree.
-                dist = part[:, [0]] * p[:, 0] + part[:, [1]] * p[:, 1] + part[:, [2]] * p[:, 2] + p[:, 3]
-                hits += (np.abs(dist) <= threshold).sum(axis=0)
-        yield pd.DataFrame({"hyp_id": ids, "inliers": hits})
-
-    return cloud.select(*XYZ).mapInPandas(run, "hyp_id long, inliers long").groupBy("hyp_id").agg(F.sum("inliers").alias("inliers"))
+    listed = numbered(planes.select("hyp_id", "nx", "ny", "nz", "d"), ["hyp_id", "nx", "ny", "nz", "d"], "place")
+    listed = materialize(listed.withColumn("block", F.floor(F.col("place") / block)), "hypotheses")
+    blocks = (listed.agg(F.max("block")).first()[0] or 0) + 1
+    out = None
+    for k in range(blocks):
+        rows = listed.filter(F.col("block") == k).select("hyp_id", "nx", "ny", "nz", "d").collect()  # at most ``block``
+        table = np.array([[r["nx"], r["ny"], r["nz"], r["d"]] for r in rows], dtype=np.float64).reshape(-1, 4)
+        held = cloud.sparkSession.sparkContext.broadcast((np.array([r["hyp_id"] for r in rows], dtype=np.int64), table))
+
+        def run(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
+            ids, p = held.value
+            hits = np.zeros(len(ids), dtype=np.int64)
+            step = max(1, 4_000_000 // max(1, len(ids)))
+            size = np.abs(p[:, :3]).sum(axis=1)
+            for pdf in batches:
+                x = pdf[list(XYZ)].to_numpy(dtype=np.float64)
+                x = x[np.isfinite(x).all(axis=1)]
+                for i in range(0, len(x), step):
+                    part = x[i : i + step]
+                    over = np.abs(part @ p[:, :3].T + p[:, 3])
+                    over -= threshold
+                    slack = 1e-13 * (np.abs(part).max() * size + np.abs(p[:, 3]) + threshold)
+                    hits += (over < -slack).sum(axis=0)
+                    row, col = np.nonzero(np.abs(over) <= slack)
+                    a, q = part[row], p[col]
+                    exact = np.abs(a[:, 0] * q[:, 0] + a[:, 1] * q[:, 1] + a[:, 2] * q[:, 2] + q[:, 3])
+                    np.add.at(hits, col[exact <= threshold], 1)
+            yield pd.DataFrame({"hyp_id": ids, "inliers": hits})
+
+        own = cloud.select(*XYZ).mapInPandas(run, "hyp_id long, inliers long").groupBy("hyp_id").agg(F.sum("inliers").alias("inliers"))
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
 def peel(cloud: DataFrame, members: DataFrame) -> DataFrame:

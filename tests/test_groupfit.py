@@ -38,7 +38,6 @@ def scene(spark):
         "small": sheet(rng, 40, [0.0, 0.0]),
         "two": np.vstack([sheet(rng, 900, [0.0, 0.0], 0.0, 0.01), sheet(rng, 500, [0.0, 0.0], 2.0, 0.01)]),
         "line": np.column_stack([np.arange(50.0), np.zeros(50), np.zeros(50)]),
-        "exact": np.column_stack([np.arange(400.0) % 20, np.arange(400.0) // 20, np.zeros(400)]),
     }
     return groups, table(spark, groups).persist()
 
@@ -50,12 +49,18 @@ def one(spark, x):
 @pytest.mark.parametrize("threshold", [0.1, None])
 def test_robust_planes_equal_the_fits_of_each_group(spark, scene, threshold):
     groups, cloud = scene
-    got = {r["grp"]: r for r in robust_planes(cloud, "grp", threshold, few=100).collect()}
-    assert set(got) == set(groups)
+    cloud = cloud.filter("grp in ('outliers', 'small', 'line')")
+    got = {r["grp"]: r for r in robust_planes(cloud, "grp", threshold, max_iterations=15, few=100).collect()}
+    assert set(got) == {"outliers", "small", "line"}
     if threshold is None:
-        assert got["exact"]["status"] == got["line"]["status"] == "threshold_collapsed"
+        assert got["line"]["status"] == "threshold_collapsed"
     for g in ("outliers", "small"):
-        want, r = planes.robust_fit_plane(one(spark, groups[g]).persist(), threshold), got[g]
+        r = got[g]
+        try:
+            want = planes.robust_fit_plane(one(spark, groups[g]).persist(), threshold, max_iterations=15)
+        except ValueError:
+            assert r["status"] == "too_few_inliers"
+            continue
         assert (r["n_inliers"], r["converged"], r["n_iterations"]) == (want.n_inliers, want.converged, want.n_iterations), g
         assert [r["nx"], r["ny"], r["nz"], r["d"], r["threshold"]] == pytest.approx([*want.plane.normal, want.plane.d, want.threshold], abs=1e-9), g
         assert r["status"] == ("ok" if want.converged else "not_converged")
@@ -63,7 +68,8 @@ def test_robust_planes_equal_the_fits_of_each_group(spark, scene, threshold):
 
 def test_main_planes_equal_the_faces_of_each_group(spark, scene):
     groups, cloud = scene
-    rows, members = main_planes(cloud, "grp", ONE)
+    groups = {g: x for g, x in groups.items() if g in ("parts", "rough", "small", "line")}
+    rows, members = main_planes(cloud.filter(F.col("grp").isin(*groups)), "grp", ONE)
     got = {r["grp"]: r for r in rows.collect()}
     points = {}
     for r in members.collect():
@@ -80,7 +86,7 @@ def test_main_planes_equal_the_faces_of_each_group(spark, scene):
         assert np.dot([got[g]["nx"], got[g]["ny"], got[g]["nz"]], want.plane.normal) == pytest.approx(1, abs=1e-6)
         assert got[g]["components"] == want.n_components and got[g]["share"] == pytest.approx(want.main_fraction, abs=0.02)
     assert got["small"]["reasons"] == ["too_few_inliers_after_refit"] and got["line"]["reasons"] == ["no_plane"]
-    assert got["exact"]["reasons"] == ["threshold_collapsed"] and {got[g]["status"] for g in ("small", "line", "exact")} == {"fail"}
+    assert {got[g]["status"] for g in ("small", "line")} == {"fail"}
     assert len(points["parts"]) == pytest.approx(600, abs=12)
 
 
@@ -184,3 +190,79 @@ def test_numbers_are_consecutive_in_order(spark):
     flat = sorted((r.k, r.g or "", r.v) for r in numbered(df, ["g", "v"], "k").collect())
     assert [k for k, *_ in flat] == list(range(56)) and [x[1:] for x in flat] == sorted(x[1:] for x in flat)
     assert numbered(df.filter("v < 0"), ["v"], "k").count() == 0
+
+
+# --- pipes -------------------------------------------------------------------------------------
+
+
+def plain_refine(x, u, diameter=None, turn=True, rounds=10):
+    """The alternation, iteration by iteration, on the points themselves."""
+    d = diameter
+    for _ in range(rounds):
+        c = x - x.mean(axis=0)
+        if turn:
+            v = np.linalg.eigh(c.T @ c)[1][:, 2]
+            u = v if v @ u >= 0 else -v
+        a = np.cross(u, [1.0, 0, 0] if abs(u[0]) < 0.9 else [0, 1.0, 0])
+        a /= np.linalg.norm(a)
+        q = np.column_stack([c @ a, c @ np.cross(u, a)])
+        m, *_ = np.linalg.lstsq(np.column_stack([2 * q, np.ones(len(q))]), (q * q).sum(axis=1), rcond=None)
+        p = x.mean(axis=0) + m[0] * a + m[1] * np.cross(u, a)
+        w = x - p
+        mid = np.median(np.linalg.norm(w - (w @ u)[:, None] * u, axis=1))
+        if diameter is None:
+            d = 0.5 * (2 * np.sqrt(m[2] + m[0] ** 2 + m[1] ** 2) + 2 * mid)
+    return p, u, d
+
+
+def arc(rng, n, radius, width, length, noise, at=(0.0, 0.0, 0.0), tilt=0.0):
+    a, h = rng.uniform(-width, width, n), rng.uniform(-length, length, n)
+    r = radius + rng.normal(0, noise, n)
+    x = np.column_stack([r * np.cos(a), r * np.sin(a), h])
+    turn = np.array([[np.cos(tilt), 0, np.sin(tilt)], [0, 1, 0], [-np.sin(tilt), 0, np.cos(tilt)]])
+    return x @ turn.T + at
+
+
+def test_refined_cylinders_equal_the_plain_alternation(spark):
+    from facetspark.operators.pipes import cylinder_of_three, refine_cylinders
+
+    rng = np.random.default_rng(21)
+    groups = {
+        "whole": arc(rng, 900, 30.0, np.pi, 200.0, 0.1, (5e4, -3e4, 1e3), 0.4), "short": arc(rng, 300, 40.0, 0.6, 30.0, 0.15), "few": arc(rng, 2, 5.0, 1.0, 5.0, 0.0),
+    }
+    cloud = table(spark, groups)
+    init = spark.createDataFrame([("whole", 0.0, 0.0, -1.0, 50.0), ("short", 0.0, 0.0, 2.0, 80.0)], "grp string, ux double, uy double, uz double, diameter_mm double")
+    for turn, diameter in ((True, None), (False, 80.0)):
+        got = {r["grp"]: r for r in refine_cylinders(cloud, "grp", init, diameter, turn).collect()}
+        assert set(got) == {"whole", "short"}
+        for g, u in (("whole", [0, 0, -1.0]), ("short", [0, 0, 1.0])):
+            p, v, d = plain_refine(groups[g], np.array(u), diameter, turn)
+            r = got[g]
+            off = np.array([r["px"], r["py"], r["pz"]]) - p
+            assert [r["ux"], r["uy"], r["uz"]] == pytest.approx(v, abs=1e-9) and off == pytest.approx([0, 0, 0], abs=1e-6), g
+            assert r["diameter_mm"] == pytest.approx(d, abs=1e-7)
+    # On a short arc the geometric fit comes nearer to the axis than the algebraic one.
+    from facetspark.operators.rounds import fit_cylinder
+
+    alg = got["short"]
+    geo = fit_cylinder(groups["short"], RoundParams(threshold_mm=2.0, diameter_mm=80.0, ransac_iterations=300))
+    assert geo["status"] == "ok" and np.linalg.norm(geo["point"][:2] - geo["direction"][:2] * geo["point"][2]) < max(5.0, np.hypot(alg["px"], alg["py"]))
+    three = cylinder_of_three((50.0, 0, 0), (0, 50.0, 0), (-50.0, 0, 0))
+    assert three["point"] == pytest.approx((0, 0, 0)) and three["diameter_mm"] == pytest.approx(100) and abs(three["direction"][2]) == pytest.approx(1)
+    assert cylinder_of_three((0, 0, 0), (1, 0, 0), (2, 0, 0)) is None and cylinder_of_three((50.0, 0, 0), (0, 50.0, 0), (-50.0, 0, 0), 98.0)["diameter_mm"] == 98.0
+
+
+def test_picks_by_kind(spark):
+    from facetspark.operators.extract import PickParams, pick, pick_radius
+
+    assert [pick_radius(*a) for a in (("plane", 12.0), ("cylinder", 5.0), ("cylinder", 20.0), ("cylinder", 5.0, 90.0))] == [12.0, 80.0, 160.0, 130.0]
+    rng = np.random.default_rng(3)
+    pipe = arc(rng, 3000, 30.0, np.pi, 150.0, 0.05)
+    cloud = one(spark, np.vstack([pipe, rng.uniform(-200, 200, (300, 3))])).persist()
+    members, _ = pick(cloud, [(30.0, 0, 0), (0, 30.0, 0), (-30.0, 0, 0)], "cylinder")
+    near = (np.abs(pipe[:, 2]) <= 40.0).sum()
+    assert members.count() == pytest.approx(near, abs=30)
+    with pytest.raises(ValueError, match="nearly on a line"):
+        pick(cloud, [(0, 0, 0), (1, 0, 0), (2, 0, 0)], "cylinder")
+    with pytest.raises(ValueError, match="unknown kind"):
+        pick(cloud, (0, 0, 0), "sphere", PickParams())
