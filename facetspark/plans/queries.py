@@ -370,6 +370,48 @@ def radius_join(spark, d):
     return regions.radius_join(cloud, centers, 50.0)
 
 
+@_register(f"SELECT point_id FROM {_from('cloud_orders')} WHERE (x-250)*(x-250) + (y-2300)*(y-2300) + (z-48)*(z-48) <= 6400")
+def index_ball(spark, d):
+    """A kept index, built once, and one ball of it through key ranges."""
+    from ..scratch import scratch_path
+    from ..sources.cloudindex import build_index, index_ball as run
+
+    index = build_index(clouds.cloud_orders(spark, d), scratch_path(spark, "index"), 50.0)
+    return run(spark, index, (250.0, 2300.0, 48.0), 80.0).select("point_id")
+
+
+@_register(
+    f"WITH c AS ({clouds.SQL['cloud_orders']}) SELECT q.point_id AS center_id, c.point_id FROM c q JOIN c ON q.point_id % 100 = 0"
+    " AND (c.x-q.x)*(c.x-q.x) + (c.y-q.y)*(c.y-q.y) + (c.z-q.z)*(c.z-q.z) <= 2500"
+)
+def index_balls(spark, d):
+    """The same index asked for many balls at once."""
+    from ..scratch import scratch_path
+    from ..sources.cloudindex import build_index, index_balls as run
+
+    cloud = clouds.cloud_orders(spark, d)
+    index = build_index(cloud, scratch_path(spark, "index"), 50.0)
+    return run(spark, index, cloud.filter("point_id % 100 = 0").withColumnRenamed("point_id", "center_id"), 50.0)
+
+
+_FRONT = (
+    f"WITH c AS ({clouds.SQL['cloud_orders']}), q AS (SELECT k, point_id, y + 100 AS t FROM c, (VALUES (1), (2), (4), (8)) r(k) WHERE y + 100 > 0 AND sqrt((x-250)*(x-250) + (z-48)*(z-48)) <= 10*k),"
+    " s AS (SELECT *, t - lag(t) OVER w AS step FROM q WINDOW w AS (PARTITION BY k ORDER BY t, point_id)), g AS (SELECT k, greatest(8, 10 * median(step)) AS gap FROM s GROUP BY k),"
+    " r AS (SELECT s.*, sum(CASE WHEN step > gap THEN 1 ELSE 0 END) OVER (PARTITION BY s.k ORDER BY t, point_id ROWS UNBOUNDED PRECEDING) AS run FROM s JOIN g ON g.k = s.k),"
+    " l AS (SELECT k, run, arg_min(point_id, (t, point_id)) AS seed_id, avg(t) AS depth, count(*) AS n_points FROM r GROUP BY k, run HAVING count(*) >= 6),"
+    " n AS (SELECT *, CAST(row_number() OVER (PARTITION BY k ORDER BY run) - 1 AS INTEGER) AS layer FROM l),"
+    " f AS (SELECT k, count(*) AS m, max(CASE WHEN layer = 0 THEN n_points END) >= 15 AS enough FROM n GROUP BY k),"
+    " z AS (SELECT k FROM f ORDER BY enough DESC, CASE WHEN enough THEN 0 ELSE -m END, k LIMIT 1)"
+    f" SELECT layer, seed_id, {S.out('depth', 'depth')}, n_points FROM n WHERE k IN (SELECT k FROM z)"
+)
+
+
+@_register(_FRONT)
+def front_layers(spark, d):
+    out = layers.front_layers(clouds.cloud_orders(spark, d), Vec.of(250, -100, 48), Vec.of(0, 1, 0), 10.0)
+    return out.select("layer", "seed_id", r6(F.col("depth"), "depth"), "n_points")
+
+
 @_register("SELECT DISTINCT CASE WHEN label IN (1, 2, 3) THEN 1 ELSE label END AS group_id, vec_id AS point_id FROM embeddings")
 def merge_groups(spark, d):
     members = clouds.cloud_embeddings(spark, d).select(F.col("grp").alias("group_id"), "point_id")
