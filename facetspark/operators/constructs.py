@@ -35,7 +35,7 @@ def intersect_planes(a: P, b: P) -> L:
     (n1, d1), (n2, d2) = a, b
     t = n1.cross(n2)
     size = t.norm2()
-    point = (t.cross(n1).scaled(d2) - t.cross(n2).scaled(d1)).over(size)
+    point = (t.cross(n2).scaled(d1) - t.cross(n1).scaled(d2)).over(size)
     return canonical_line(_only(size >= _TINY, point), _only(size >= _TINY, t))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import Vec, axis_distance, canonical_plane, inplane_basis, signed_distance
 from ..operators import constructs as C
 from ..operators import frames, layers, maps, planes, regions, stats
+from ..scratch import materialize
 from ..session import ship_package
 from ..sources import clouds
 from . import sqlgeom as S
@@ -525,7 +526,7 @@ def _all_constructs() -> None:
     _construct("construct_offset", lambda: _pl(C.offset(_A, 2.5)), {**_vs("n", _na), "d": "da - 2.5"})
     t = S.vec("tx", "ty", "tz")
     k = ", k AS (SELECT *, " + ", ".join(f"{e} AS t{a}" for e, a in zip(S.cross(_na, _nb), "xyz", strict=True)) + " FROM e)"
-    point = S.mul(S.sub(S.mul(S.cross(t, _na), "db"), S.mul(S.cross(t, _nb), "da")), f"1 / {S.dot(t, t)}")
+    point = S.mul(S.sub(S.mul(S.cross(t, _nb), "da"), S.mul(S.cross(t, _na), "db")), f"1 / {S.dot(t, t)}")
     _construct("construct_intersect_planes", lambda: _li(C.intersect_planes(_A, _B)), {**_vs("p", point), **_vs("u", S.mul(t, f"{S.sign(t)} / {S.norm(t)}"))}, k)
     det = S.dot(_na, S.cross(_nb, _nc))
     three = S.add(S.add(S.mul(S.cross(_nb, _nc), "-da"), S.mul(S.cross(_nc, _na), "-db")), S.mul(S.cross(_na, _nb), "-dc"))
@@ -810,58 +811,99 @@ _BEAM = {
     "measures": [{"id": "m1", "op": "distance_points", "a": "corner", "b": "target"}, {"id": "m2", "op": "angle_planes", "a": "left", "b": "top"}],
     "export": ["target", "axis"],
 }
-#: The beam is turned as a whole by the matrix of thirds 2 -1 2 / 2 2 -1 / -1 2 2, so its frame is tilted and has a yaw.
-_BEAM_FACES = {"left": ("plane", [2 / 3, 2 / 3, -1 / 3, 50]), "front": ("plane", [-1 / 3, 2 / 3, 2 / 3, 20]), "top": ("plane", [2 / 3, -1 / 3, 2 / 3, -100])}
+#: Each order is a survey of the beam, whose faces lie a little further out by its key.  The beam is turned as a
+#: whole by the matrix of thirds 2 2 -1 / -1 2 2 / 2 -1 2, so its frame is tilted and has a yaw.
+_TURNED = ((2 / 3, 2 / 3, -1 / 3), (-1 / 3, 2 / 3, 2 / 3), (2 / 3, -1 / 3, 2 / 3))
 
 
-_WIDE = "SELECT id, kind, " + ", ".join(f"v[{i}] AS v{i}" for i in range(1, 7))
+def _beam(spark, d, doc: dict | None = None):
+    """(planner, table) of the beam over all surveys."""
+    from .recipe import Planner, Recipe, _pack
 
+    key = F.col("o_orderkey")
+    offsets = (50 + key % 10, 20 + key % 7, -100 - key % 13)
+    faces = [_pack((Vec.of(*n), off.cast("double")), "plane").alias(name) for name, n, off in zip(("left", "front", "top"), _TURNED, offsets, strict=True)]
+    surveys = spark.read.parquet(f"{d}/orders.parquet").select(key.alias("point_id"), *faces)
+    plan = Planner(Recipe.of(doc or _BEAM), surveys)
+    return plan, materialize(plan.run(), "beam")
 
-def _beam(spark: SparkSession) -> dict:
-    from .recipe import reduce_survey
 
-    return reduce_survey(spark, _BEAM, _BEAM_FACES)
+#: Places along the beam's three normals, from which every entity follows.
+_S = "SELECT o_orderkey AS point_id, CAST(o_orderkey % 10 AS DOUBLE) AS a, CAST(o_orderkey % 7 AS DOUBLE) AS b, CAST(o_orderkey % 13 AS DOUBLE) AS c FROM orders"
 
 
-@_register(
-    "WITH t(id, kind, v) AS (VALUES ('left', 'plane', [2 / 3, 2 / 3, -1 / 3, 50.0]::DOUBLE[]), ('front', 'plane', [-1 / 3, 2 / 3, 2 / 3, 20]::DOUBLE[]), ('top', 'plane', [2 / 3, -1 / 3, 2 / 3, -100]::DOUBLE[]),"
-    " ('left_in', 'plane', [2 / 3, 2 / 3, -1 / 3, 0]::DOUBLE[]), ('front_in', 'plane', [-1 / 3, 2 / 3, 2 / 3, 0]::DOUBLE[]), ('axis', 'line', [0, 0, 0, 2 / 3, -1 / 3, 2 / 3]::DOUBLE[]),"
-    " ('target', 'point', [200 / 3, -100 / 3, 200 / 3]::DOUBLE[]), ('corner', 'point', [40, -80, 70]::DOUBLE[]))"
-    " SELECT id, kind, " + ", ".join(f"round(v[{i}], 6) AS v{i}" for i in range(1, 7)) + " FROM t"
-)
+def _along(p: str, q: str, r: str) -> list[str]:
+    return [f"({p}) * CAST({n1!r} AS DOUBLE) + ({q}) * CAST({n2!r} AS DOUBLE) + ({r}) * CAST({n3!r} AS DOUBLE)" for n1, n2, n3 in zip(*_TURNED, strict=True)]
+
+
+def _entities_sql(entities: dict[str, tuple[str, list[str]]]) -> str:
+    parts = []
+    for name, (kind, v) in entities.items():
+        numbers = [f"round({x}, 6) + CAST(0 AS DOUBLE)" for x in v] + ["CAST(NULL AS DOUBLE)"] * (6 - len(v))
+        parts.append(f"SELECT point_id, '{name}' AS id, '{kind}' AS kind, {', '.join(f'{x} AS v{i + 1}' for i, x in enumerate(numbers))} FROM s")
+    return f"WITH s AS ({_S}) " + " UNION ALL ".join(parts)
+
+
+_N1, _N2, _N3 = ([f"CAST({c!r} AS DOUBLE)" for c in n] for n in _TURNED)
+
+
+@_register(_entities_sql({
+    "left": ("plane", [*_N1, "50 + a"]), "front": ("plane", [*_N2, "20 + b"]), "top": ("plane", [*_N3, "-100 - c"]), "left_in": ("plane", [*_N1, "a"]), "front_in": ("plane", [*_N2, "b"]),
+    "axis": ("line", [*_along("-a", "-b", "0"), *_N3]), "target": ("point", _along("-a", "-b", "100 + c")), "corner": ("point", _along("-50 - a", "-20 - b", "100 + c")),
+}))
 def recipe_beam(spark, d):
-    from .recipe import entity_rows
+    from .recipe import entity_table
 
-    return entity_rows(spark, _beam(spark))
+    plan, table = _beam(spark, d)
+    return entity_table(table, plan.recipe.kinds, "point_id")
 
 
-@_register(
-    _WIDE + " FROM (VALUES ('left', 'plane', [1.0, 0.0, 0.0, 0.0]::DOUBLE[]), ('front', 'plane', [0.0, 1.0, 0.0, 0.0]), ('top', 'plane', [0.0, 0.0, 1.0, 0.0]),"
-    " ('left_in', 'plane', [1.0, 0.0, 0.0, -50.0]), ('front_in', 'plane', [0.0, 1.0, 0.0, -20.0]), ('axis', 'line', [50.0, 20.0, -100.0, 0.0, 0.0, 1.0]),"
-    " ('target', 'point', [50.0, 20.0, 0.0]), ('corner', 'point', [0.0, 0.0, 0.0])) t(id, kind, v)"
-)
+_IN_FRAME = {
+    "left": ("plane", ["1", "0", "0", "0"]), "front": ("plane", ["0", "1", "0", "0"]), "top": ("plane", ["0", "0", "1", "0"]), "left_in": ("plane", ["1", "0", "0", "-50"]), "front_in": ("plane", ["0", "1", "0", "-20"]),
+    "axis": ("line", ["50", "20", "-100 - c", "0", "0", "1"]), "target": ("point", ["50", "20", "0"]), "corner": ("point", ["0", "0", "0"]),
+}
+
+
+@_register(_entities_sql(_IN_FRAME))
 def aligned_export(spark, d):
-    from .recipe import entity_rows
+    from .recipe import entity_table
 
-    return entity_rows(spark, _beam(spark)["aligned"])
+    plan, table = _beam(spark, d)
+    return entity_table(table, plan.recipe.kinds, "point_id", {name: plan.in_frame(name) for name in plan.recipe.kinds})
 
 
-@_register(_WIDE + " FROM (VALUES ('axis', 'line', [50.0, 20.0, -100.0, 0.0, 0.0, 1.0]::DOUBLE[]), ('target', 'point', [50.0, 20.0, 0.0])) t(id, kind, v)")
+@_register(_entities_sql({k: _IN_FRAME[k] for k in ("axis", "target")}))
 def geometry_summary(spark, d):
-    from .recipe import entity_rows, geometry_summary as summary
+    """What is exported, seen from the frame."""
+    from .recipe import entity_table
 
-    return entity_rows(spark, summary(_beam(spark)))
+    plan, table = _beam(spark, d)
+    names = {k: plan.recipe.kinds[k] for k in plan.recipe.doc["export"]}
+    return entity_table(table, names, "point_id", {name: plan.in_frame(name) for name in names})
 
 
-@_register("SELECT * FROM (VALUES ('m1', round(sqrt(2900.0::DOUBLE), 6), 'mm'), ('m2', 90.0, 'deg')) t(id, value, unit)")
+@_register(
+    f"WITH s AS ({_S}) SELECT point_id, 'm1' AS id, round(sqrt(2900.0::DOUBLE), 6) AS value, 'mm' AS unit FROM s UNION ALL SELECT point_id, 'm2', 90.0::DOUBLE, 'deg' FROM s"
+    " UNION ALL SELECT point_id, 'm3', round(sqrt(a*a + b*b + (100 + c)*(100 + c)), 6), 'mm' FROM s"
+)
 def recipe_measures(spark, d):
-    rows = [(m["id"], round(m["value"], 6), m["unit"]) for m in _beam(spark)["measures"]]
-    return spark.createDataFrame(rows, "id string, value double, unit string")
+    from .recipe import MEASURES, Planner, Recipe, _pack
+
+    doc = dict(_BEAM)
+    # A circle's center at the origin of the survey, as one more face.
+    doc["measures"] = [*_BEAM["measures"], {"id": "m3", "op": "distance_points", "a": "target", "b": "zero"}]
+    doc["faces"] = {**_BEAM["faces"], "zero": {"from": "group", "name": "zero", "kind": "circle"}}
+    _, table = _beam(spark, d)
+    surveys = table.select("point_id", "left", "front", "top").withColumn("zero", _pack(Vec.of(0, 0, 0), "point"))
+    plan = Planner(Recipe.of(doc), surveys)
+    measures = plan.recipe.doc["measures"]
+    rows = [F.struct(F.lit(m["id"]).alias("id"), (F.round(F.col(f"`measure:{m['id']}`"), 6) + 0.0).alias("value"), F.lit(MEASURES[m["op"]][1]).alias("unit")) for m in measures]
+    return materialize(plan.run(), "beam").select("point_id", F.explode(F.array(*rows)).alias("m")).select("point_id", "m.*")
 
 
 @_register(
     _ENTITY_SQL + f", k AS (SELECT *, {', '.join(f'{e} AS t{a}' for e, a in zip(S.cross(_na, _nb), 'xyz', strict=True))} FROM e),"
-    f" h AS (SELECT *, {', '.join(f'{e} AS h{a}' for e, a in zip(S.mul(S.sub(S.mul(S.cross(S.vec('tx', 'ty', 'tz'), _na), 'db - 3'), S.mul(S.cross(S.vec('tx', 'ty', 'tz'), _nb), 'da')), '1 / ' + S.dot(S.vec('tx', 'ty', 'tz'), S.vec('tx', 'ty', 'tz'))), 'xyz', strict=True))} FROM k)"
+    f" h AS (SELECT *, {', '.join(f'{e} AS h{a}' for e, a in zip(S.mul(S.sub(S.mul(S.cross(S.vec('tx', 'ty', 'tz'), _nb), 'da'), S.mul(S.cross(S.vec('tx', 'ty', 'tz'), _na), 'db - 3')), '1 / ' + S.dot(S.vec('tx', 'ty', 'tz'), S.vec('tx', 'ty', 'tz'))), 'xyz', strict=True))} FROM k)"
     f" SELECT point_id, {S.out(S.norm(S.cross(S.sub(_q, S.vec('hx', 'hy', 'hz')), S.vec('tx', 'ty', 'tz'))) + ' / ' + S.norm(S.vec('tx', 'ty', 'tz')), 'value', 3)} FROM h"
 )
 def recipe_over_surveys(spark, d):
@@ -878,6 +920,33 @@ def recipe_over_surveys(spark, d):
     return Planner(Recipe.of(doc), surveys).run().select("point_id", r6(F.col("`measure:m`"), "value", 3))
 
 
+def _replay_sql(offset: str) -> str:
+    tv = S.vec("tx", "ty", "tz")
+    h = S.mul(S.sub(S.mul(S.cross(tv, _nb), "da"), S.mul(S.cross(tv, _na), f"db - {offset}")), f"1 / {S.dot(tv, tv)}")
+    return (
+        _ENTITY_SQL + f", k AS (SELECT *, {', '.join(f'{e} AS t{a}' for e, a in zip(S.cross(_na, _nb), 'xyz', strict=True))} FROM e),"
+        f" h AS (SELECT *, {', '.join(f'{e} AS h{a}' for e, a in zip(h, 'xyz', strict=True))} FROM k)"
+        f" SELECT point_id, {S.out(S.norm(S.cross(S.sub(_q, S.vec('hx', 'hy', 'hz')), tv)) + ' / ' + S.norm(tv), 'value', 3)}, {S.out(f'abs({S.dot(_na, _q)} + da)', 'kept', 3)} FROM h"
+    )
+
+
+@_register(_replay_sql("8"))
+def recipe_replay(spark, d):
+    """A session over a row a survey: one offset is changed, and its line and measure follow; the other measure is kept."""
+    from .recipe import _pack
+    from .replay import Session
+
+    doc = {
+        "faces": {"a": {"name": "a"}, "b": {"name": "b"}, "p": {"name": "p", "kind": "circle"}},
+        "construct": [{"id": "b2", "op": "offset", "plane": "b", "distance_mm": 3}, {"id": "ax", "op": "intersect_planes", "plane_a": "a", "plane_b": "b2"}],
+        "measures": [{"id": "m", "op": "distance_point_line", "point": "p", "line": "ax"}, {"id": "k", "op": "distance_point_plane", "point": "p", "plane": "a"}],
+    }
+    e = _entities(spark, d)
+    surveys = e.select("point_id", _pack(tuple(_A), "plane").alias("a"), _pack(tuple(_B), "plane").alias("b"), _pack(_QT, "point").alias("p"))
+    after = Session.start(doc, surveys).replace_step({"id": "b2", "op": "offset", "plane": "b", "distance_mm": 8})
+    return after.table.select("point_id", r6(F.col("`measure:m`"), "value", 3), r6(F.col("`measure:k`"), "kept", 3))
+
+
 @_register(
     "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'plane' ELSE 'of' END AS had, 'P' || p_size AS plane, CAST(p_retailprice AS DOUBLE) AS distance_mm FROM part"
 )

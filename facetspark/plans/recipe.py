@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import Vec, canonical_plane
 from ..operators import constructs as C
+from ..scratch import materialize
 from .schema import migrate_recipe
 
+# The operations of the recipe language.
 #: op: (result kind, operands with kinds, scalars, whether operands must differ)
 CONSTRUCTS: dict[str, tuple[str, tuple[tuple[str, str], ...], tuple[str, ...], bool]] = {
     "offset": ("plane", (("plane", "plane"),), ("distance_mm",), False),
@@ -37,6 +39,7 @@ CONSTRUCTS: dict[str, tuple[str, tuple[tuple[str, str], ...], tuple[str, ...], b
     "rotate_line_about_line": ("line", (("line", "line"), ("axis", "line")), ("angle_deg",), True),
 }
 
+# The measures of the recipe language.
 #: op: (operands with kinds, unit, prefix of automatic ids)
 MEASURES: dict[str, tuple[tuple[tuple[str, str], ...], str, str]] = {
     "distance_points": ((("point_a", "point"), ("point_b", "point")), "mm", "dist"),
@@ -317,7 +320,7 @@ class Planner:
     def __init__(self, recipe: Recipe, surveys: DataFrame):
         self.recipe, self.frame, self.df = recipe, recipe.doc["frame"], surveys
         self.kinds = dict(recipe.kinds) | ALIGNED
-        self._framed = False
+        self._framed = "__r" in surveys.columns
 
     def _get(self, name: str):
         if name in ALIGNED and not self._framed:
@@ -365,8 +368,14 @@ class Planner:
         self._keep()
 
     def run(self) -> DataFrame:
-        """The surveys with a struct a construct, ``measure:<id>`` doubles and, with a frame, aligned structs."""
+        """The surveys with a struct a construct, ``measure:<id>`` doubles and, with a frame, aligned structs.
+
+        What the table has already is kept: only missing columns are planned.
+        """
+        have = set(self.df.columns)
         for step in self.recipe.steps:
+            if step["id"] in have:
+                continue
             args = [self._get(step[k]) for k, _ in _operands(step)]
             op: Callable = getattr(C, step["op"])
             args += [F.lit(float(step[k])) for k in CONSTRUCTS[step["op"]][2]]
@@ -374,6 +383,8 @@ class Planner:
                 args.append(Vec.of(*step["through"]))
             self._put(step["id"], op(*args))
         for m in self.recipe.doc.get("measures") or []:
+            if f"measure:{m['id']}" in have:
+                continue
             args = [self._get(m[k]) for k, _ in _operands(m)]
             self.df = self.df.withColumn(f"measure:{m['id']}", getattr(C, m["op"])(*args))
         if self.frame and not self._framed:
@@ -393,6 +404,22 @@ class Planner:
         return _pack(_turn(rows, v - origin), kind)
 
 
+def entity_table(df: DataFrame, kinds: dict[str, str], key: str, structs: dict[str, Column] | None = None) -> DataFrame:
+    """(key, id, kind, v1 ... v6), a row a survey and entity: its numbers in order, null beyond them.
+
+    ``structs`` gives entities other values than the table's columns of their names.
+    """
+    if structs:  # written out first: an array of many formulas is too long for one generated method
+        df = materialize(df.select(key, *[structs.get(name, F.col(f"`{name}`")).alias(name) for name in kinds]), "entities")
+    rows = []
+    for name, kind in kinds.items():
+        s = F.col(f"`{name}`")
+        numbers = [F.round(s.getField(f), 6) + 0.0 for f in _FIELDS[kind]]
+        rows.append(F.struct(F.lit(name).alias("id"), F.lit(kind).alias("kind"), F.array(*numbers, *[F.lit(None).cast("double")] * (6 - len(numbers))).alias("v")))
+    flat = df.select(key, F.explode(F.array(*rows)).alias("e"))
+    return flat.select(key, "e.id", "e.kind", *[F.col("e.v")[i].alias(f"v{i + 1}") for i in range(6)])
+
+
 def one_survey(spark: SparkSession, faces: dict[str, tuple[str, list[float]]]) -> DataFrame:
     """A one-row table of faces: (kind, numbers) by alias; a plane is n and d, a line p and u."""
     df = spark.range(1).select(F.lit("survey").alias("survey_id"))
