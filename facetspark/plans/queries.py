@@ -259,6 +259,29 @@ def uv_residual_map(spark, d):
     return out.select("iu", "iv", "cnt", r6(F.col("mean"), "mean"))
 
 
+#: Uneven edges of a map's cells, in u and in v.
+_EDGES = ([-1800 + 1.5 * k * k for k in range(60)], [-2300 + 7 * k + 0.25 * k * k for k in range(80)])
+
+
+def _edge_sql(value: str, edges: list[float]) -> str:
+    listed = f"[{', '.join(f'CAST({float(e)!r} AS DOUBLE)' for e in edges)}]"
+    return f"CAST(least(len(list_filter({listed}, lambda e: e <= {value})), {len(edges) - 1}) - 1 AS BIGINT)"
+
+
+@_register(
+    f"WITH c AS (SELECT {_PUV[0]} AS u, {_PUV[1]} AS v, {_DIST} AS r FROM {_from('cloud_orders')})"
+    f" SELECT {_edge_sql('u', _EDGES[0])} AS iu, {_edge_sql('v', _EDGES[1])} AS iv, count(*) AS cnt, {S.out('avg(r)', 'mean')} FROM c"
+    f" WHERE u BETWEEN {_EDGES[0][0]} AND {_EDGES[0][-1]} AND v BETWEEN {_EDGES[1][0]} AND {_EDGES[1][-1]} GROUP BY 1, 2"
+)
+def edge_map(spark, d):
+    """A residual map on given, uneven edges."""
+    from ..operators.selection import map_on_edges
+
+    u, v = inplane_basis(Vec.of(*N))
+    out = map_on_edges(clouds.cloud_orders(spark, d), P.dot(u), P.dot(v), signed_distance(P, Vec.of(*N), F.lit(D)), *_EDGES)
+    return out.select("iu", "iv", "cnt", r6(F.col("mean"), "mean"))
+
+
 @_register(
     f"SELECT count(*) AS n_used, count(*) FILTER (WHERE abs({_DIST}) > 300) AS n_outside, CAST(300 AS DOUBLE) AS threshold FROM {_from('cloud_orders')}"
 )
