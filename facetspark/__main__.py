@@ -36,11 +36,12 @@ def main(argv: list[str] | None = None) -> int:
             from .plans.recipe import Recipe, geometry_summary, reduce_survey
             from .plans.schema import write_json
             from .session import local_session
-            from .sources.project import bind_faces
+            from .sources.project import bind_faces, face_diameters
 
             raw = json.loads(Path(a.recipe).read_text())
-            faces = bind_faces(a.project, Recipe.of(raw).doc)
-            geometry = reduce_survey(local_session("2"), raw, faces, str(Path(a.project).resolve()))
+            doc = Recipe.of(raw).doc
+            faces = bind_faces(a.project, doc)
+            geometry = reduce_survey(local_session("2"), raw, faces, str(Path(a.project).resolve()), face_diameters(a.project, doc))
             out = Path(a.output)
             write_json(out, geometry)
             write_json(out.with_name(f"{out.stem}_summary.json"), geometry_summary(geometry))

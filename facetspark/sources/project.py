@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
 from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from ..operators.numbering import numbered
 from ..operators.planes import Plane
+from ..plans.codecs import plane_of, round_of
 from ..plans.schema import migrate_group, write_json
 
 # What a fit entry keeps on disk.
@@ -102,9 +104,7 @@ def load_inliers(spark: SparkSession, project: str, group_id: int) -> DataFrame
     path = Path(project, "groups", f"inliers_{group_id:03d}")
     if not path.exists():
         return None
-    from pyspark.sql import Window
-
-    ranked = load_points(spark, project, group_id).select("point_id", (F.row_number().over(Window.orderBy("point_id")) - 1).alias("local_idx"))
+    ranked = numbered(load_points(spark, project, group_id).select("point_id"), ["point_id"], "local_idx")
     return spark.read.parquet(str(path)).join(ranked, "point_id")
 
 
@@ -115,22 +115,64 @@ def find_group(docs: list[dict], name: str | None = None, group_id: int | None =
     return hits[0]
 
 
-def bind_faces(project: str, recipe: dict) -> dict[str, tuple[str, list[float]]]:
-    """The numbers of each face of a recipe: plane n and d, cylinder axis, circle center."""
-    docs, out = load_groups(project), {}
+#: alias and spec of a face to (kind, numbers), or None to look in the project.
+Binder = Callable[[str, dict], tuple[str, list[float]] | None]
+
+
+def _fit_entry(docs: list[dict], alias: str, spec: dict) -> tuple[str, dict]:
+    """The list that a face's fit is in, and its entry."""
+    doc = find_group(docs, spec.get("name"), spec.get("group_id"))
+    key = {"cylinder": "cylinders", "circle": "circles"}.get(str(spec.get("kind", "plane")).lower(), "planes")
+    index_key = f"{key[:-1]}_index"
+    entries = [e for e in (doc.get("fit") or {}).get(key) or [] if int(e.get(index_key, 0)) == int(spec.get(index_key, 0))]
+    if len(entries) != 1:
+        raise KeyError(f"faces.{alias}: no single fit of that index")
+    return key, entries[0]
+
+
+def bind_faces(project: str | None, recipe: dict, bind_face: Binder | None = None) -> dict[str, tuple[str, list[float]]]:
+    """The numbers of each face of a recipe: plane n and d, cylinder axis, circle center.
+
+    ``bind_face`` may give a face itself, for one that is not in the project or to
+    override what is there; where it gives None the project's groups are asked.
+    """
+    if project is None and bind_face is None:
+        raise ValueError("faces need a project or a binder")
+    if project is not None and not Path(project).is_dir():
+        raise NotADirectoryError(f"not a directory: {project}")
+    docs, out = load_groups(project) if project is not None else None, {}
     for alias, spec in recipe["faces"].items():
-        doc = find_group(docs, spec.get("name"), spec.get("group_id"))
-        kind = str(spec.get("kind", "plane")).lower()
-        key = {"cylinder": "cylinders", "circle": "circles"}.get(kind, "planes")
-        index_key = f"{key[:-1]}_index"
-        entries = [e for e in (doc.get("fit") or {}).get(key) or [] if int(e.get(index_key, 0)) == int(spec.get(index_key, 0))]
-        if len(entries) != 1:
-            raise KeyError(f"faces.{alias}: no single fit of that index")
-        e = entries[0]
+        own = bind_face(alias, spec) if bind_face is not None else None
+        if own is not None:
+            out[alias] = own
+            continue
+        if docs is None:
+            raise ValueError(f"faces.{alias}: the binder gives nothing and there is no project")
+        key, e = _fit_entry(docs, alias, spec)
         if key == "planes":
-            out[alias] = ("plane", [*e["normal"], e["d"]])
+            plane = plane_of(e)
+            out[alias] = ("plane", [*plane.normal, plane.d])
         elif key == "cylinders":
-            out[alias] = ("line", [*e["point"], *e["direction"]])
+            item = round_of("cylinder", e)
+            out[alias] = ("line", [*item.at, *item.along])
         else:
-            out[alias] = ("point", list(e["center"]))
+            out[alias] = ("point", list(round_of("circle", e).at))
     return out
+
+
+def face_diameters(project: str, recipe: dict) -> dict[str, dict]:
+    """diameter_mm and diameter_fixed of the round faces: a recipe's own diameter wins over the fit's, and is fixed unless it says no."""
+    docs, out = load_groups(project), {}
+    for alias, spec in recipe["faces"].items():
+        kind = str(spec.get("kind", "plane")).lower()
+        if kind not in ("cylinder", "circle"):
+            continue
+        item = round_of(kind, _fit_entry(docs, alias, spec)[1])
+        if "diameter_mm" in spec:
+            item = replace(item, diameter_mm=float(spec["diameter_mm"]), diameter_fixed=bool(spec.get("diameter_fixed", True)))
+        out[alias] = {"diameter_mm": item.diameter_mm, "diameter_fixed": item.diameter_fixed}
+    return out
+
+
+def write_recipe(path: str, recipe: dict) -> None:
+    write_json(Path(path), recipe)
