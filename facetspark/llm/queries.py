@@ -175,6 +175,24 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
 
+_OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 3 THEN list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2])
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE CAST([] AS VARCHAR[]) END) AS sh FROM w
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM pair JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (
+  SELECT doc_id AS s, doc_id AS t FROM documents
+  UNION
+  SELECT reach.s, e.b FROM reach JOIN (SELECT a, b FROM link UNION ALL SELECT b, a FROM link) e ON reach.t = e.a
+), comp AS (SELECT s, min(t) AS component_id FROM reach GROUP BY s)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, comp.component_id, d.doc_id = comp.component_id AS kept
+FROM documents d JOIN comp ON comp.s = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 _OP12_SQL = r"""
 WITH RECURSIVE crc AS (
   SELECT list_transform(range(256), lambda i: list_reduce([0, 0, 0, 0, 0, 0, 0, 0], lambda c, o: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t
@@ -245,4 +263,4 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_embedding_dedup": _OP1_SQL, "op3_url_rules": _OP3_SQL, "op9_exact_topk": _OP9_SQL, "op12_spelling_variants": _OP12_SQL, "op13_source_divergence": _OP13_SQL}
+    return {"op1_embedding_dedup": _OP1_SQL, "op3_url_rules": _OP3_SQL, "op9_exact_topk": _OP9_SQL, "op10_minhash_dedup": _OP10_SQL, "op12_spelling_variants": _OP12_SQL, "op13_source_divergence": _OP13_SQL}
