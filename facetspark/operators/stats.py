@@ -126,6 +126,20 @@ def display_sample(cloud: DataFrame, cell: float, most: int, seed: int = 0) -> D
     return voxel_downsample(cloud, cell).orderBy(F.xxhash64("point_id", F.lit(seed)), "point_id").limit(most)
 
 
+def near_far_sample(cloud: DataFrame, center: Vec, most: int, seed: int = 0) -> DataFrame:
+    """At most ``most`` points (a cap is the feature): half of them the nearest to ``center``, the rest by hash.
+
+    Both come from a hash-ordered pool of four times as many, so that a plane of them rests
+    on the neighbourhood and still sees how far the region goes.
+    """
+    share = F.xxhash64("point_id", F.lit(seed))
+    pool = cloud.withColumn("share__", share).orderBy("share__", "point_id").limit(4 * most)
+    far = (Vec.cols("x", "y", "z") - center).norm2()
+    near = pool.orderBy(far, "point_id").limit(most // 2)
+    rest = pool.join(near.select("point_id"), "point_id", "left_anti").orderBy("share__", "point_id").limit(most - most // 2)
+    return near.unionByName(rest.select(near.columns)).drop("share__")
+
+
 def circle_sums(frame: DataFrame, u: Column, v: Column, keys: list[str]) -> DataFrame:
     """Least-squares circle of each group: (n, cu, cv, radius), from mergeable covariances."""
     w = u * u + v * v

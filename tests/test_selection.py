@@ -77,3 +77,17 @@ def test_circle_of_a_selection(spark):
 def test_extent_along_an_axis(spark):
     df = cloud(spark, [(0, 0, -7), (3, 1, 12), (0, 5, 2)])
     assert axis_extent(df, (0, 0, 2), (0, 0, 1)) == (-9.0, 10.0) and axis_extent(df.filter("point_id = 0"), (0, 0, 0), (0, 0, 1)) == (-50.0, 50.0)
+
+
+def test_near_and_far_points(spark):
+    from facetspark.functions.columns import Vec
+    from facetspark.operators.stats import near_far_sample
+
+    rng = np.random.default_rng(0)
+    x = rng.uniform(-50, 50, (500, 3))
+    df = cloud(spark, x)
+    got = [r["point_id"] for r in near_far_sample(df, Vec.of(0, 0, 0), 200).collect()]
+    nearest = set(np.argsort((x * x).sum(axis=1))[:100].tolist())
+    assert len(got) == len(set(got)) == 200 and nearest <= set(got)
+    assert sorted(got) == sorted(r["point_id"] for r in near_far_sample(df.repartition(7), Vec.of(0, 0, 0), 200).collect())
+    assert near_far_sample(df.limit(10), Vec.of(0, 0, 0), 200).count() == 10
