@@ -205,7 +205,8 @@ def near_words(words: DataFrame, params: VariantParams) -> DataFrame:
 
     keyed = words.select("word", "n").mapInArrow(run, "key long, place long, longer boolean, word string, n long")
     other = keyed.withColumnsRenamed({"word": "other", "n": "other_n", "place": "there"})
-    met = keyed.filter("not longer").drop("longer").join(other, "key")
+    # Spark takes the keys' size for that of the words, and would broadcast all of them through the driver.
+    met = keyed.filter("not longer").drop("longer").join(other.hint("merge"), "key")
     met = met.filter(F.when(F.col("longer"), F.col("there").between(F.col("place"), F.col("place") + 1)).otherwise((F.col("there") == F.col("place")) & (F.col("word") < F.col("other"))))
     met = met.filter(F.levenshtein("word", "other", 1) == 1)
     sides = F.array(F.struct("word", "n", "other", "other_n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"), F.col("word").alias("other"), F.col("n").alias("other_n")))
@@ -221,7 +222,7 @@ def _roots(forms: DataFrame) -> DataFrame:
     cur = materialize(forms.select("word", F.col("form").alias("root")), "variants-forms")
     while True:
         step = cur.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        cur = materialize(cur.join(step, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "variants-roots")
+        cur = materialize(cur.join(step.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")), "variants-roots")
         if not cur.filter("moved").head(1):
             return cur.drop("moved")
 
@@ -245,4 +246,4 @@ def spelling_variants(docs: DataFrame, params: VariantParams = VariantParams())
         near.select("word", F.when(fits, F.col("best.w")).alias("form"), "n", "n_near", F.when(fits, -F.col("best.n")).alias("form_n")), "variants-found"
     )
     roots = _roots(found.filter("form is not null"))
-    return found.join(roots, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+    return found.join(roots.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

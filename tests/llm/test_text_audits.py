@@ -123,6 +123,12 @@ def test_rarest_bigrams_find_every_near_pair():
     assert want and want <= met
 
 
+def test_variants_broadcast_no_table(spark):
+    words = spark.createDataFrame([("houses", 5), ("horses", 9)], "word string, n long")
+    for df in (variants.near_words(words, VariantParams()), spelling_variants(spark.createDataFrame([(1, "houses horses")], "doc_id long, text string"))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_checksums_carry_on():
     rng = np.random.default_rng(0)
     data = rng.integers(0, 256, 4000).astype(np.uint8)
