@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .scratch import materialize
 from .textbytes import mix64, shingle_sets, text_buffers
+from .workers import tidy
 
 
 @dataclass(frozen=True)
@@ -169,7 +170,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     p = params
-    sig = materialize(base.mapInArrow(_signatures(p), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"), "minhash-sig")
+    sig = materialize(base.mapInArrow(tidy(_signatures(p)), "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>"), "minhash-sig")
     key = ["n_shingles", "fp1", "fp2"]
     some = sig.filter("n_shingles > 0 and doc_id is not null")
     classes = materialize(some.groupBy(*key).agg(F.min("doc_id").alias("rep")), "minhash-classes")
@@ -181,7 +182,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     full = materialize(rows.groupBy("band", "h").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).filter("lo < hi").select("band", "h"), "minhash-buckets")
     cand = materialize(rows.join(full, ["band", "h"]), "minhash-candidates")
     ids = materialize(cand.select(F.col("rep").alias("doc_id")).distinct(), "minhash-ids")
-    sets = materialize(base.join(ids, "doc_id", "left_semi").mapInArrow(_sets(p.width), "id long, shingles array<long>"), "minhash-sets")
+    sets = materialize(base.join(ids, "doc_id", "left_semi").mapInArrow(tidy(_sets(p.width)), "id long, shingles array<long>"), "minhash-sets")
     # Shingles that no other candidate has cannot be in an intersection.
     lone = sets.select("id", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("k"), F.min("id").alias("rep")).filter("k = 1")
     lone = materialize(lone.groupBy("rep").agg(F.count("*").alias("lone")), "minhash-lone")
@@ -224,7 +225,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams = MinHashParams()) ->
     cells = part.select("band", "h", "cell", (F.col("home") == F.col("cell")).alias("own"), (F.col("comp") == F.col("big")).alias("large"), "rep", "n_shingles", "common", "comp", "bands", "short")
     parts = int(base.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cells = cells.repartition(parts, "band", "h", "cell").sortWithinPartitions("band", "h", "cell")
-    cross = materialize(cells.mapInArrow(_cross_pairs(p.percent), "a long, b long").distinct(), "minhash-cross")
+    cross = materialize(cells.mapInArrow(tidy(_cross_pairs(p.percent)), "a long, b long").distinct(), "minhash-cross")
     more = cross.join(star, ["a", "b"], "left_anti")
     extra = _confirmed(more, sets, p.percent, "minhash-more")
     comp = materialize(connected_components(links.unionByName(extra), "minhash-cc"), "minhash-comp")

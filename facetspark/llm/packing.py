@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 from .tokens import tokenizer
+from .workers import tidy
 
 #: (lengths, repeats): so many sequences that hold pieces of these lengths, in this order.
 Run = tuple[tuple[int, ...], int]
@@ -217,7 +218,7 @@ def pack_documents(docs: DataFrame, params: PackParams, with_ids: bool = False)
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    pieces = base.mapInArrow(_pieces(params, with_ids), schema)
+    pieces = base.mapInArrow(tidy(_pieces(params, with_ids), tokenizes=True), schema)
     pieces = materialize(pieces if with_ids else pieces.drop("ids"), "pack-pieces")
     counted = pieces.groupBy("length").count().collect()  # at most ``capacity`` rows
     histogram = np.zeros(params.capacity + 1, dtype=np.int64)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import blocks, mix64, text_buffers, word_bounds, word_hashes
+from .workers import tidy
 
 #: Kinds in the order in which spans of one start are listed; the last three are the CRF's.
 KINDS = ("email", "ip", "card", "phone", "secret", "person", "address")
@@ -657,7 +658,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
 
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return base.mapInArrow(run, "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
+    return base.mapInArrow(tidy(run), "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string")
 
 
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
@@ -692,4 +693,4 @@ def redact_pii(docs: DataFrame) -> DataFrame:
                 columns["n_chars"] = pa.array([n if t is o or t is None else len(t) for n, t, o in zip(size.to_pylist(), new, old, strict=True)], size.type)
             yield pa.RecordBatch.from_arrays(list(columns.values()), names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .textbytes import blocks, mix64, text_buffers, word_bounds, word_hashes
+from .workers import tidy
+
+
+#: Bytes of text whose features are held at once, about a hundred bytes each.
+_BLOCK = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -35,7 +40,7 @@ def doc_features(data: np.ndarray, offsets: np.ndarray, p: QualityParams) -> Ite
     and are left out by those who read them.
     """
     mask = np.uint64(p.buckets - 1)
-    for a, b in blocks(offsets):
+    for a, b in blocks(offsets, _BLOCK):
         lo, hi = offsets[a], offsets[b]
         part, offs = data[lo:hi], offsets[a : b + 1] - lo
         starts, ends, doc = word_bounds(part, offs)
@@ -178,7 +183,7 @@ def score_quality(docs: DataFrame, model: QualityModel, name: str = "quality_sco
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*names, name])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, params: QualityParams = QualityParams()) -> DataFrame:

@@ -143,3 +143,8 @@ def tokenizer(path: str, whole: bool = False) -> WordTokenizer:
     if key not in _held:
         _held[key] = WordTokenizer(path, whole)
     return _held[key]
+
+
+def forget() -> None:
+    """Drops this worker's tokenizers and their memos."""
+    _held.clear()

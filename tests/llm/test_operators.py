@@ -449,6 +449,29 @@ def test_quality_does_not_depend_on_the_place_in_a_block():
         got[t] = m
 
 
+def test_quality_holds_features_of_little_text_at_once():
+    import tracemalloc
+
+    model = QualityModel(np.ones((1 << 17, 2)), np.ones((2, 2)), np.zeros(2), QualityParams())
+    data = np.frombuffer(b"some words of a text " * 100_000, dtype=np.uint8)
+    offsets = np.arange(0, len(data) + 1, 2100)
+    tracemalloc.start()
+    try:
+        model.margins(data, offsets)
+        assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_keep_no_tokenizer_for_other_stages():
+    from facetspark.llm import tokens
+    from facetspark.llm.workers import tidy
+
+    tokens.tokenizer(BPE)
+    assert list(tidy(lambda batches: batches, tokenizes=True)(iter([1, 2]))) == [1, 2] and tokens._held
+    assert list(tidy(lambda batches: batches)(iter([1, 2]))) == [1, 2] and not tokens._held
+
+
 def test_quality(spark, docs, none):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
