@@ -219,3 +219,24 @@ def test_a_pipe_is_picked(spark):
         assert (ids < 3000).all() and (np.abs(t[ids]) <= 41).all() and len(ids) >= least
     few, plane = pick_around_cylinder(scene, (0, 0, 0), (0, 0, 1), 500.0, 40.0)  # nothing at that radius: all of the ball
     assert few.count() == pick_ball_region(scene, (0.0, 0.0, 0.0), 40.0)[0].count() and plane is not None
+
+
+def test_hypotheses_of_one_normal_share_a_projection():
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.integers(-20, 20, (3000, 3)).astype(float), rng.normal(0, 30, (3000, 3)), [[1e9, -1e9, 5.0], [np.nan, 0.0, 0.0]]])
+    normals = np.vstack([np.eye(3), rng.normal(size=(4, 3)), [[0.0, 0.0, 0.0]]])
+    p = np.array([[*n, d] for n in normals for d in [*range(-12, 12), 0.1, 1e6, float("nan")]] + [[1.0, 2.0, 3.0, 0.5]])
+    for threshold in (5.0, 0.25, 0.0):
+        a = x[np.isfinite(x).all(axis=1)]
+        want = [int((np.abs(a[:, 0] * q[0] + a[:, 1] * q[1] + a[:, 2] * q[2] + q[3]) <= threshold).sum()) for q in p]
+        assert planes.count_inliers(iter([x[:2500], x[2500:]]), p, threshold).tolist() == want
+
+
+def test_time_of_hypotheses_follows_their_normals():
+    import time
+
+    x = np.random.default_rng(4).normal(0, 50, (1 << 17, 3))
+    p = np.array([[0.6, 0.0, 0.8, d] for d in np.linspace(-80, 80, 4000)])
+    began = time.process_time()
+    got = planes.count_inliers(iter([x[: 1 << 16], x[1 << 16 :]]), p, 5.0)
+    assert time.process_time() - began < 0.5 and got.sum() > 1 << 17
