@@ -245,7 +245,7 @@ class _Sweep:
         b = self._bin(v)
         whole = np.where(self.hot, 0, np.bincount(b, minlength=_BINS + 2))
         n = np.bincount(self.spot, weights=whole, minlength=len(self.edges) + 1).astype(np.int64)
-        at = np.flatnonzero(self.hot[b])
+        at = np.flatnonzero(self.hot.take(b))
         h = v[at]
         k = np.searchsorted(self.edges, h)
         gap = np.minimum(np.abs(h - self.edges[np.maximum(k - 1, 0)]), np.abs(h - self.edges[np.minimum(k, len(self.edges) - 1)]))
