@@ -275,6 +275,8 @@ _KINDS = ("secret", "person", "address")
 _LABELS = 1 + 2 * len(_KINDS)  # outside; the first and the following tokens of each kind
 #: Tokens of a piece of a line; pieces are swept side by side and joined exactly.
 _PIECE = 256
+#: Bytes of text whose tokens are held at once, about a hundred bytes each.
+_BLOCK = 1 << 18
 _N = 1 << 12
 _SLOTS = 3
 _AROUND = (-3, -2, -1, 0, 1)
@@ -587,7 +589,7 @@ def train_crf(lines: tuple[str, ...] | None = None, rounds: int = 60, rate: floa
 def added_spans(data: np.ndarray, offsets: np.ndarray, crf: Crf) -> dict[int, list[tuple[str, int, int]]]:
     """The CRF's spans by document number, as (kind, start, end) in bytes of the document; a line is a sequence."""
     out: dict[int, list[tuple[str, int, int]]] = {}
-    for x, y in blocks(offsets):
+    for x, y in blocks(offsets, _BLOCK):
         lo, hi = offsets[x], offsets[y]
         part, offs = data[lo:hi], offsets[x : y + 1] - lo
         s, e, doc, a, b = pii_tokens(part, offs)

@@ -463,6 +463,21 @@ def test_quality_holds_features_of_little_text_at_once():
         tracemalloc.stop()
 
 
+def test_pii_holds_tokens_of_little_text_at_once():
+    import tracemalloc
+
+    crf = pii.train_crf()
+    data = np.frombuffer(b"my password is hunter2 of a text " * 60_000, dtype=np.uint8)
+    offsets = np.arange(0, len(data) + 1, 3300)
+    tracemalloc.start()
+    try:
+        found = pii.added_spans(data, offsets, crf)
+        assert tracemalloc.get_traced_memory()[1] < 35 << 20
+    finally:
+        tracemalloc.stop()
+    assert len(found) == len(offsets) - 1
+
+
 def test_workers_keep_no_tokenizer_for_other_stages():
     from facetspark.llm import tokens
     from facetspark.llm.workers import tidy
