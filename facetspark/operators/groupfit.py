@@ -71,6 +71,7 @@ def robust_planes(
         was = F.lit(True) if it == 1 else F.abs(_distance(p, tuple(f"o{c}" for c in _PLANE))) <= F.col("othr")
         if threshold is None:
             sigma = group_mad(rows.filter(was), [key], _distance(p), "sigma", most, few).select(key, (F.col("sigma") * sigma_factor).alias("thr"))
+            sigma = materialize(sigma, "planes-sigma")
             live = live.drop("thr").join(sigma, key, "left").select(columns)
             rows = rows.drop("thr").join(sigma, key, "left")
         now = F.coalesce(F.abs(_distance(p)) <= F.col("thr"), F.lit(False))
@@ -143,7 +144,7 @@ def seed_planes(cloud: DataFrame, key: str, p: MainPlaneParams, pool: int = 100_
         sign = -1.0 if n[best][np.abs(n[best]).argmax()] < 0 else 1.0
         return pd.DataFrame([[pdf[key].iloc[0], *(sign * n[best]), sign * d[best]]], columns=[key, *_PLANE])
 
-    sizes = cloud.groupBy(key).agg(F.count("*").alias("n__"))
+    sizes = materialize(cloud.groupBy(key).agg(F.count("*").alias("n__")), "faces-counts")
     share = F.pmod(F.xxhash64("point_id", F.lit(p.seed)), F.ceil(F.col("n__") / pool)) == 0
     return cloud.select(key, "point_id", *_P).join(sizes, key).filter(share).drop("n__").groupBy(key).applyInPandas(run, f"{key} {kind}, nx double, ny double, nz double, d double")
 
@@ -159,7 +160,7 @@ def connected_points(inliers: DataFrame, key: str, planes: DataFrame, p: MainPla
     mean = inliers.groupBy(key).agg(*[F.avg(c).alias(f"m{c}") for c in _P])
     u, v = inplane_basis(Vec.cols("nx", "ny", "nz"))
     rel = Vec.cols(*_P) - Vec.cols("mx", "my", "mz")
-    frame = plane.join(mean, key)
+    frame = materialize(plane.join(mean, key), "faces-frames")
     uv = inliers.select(key, "point_id", *_P).join(frame, key).withColumns({"u": rel.dot(u), "v": rel.dot(v)})
     low = materialize(uv.groupBy(key).agg(F.min("u").alias("u0"), F.min("v").alias("v0"), F.count("*").alias("all")).join(frame, key), "faces-low")
     at = {i: F.floor((F.col(c) - F.col(f"{c}0")) / p.cell_size_mm).cast("long") for i, c in (("iu", "u"), ("iv", "v"))}
@@ -306,7 +307,7 @@ def _many_faces(cloud: DataFrame, key: str, p: MultiPlaneParams, hints: DataFram
     for k in range(p.max_planes):
         left = rest.groupBy(key).agg(F.count("*").alias("left")).join(whole, key)
         open_ = left.filter((F.col("left") >= max(p.min_plane_points, 3)) & (F.col("left") >= p.min_remaining_fraction * F.col("whole"))).select(key)
-        rest = materialize(rest.join(open_, key, "left_semi"), "faces-rest")
+        rest = materialize(rest.join(materialize(open_, "faces-open"), key, "left_semi"), "faces-rest")
         if rest.isEmpty():
             return
         rows, members = _faces(rest, key, one, hints if k == 0 else None, k)

@@ -87,6 +87,7 @@ def group_mad(frame: DataFrame, keys: list[str], value: Column, name: str = "mad
         held = r.filter(F.abs("r") < float("inf")).groupBy(*keys).agg(F.sort_array(F.collect_list("r")).alias("values")).withColumn("med", _middle(F.col("values")))
         away = F.sort_array(F.transform("values", lambda x: F.abs(x - F.col("med"))))
         return held.withColumn("away", away).select(*keys, (_middle(F.col("away")) * 1.4826).alias(name))
-    med = group_quantiles(r, keys, {"med__": (F.col("r"), 0.5)}, bins, few)
+    # A row a group, kept: each scan below joins it as a small table, and none computes it again.
+    med = materialize(group_quantiles(r, keys, {"med__": (F.col("r"), 0.5)}, bins, few), "mad-medians")
     both = join_groups(r, med, keys) if keys else r.crossJoin(F.broadcast(med))  # one row if there are no keys
     return group_quantiles(both, keys, {name: (F.abs(F.col("r") - F.col("med__")) * 1.4826, 0.5)}, bins, few)

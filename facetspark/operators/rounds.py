@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
+from .quantiles import group_quantiles
 
 
 @dataclass(frozen=True)
@@ -320,7 +321,7 @@ _OUT = "status string, px double, py double, pz double, ux double, uy double, uz
 
 
 def _answers(cloud: DataFrame, key: str, asked: dict) -> dict:
-    """What the fits ask of their groups: one scan for all sums, added up by task, and one for all medians."""
+    """What the fits ask of their groups: one scan for all sums, added up by task, and one for the values of all medians."""
     kind, out = dict(cloud.dtypes)[key], {}
 
     def rows(of: dict, sums: bool):
@@ -337,22 +338,23 @@ def _answers(cloud: DataFrame, key: str, asked: dict) -> dict:
             for g, v in total.items():
                 yield pd.DataFrame({key: [g] * len(v), "i": range(len(v)), "v": v})
 
-        return cloud.mapInPandas(run, f"{key} {kind}, i int, v double").groupBy(key, "i")
+        return cloud.mapInPandas(run, f"{key} {kind}, i int, v double")
 
     sums = {g: f for g, (what, f) in asked.items() if what == "sum"}
     mids = {g: f for g, (what, f) in asked.items() if what == "median"}
     if sums:
-        for r in rows(sums, True).agg(F.sum("v").alias("v")).orderBy(key, "i").collect():
+        for r in rows(sums, True).groupBy(key, "i").agg(F.sum("v").alias("v")).orderBy(key, "i").collect():
             out.setdefault(r[key], []).append(r["v"])
         out = {g: np.array(v) for g, v in out.items()}
     if mids:
-        out |= {r[key]: r["v"] for r in rows(mids, False).agg(F.median("v").alias("v")).collect()}
+        values = materialize(rows(mids, False).select(key, "v"), "round-values")
+        out |= {r[key]: r["mid"] for r in group_quantiles(values, [key], {"mid": (F.col("v"), 0.5)}).collect()}
     return out
 
 
 def _per_group(cloud: DataFrame, key: str, p: RoundParams, work: Callable[[np.ndarray, pd.DataFrame], dict], start: Callable, steps: Callable, extra: list[str] = ()) -> DataFrame:
     """A fit a group: one task each up to ``max_points``; larger ones step together, each step one scan of all their points."""
-    sizes = cloud.groupBy(key).agg(F.count("*").alias("__n"))
+    sizes = materialize(cloud.groupBy(key).agg(F.count("*").alias("__n")), "round-sizes")
     large = F.col("__n") > p.max_points
     schema = f"{key} {dict(cloud.dtypes)[key]}, {_OUT}"
     columns = [key, "point_id", "x", "y", "z", *extra]
@@ -374,7 +376,8 @@ def _per_group(cloud: DataFrame, key: str, p: RoundParams, work: Callable[[np.nd
     out = small.select(columns).groupBy(key).applyInPandas(run, schema)
     if not n:
         return out
-    points = materialize(cloud.join(sizes.filter(large), key).select(*columns, "__n"), "round-points")
+    # In order of the group, so that a batch of a later scan mostly has points of one.
+    points = materialize(cloud.join(sizes.filter(large), key).select(*columns, "__n").sortWithinPartitions(key), "round-points")
     share = F.xxhash64("point_id", F.lit(p.seed))
     sample = points.filter(F.pmod(share, F.ceil(F.col("__n") / p.max_points)) == 0).groupBy(key)
     starts = {r[key]: r["at"] for r in sample.applyInPandas(begin, f"{key} {dict(cloud.dtypes)[key]}, at array<double>").collect()}

@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from facetspark.operators import planes, regions
+from facetspark import scratch
+from facetspark.operators import planes, quantiles, regions, rounds
 from facetspark.operators.extract import MainPlaneParams, MultiPlaneParams, extract_main_plane
 from facetspark.operators.groupfit import GroupFitParams, fit_groups, main_planes, robust_planes
 from facetspark.operators.numbering import numbered
@@ -136,6 +137,19 @@ def test_jobs_do_not_grow_with_the_groups(spark):
     assert abs(jobs(40) - jobs(1)) <= 3
 
 
+def test_large_groups_ask_for_medians_without_a_task_of_a_group(spark, monkeypatch):
+    """The medians of stepped fits come from ranges of values; medians and thresholds of groups are kept between scans."""
+    x = np.random.default_rng(3).normal(size=(500, 3))
+    cloud = table(spark, {"a": x, "b": x[:301] * 2})
+    monkeypatch.setattr(F, "median", None)
+    got = rounds._answers(cloud, "grp", {"a": ("median", lambda y: y[:, 0]), "b": ("median", lambda y: y[:, 2])})
+    assert got == pytest.approx({"a": np.median(x[:, 0]), "b": np.median(2 * x[:301, 2])}, rel=1e-12)
+    kept = []
+    monkeypatch.setattr(quantiles, "materialize", lambda df, tag: kept.append(tag) or scratch.materialize(df, tag))
+    group_mad(cloud, ["grp"], F.col("x"))
+    assert "mad-medians" in kept
+
+
 @pytest.mark.parametrize("few", [5, 10_000])
 def test_quantiles_of_groups(spark, few):
     rng = np.random.default_rng(0)
