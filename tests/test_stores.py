@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetspark.functions.columns import Vec
-from facetspark.operators import layers, planes
+from facetspark.operators import layers, planes, regions
 from facetspark.sources import cloudindex, members
 
 
@@ -40,6 +40,38 @@ def test_balls_equal_brute_force(spark, points, index, center, radius):
         assert {r["point_id"] for r in cloudindex.index_balls(spark, index, centers, radius).collect()} == want
 
 
+def test_balls_are_written_as_runs_of_a_center(spark, tmp_path):
+    """Such runs beside a repeated list of points take a fraction of the disk; one cell holds many copies of one point."""
+    x = np.vstack([np.random.default_rng(8).uniform(0, 24, (12_000, 3)), np.full((1_000, 3), 12.0)])
+    index = cloudindex.build_index(cloud(spark, x), f"file://{tmp_path}/index", 4.0)
+    at = x[:12_000:100]
+    centers = spark.createDataFrame([(100 * i, *map(float, c)) for i, c in enumerate(at)], "center_id long, x double, y double, z double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        cloudindex.index_balls(spark, index, centers, 16.0).write.parquet(f"file://{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    runs, got = 0, []
+    for f in glob.glob(f"{tmp_path}/out/*.parquet"):
+        t = pq.ParquetFile(f).read()
+        c, p = t["center_id"].to_numpy(), t["point_id"].to_numpy()
+        runs += 1 + np.count_nonzero(c[1:] != c[:-1])
+        got += zip(c.tolist(), p.tolist(), strict=True)
+    i, j = np.nonzero(((at[:, None] - x[None]) ** 2).sum(axis=2) <= 256)
+    assert sorted(got) == sorted(zip((100 * i).tolist(), j.tolist(), strict=True))
+    assert runs <= len(got) / 20
+
+
+def test_tiles_are_bounded(spark):
+    rows = spark.range(0, 5_000, 1, 3).selectExpr("id DIV 2000 AS k", "id AS point_id", "CAST(id AS DOUBLE) AS x", "0.0D AS y", "-1.0D AS z")
+    got = regions.tiles(rows, ["k"]).collect()
+    assert sorted(p["point_id"] for r in got for p in r["points"]) == list(range(5_000))
+    assert max(len(r["points"]) for r in got) == regions.TILE_POINTS and len(got) < 60
+    for r in got:
+        x = [p["x"] for p in r["points"]]
+        assert (r["x0"], r["x1"], r["y0"], r["z1"]) == (min(x), max(x), 0.0, -1.0) and {int(v) // 2000 for v in x} == {r["k"]}
+
+
 def test_a_ball_reads_few_row_groups(spark, points, index):
     low, high = [tuple(int((c - o + s * 10) // index.cell) for c, o in zip((0, 0, 0), index.low, strict=True)) for s in (-1, 1)]
     ranges = cloudindex.key_ranges(low, high)
