@@ -3,6 +3,7 @@
 import struct
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -139,6 +140,25 @@ def test_radius_join_is_brute_force(spark):
     assert got == {(i, j) for i in range(20) for j in range(400) if ((xyz[i] - xyz[j]) ** 2).sum() <= 625}
 
 
+def test_radius_join_is_written_as_runs_of_a_center(spark, tmp_path):
+    xyz = np.vstack([np.random.default_rng(9).uniform(-20, 20, (12_000, 3)), np.zeros((1_000, 3))])
+    c = cloud(spark, xyz)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        regions.radius_join(c, c.filter("point_id % 100 = 0").withColumnRenamed("point_id", "center_id"), 20.0).write.parquet(f"file://{tmp_path}/out")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    runs, got = 0, []
+    for f in tmp_path.glob("out/*.parquet"):
+        t = pq.ParquetFile(f).read()
+        q, p = t["center_id"].to_numpy(), t["point_id"].to_numpy()
+        runs += 1 + np.count_nonzero(q[1:] != q[:-1])
+        got += zip(q.tolist(), p.tolist(), strict=True)
+    i, j = np.nonzero(((xyz[::100, None] - xyz[None]) ** 2).sum(axis=2) <= 400)
+    assert sorted(got) == sorted(zip((100 * i).tolist(), j.tolist(), strict=True))
+    assert runs <= len(got) / 20
+
+
 @pytest.mark.parametrize("binary", [True, False])
 def test_ply_round_trip(spark, tmp_path, binary):
     xyz = np.random.default_rng(4).normal(size=(57, 3))
