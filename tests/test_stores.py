@@ -62,6 +62,16 @@ def test_balls_are_written_as_runs_of_a_center(spark, tmp_path):
     assert runs <= len(got) / 20
 
 
+def test_balls_of_few_bytes_keep_all_tasks(spark, index):
+    """Pairs grow with the square of a cloud, so partitions of few bytes are not united."""
+    centers = index.points(spark).filter("point_id % 100 = 0").withColumnRenamed("point_id", "center_id")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        assert cloudindex.index_balls(spark, index, centers, 16.0).rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_tiles_are_bounded(spark):
     rows = spark.range(0, 5_000, 1, 3).selectExpr("id DIV 2000 AS k", "id AS point_id", "CAST(id AS DOUBLE) AS x", "0.0D AS y", "-1.0D AS z")
     got = regions.tiles(rows, ["k"]).collect()
