@@ -159,6 +159,16 @@ def test_radius_join_is_written_as_runs_of_a_center(spark, tmp_path):
     assert runs <= len(got) / 20
 
 
+def test_radius_join_of_few_bytes_keeps_all_tasks(spark):
+    c = cloud(spark, np.random.default_rng(10).uniform(-50, 50, (2_000, 3)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables too large for it
+    try:
+        got = regions.radius_join(c, c.filter("point_id % 10 = 0").withColumnRenamed("point_id", "center_id"), 20.0)
+        assert got.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 @pytest.mark.parametrize("binary", [True, False])
 def test_ply_round_trip(spark, tmp_path, binary):
     xyz = np.random.default_rng(4).normal(size=(57, 3))
